@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from toolweave.llm import packing, tokens
+from pyspark.sql import functions as F
+
+from toolweave.llm import ballhash, packing, tokens
+from toolweave.plans.settle import settle
 from toolweave.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "toolset").where(F.length("description") >= 40)
+    words = F.concat_ws(" ", F.coalesce("name", "tool_name", F.lit("")), "description")
+    pairs, members = ballhash.similar_pairs(rows, "tool_id", ballhash.normal_text(words), 0.7, F.col("loaded_at"))
+    return ballhash.member_pairs(settle(pairs, "pairs"), settle(members, "members"), "tool_id")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -20,7 +30,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p8_ids": p8_ids, "p9_containers": p9_containers}
+    return {"p1_found": p1_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 
 def oracle_sql() -> dict[str, str]:
