@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from toolweave.llm import ballhash, packing, tokens
+from toolweave.llm import ballhash, leaks, packing, spans, tokens
 from toolweave.plans.settle import settle
 from toolweave.sources.tables import table
 
@@ -20,6 +20,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ballhash.member_pairs(settle(pairs, "pairs"), settle(members, "members"), "tool_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "bench_items").select("item_id", "text")
+    said = leaks.leaked_items(items, "item_id", "text", table(spark, sf_dir, "format_messages"), "conv_id", "value")
+    listed = leaks.leaked_items(items, "item_id", "text", table(spark, sf_dir, "format_records"), "conv_id", "tools", nested=True)
+    return said.unionByName(listed).distinct()
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -29,8 +36,18 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(counts, "doc_id", "n_tokens", 2048)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared, members = spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return spans.found_pairs(shared, members, "doc_id")
+
+
+def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared, members = spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return spans.shared_share(settle(shared, "spans"), members, "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_share": p10_share}
 
 
 def oracle_sql() -> dict[str, str]:
