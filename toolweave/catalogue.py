@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from toolweave import training
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return training.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return training.oracle_sql()

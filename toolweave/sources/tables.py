@@ -17,3 +17,32 @@ def delivered_once(df: DataFrame, keys: list[str], columns: list[str], at: str =
     """
     first = F.min(F.struct(F.col(at), *[F.col(c) for c in columns])).alias("_first")
     return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in columns])
+
+
+#: Keys delivered more than once that may be sent to every task; beyond it they are joined by shuffle.
+SENT_KEYS = 100_000
+
+
+def without_redelivery(df: DataFrame, keys: list[str], at: str = "loaded_at") -> DataFrame:
+    """df with one row per key, the earliest delivered; of equal times the least row by its values.
+
+    Only keys that stand more than once are ever grouped, so the wide columns of the others are not
+    shuffled. The list of such keys is broadcast only while it is short. Map columns are compared by
+    their sorted entries. Rows whose key has a null are kept as they are. An empty table stays empty.
+    """
+    key = F.struct(*keys)
+    known = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    twice = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key.alias("_key"))
+    few = twice.limit(SENT_KEYS + 1).count()
+    if few == 0:
+        return df
+    named = df.withColumn("_key", key)
+    twice = F.broadcast(twice) if few <= SENT_KEYS else twice
+    single = named.join(twice, "_key", "left_anti").drop("_key")
+    several = named.join(twice, "_key", "left_semi").drop("_key")
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() != "map"]
+    maps = [F.sort_array(F.map_entries(f.name)).alias(f.name) for f in df.schema.fields if f.dataType.typeName() == "map"]
+    rest = [c for c in plain if c not in keys and c != at]
+    picked = several.groupBy(*keys).agg(F.min(F.struct(F.col(at), *[F.col(c) for c in rest], *maps)).alias("_r"))
+    columns = [F.col(c) if c in keys else F.map_from_entries(f"_r.{c}").alias(c) if c not in plain else F.col(f"_r.{c}").alias(c) for c in df.columns]
+    return single.unionByName(picked.select(*columns))
