@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from toolweave.llm import ballhash, leaks, packing, spans, tokens
+from toolweave.llm import ballhash, language, leaks, packing, spans, tokens
 from toolweave.plans.settle import settle
-from toolweave.sources.tables import table
+from toolweave.sources.tables import table, without_redelivery
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,28 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.unionByName(listed).distinct()
 
 
+def _spoken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    tools = table(spark, sf_dir, "toolset").select("tool_id", "description", "lang", "loaded_at")
+    messages = table(spark, sf_dir, "format_messages").where(F.col("role").isin("human", "gpt", "assistant"))
+    return tools, messages.select("conv_id", "pos", "role", "value", "lang", "loaded_at")
+
+
+def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tools, messages = _spoken(spark, sf_dir)
+    model = language.learn([(tools, "description", "lang"), (messages, "value", "lang")])
+    a = language.segments(without_redelivery(tools, ["tool_id"]), ["tool_id"], "description", "lang", model)
+    b = language.segments(without_redelivery(messages, ["conv_id", "pos"]), ["conv_id", "pos"], "value", "lang", model)
+    rest = ["seg", "lang", "confidence", "declared", "n_seg", "start", "end"]
+    return a.select(F.lit("toolset").alias("rec_kind"), F.col("tool_id").alias("rec_id"), F.lit(-1).alias("pos"), *rest).unionByName(
+        b.select(F.lit("message").alias("rec_kind"), F.col("conv_id").alias("rec_id"), "pos", *rest)
+    )
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = p6_segments(spark, sf_dir).where("n_seg > 1 OR declared IS NULL OR declared <> lang")
+    return found.select("rec_kind", "rec_id", "pos", "seg", "lang")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -47,7 +69,7 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_share": p10_share}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p6_found": p6_found, "p6_segments": p6_segments, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_share": p10_share}
 
 
 def oracle_sql() -> dict[str, str]:
