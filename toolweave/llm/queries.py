@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from toolweave.llm import ballhash, language, leaks, packing, spans, tokens
+from toolweave.llm import ballhash, language, leaks, packing, pairs, spans, tokens
 from toolweave.plans.settle import settle
 from toolweave.sources.tables import table, without_redelivery
 
@@ -16,8 +16,8 @@ from toolweave.sources.tables import table, without_redelivery
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "toolset").where(F.length("description") >= 40)
     words = F.concat_ws(" ", F.coalesce("name", "tool_name", F.lit("")), "description")
-    pairs, members = ballhash.similar_pairs(rows, "tool_id", ballhash.normal_text(words), 0.7, F.col("loaded_at"))
-    return ballhash.member_pairs(settle(pairs, "pairs"), settle(members, "members"), "tool_id")
+    similar, members = ballhash.similar_pairs(rows, "tool_id", ballhash.normal_text(words), 0.7, F.col("loaded_at"))
+    return ballhash.member_pairs(settle(similar, "pairs"), settle(members, "members"), "tool_id")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rec_kind", "rec_id", "pos", "seg", "lang")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tools, messages = _spoken(spark, sf_dir)
+    model = language.learn([(tools, "description", "lang"), (messages, "value", "lang")])
+    once = without_redelivery(messages, ["conv_id", "pos"])
+    return pairs.defects(pairs.chat_pairs(once, "conv_id", "pos", "role", "value"), ["conv_id", "pos"], model)
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -69,7 +76,7 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p6_found": p6_found, "p6_segments": p6_segments, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_share": p10_share}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_share": p10_share}
 
 
 def oracle_sql() -> dict[str, str]:
