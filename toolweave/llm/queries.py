@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from toolweave.llm import ballhash, language, leaks, packing, pairs, spans, tokens
+from toolweave.llm import ballhash, language, leaks, mix, packing, pairs, spans, tokens
 from toolweave.plans.settle import settle
 from toolweave.sources.tables import table, without_redelivery
 
@@ -27,6 +27,34 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.unionByName(listed).distinct()
 
 
+PAIR = ["category", "domain"]
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """target_share * floor(number of tools / 5) or min_rows above what is there."""
+    targets = table(spark, sf_dir, "mix_targets")
+    state = mix.availability(table(spark, sf_dir, "toolset"), "tool_id", PAIR, targets, "target_share", "min_rows", 0.2)
+    return state.where("available < wanted OR available < least").select(*PAIR)
+
+
+def p5_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.plan(table(spark, sf_dir, "toolset"), "tool_id", PAIR, table(spark, sf_dir, "mix_targets"), "target_share", "min_rows", 0.2)
+
+
+def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.draw(table(spark, sf_dir, "toolset"), "tool_id", PAIR, p5_plan(spark, sf_dir))
+
+
+P5_SQL = r"""
+WITH tools AS (SELECT DISTINCT tool_id, lower(regexp_replace(category, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS category,
+                      lower(regexp_replace(domain, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS domain FROM toolset),
+n AS (SELECT floor(count(DISTINCT tool_id) / 5) AS size FROM tools),
+c AS (SELECT category, domain, count(DISTINCT tool_id) AS available FROM tools GROUP BY ALL)
+SELECT m.category, m.domain FROM mix_targets m LEFT JOIN c USING (category, domain), n
+WHERE coalesce(available, 0) < target_share * size OR coalesce(available, 0) < min_rows
+"""
+
+
 def _spoken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tools = table(spark, sf_dir, "toolset").select("tool_id", "description", "lang", "loaded_at")
     messages = table(spark, sf_dir, "format_messages").where(F.col("role").isin("human", "gpt", "assistant"))
@@ -76,8 +104,8 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_share": p10_share}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_plan": p5_plan, "p5_sample": p5_sample, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_share": p10_share}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p5_found": P5_SQL}
