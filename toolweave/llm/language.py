@@ -196,25 +196,31 @@ def learn(samples: list[tuple[DataFrame, str, str]], rows: int = SAMPLE_ROWS, le
         counted = part if counted is None else counted.unionByName(part)
     found = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
     words: dict[str, list[float]] = {}
-    total = {lang: max(1, int(found.n[(found.lang == lang) & (found.word.str[:1] < "　")].sum())) for lang in LANGUAGES}
-    by: dict[str, dict[str, int]] = {}
+    by: dict[str, dict[str, float]] = {}
     for lang, word, n in found.itertuples(index=False):
-        by.setdefault(word, {})[lang] = int(n)
-    seeds = {w: {lang for lang in FUNCTION_WORDS if w in FUNCTION_WORDS[lang].split()} for x in FUNCTION_WORDS.values() for w in x.split()}
+        by.setdefault(word, {})[lang] = float(n)
+    for lang, listed in FUNCTION_WORDS.items():
+        for word in listed.split():
+            by.setdefault(word, {})[lang] = by.get(word, {}).get(lang, 0.0) + 3.0
+    ideographs = {w for w in by if w[:1] >= "　"}
+    size = {lang: sum(c.get(lang, 0.0) for w, c in by.items() if w not in ideographs) for lang in FUNCTION_WORDS}
+    whole = max(1.0, sum(size.values()))
+    glyphs = {lang: 1.0 + sum(by[w].get(lang, 0.0) for w in ideographs) for lang in ("zh", "ja")}
+    words: dict[str, list[float]] = {}
     han: dict[str, float] = {}
-    for word in set(by) | set(seeds):
-        counts = by.get(word, {})
-        if word[:1] >= "　":
-            z = (counts.get("zh", 0) + 0.5) / (total["zh"] + 1)
-            j = (counts.get("ja", 0) + 0.5) / (total["ja"] + 1)
+    for word, counts in by.items():
+        if word in ideographs:
+            z, j = ((counts.get(x, 0.0) + 0.5) / glyphs[x] for x in ("zh", "ja"))
             han[word] = float(np.clip(np.log(z / j), -2, 2))
             continue
-        row = [-CLIP] * len(LANGUAGES)
-        rate = {lang: (counts.get(lang, 0) + 0.3 + (3 if lang in seeds.get(word, ()) else 0)) / (total[lang] + 3000) for lang in FUNCTION_WORDS}
-        top = max(rate.values())
-        for lang, r in rate.items():
-            row[LANGUAGES.index(lang)] = float(max(-CLIP, np.log(r / top)))
-        words[word] = row
+        # How much more often than by chance the word stands in each Latin-script language. A rare word, or
+        # a name that stands in all of them alike, stays close to neutral, for the other scripts' languages
+        # too: they have the worst of these scores.
+        total = sum(counts.values())
+        row = np.log([(counts.get(x, 0.0) + 1.0) / (total * size[x] / whole + 1.0) for x in FUNCTION_WORDS])
+        row = np.maximum(row - row.max(), -CLIP)
+        own = dict(zip(FUNCTION_WORDS, row.tolist(), strict=True))
+        words[word] = [own.get(x, float(row.min())) for x in LANGUAGES]
     return {"words": words, "han": han}
 
 
@@ -229,11 +235,9 @@ def _count(batches):
             if labels[t] not in (None, name):
                 continue
             tokens = set(_TOKEN.findall(raw[t])[f : f + n])
-            if name in ("zh", "ja"):
-                tokens = {c for x in tokens if x[0] >= "　" for c in x if not _KANA.match(c)}
-            else:
-                tokens = {x.lower().replace("’", "'") for x in tokens if x[0] not in _ENDS and "_" not in x and "-" not in x and x[0] < "Ѐ"}
-            for x in tokens:
+            plain = {x.lower().replace("’", "'") for x in tokens if x[0] not in _ENDS and "_" not in x and "-" not in x and x[0] < "Ѐ"} if name in FUNCTION_WORDS else set()
+            glyphs = {c for x in tokens if x[0] >= "　" for c in x if not _KANA.match(c)} if name in ("zh", "ja") else set()
+            for x in plain | glyphs:
                 seen[name, x] = seen.get((name, x), 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
 

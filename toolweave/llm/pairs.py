@@ -43,7 +43,8 @@ _NAMED = {k: re.compile(v, re.IGNORECASE) for k, v in _NAMES.items()}
 _SENTENCES = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
 _PROPER_END = re.compile(r"[.!?。！？…;；:：]?[.!?。！？…][\"'”’»」』）)\]*_`]*$")
 _LIST_ITEM = re.compile(r"^\s*(?:[-*•‣]|\d+[.)])\s+(?P<item>\S.*)$")
-_BARE = re.compile(r"^\S{1,24}$")
+# One word without spaces; in scripts that don't space words no more than a few characters are one.
+_BARE = re.compile(r"^(?:[^\s぀-ヿ㐀-鿿]{1,24}|[぀-ヿ㐀-鿿]{1,4})$")
 _SYMBOL_END = re.compile(r"[^\w\s,;:(\[{<\-–—\"'“‘«/&+=*]$")
 #: Characters a short lead-in before a copied question may have, letters and digits only.
 LEAD_IN = 24
