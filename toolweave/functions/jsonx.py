@@ -38,6 +38,11 @@ def on_json(work: Callable[[object], object], c: Column) -> Column:
     return run(c)
 
 
+def text_of(work: Callable[[object], str | None], c: Column) -> Column:
+    """work(value) as it is for each JSON text; null for null and unreadable ones."""
+    return on_text(lambda t: None if (v := load(t)) is None else work(v), c)
+
+
 def on_text(work: Callable[[str], str | None], c: Column) -> Column:
     """work(text) for each text that is not null."""
 

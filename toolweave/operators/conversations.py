@@ -7,20 +7,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from toolweave.functions import text as tx
 
-BY_POS = Window.partitionBy("conv_id").orderBy("pos")
 ANSWERS = ("gpt", "assistant")
 
 
+def by_pos() -> WindowSpec:
+    return Window.partitionBy("conv_id").orderBy("pos")
+
+
 def _is(role: str) -> Column:
     return F.col("role") == role
 
 
 def with_turns(msg: DataFrame) -> DataFrame:
     """Msg + turn, from 1; messages before the first human one are turn 0."""
-    upto = BY_POS.rowsBetween(Window.unboundedPreceding, 0)
+    upto = by_pos().rowsBetween(Window.unboundedPreceding, 0)
     return msg.withColumn("turn", F.sum(_is("human").cast("int")).over(upto).cast("bigint"))
 
 
@@ -56,7 +60,7 @@ def turn_distribution(msg: DataFrame) -> DataFrame:
 
 def direct_answers(msg: DataFrame) -> DataFrame:
     """(conv_id, direct): whether a human message is followed at once by an answer."""
-    hit = _is("human") & F.lead("role").over(BY_POS).isin(*ANSWERS)
+    hit = _is("human") & F.lead("role").over(by_pos()).isin(*ANSWERS)
     return msg.withColumn("_hit", F.coalesce(hit, F.lit(False))).groupBy("conv_id").agg(F.max("_hit").alias("direct"))
 
 
@@ -102,7 +106,7 @@ def flow_issues(msg: DataFrame, tools: DataFrame | None = None) -> DataFrame:
         F.when(call & ~F.coalesce(readable, F.lit(False)), F.lit("invalid_json")),
         F.when(call & F.coalesce(readable, F.lit(False)) & call_name(F.col("value")).isNull(), F.lit("invalid_function_call_json")),
     ))
-    found = msg.withColumn("_nxt", F.lead("role").over(BY_POS)).select("conv_id", F.explode(flags).alias("issue")).distinct()
+    found = msg.withColumn("_nxt", F.lead("role").over(by_pos())).select("conv_id", F.explode(flags).alias("issue")).distinct()
     if tools is None:
         return found
     called = msg.where(call).select("conv_id", call_name(F.col("value")).alias("name")).where("name IS NOT NULL").distinct()
@@ -135,8 +139,8 @@ def tag_content(value: Column, tag: str) -> Column:
 
 def ordinals(msg: DataFrame) -> DataFrame:
     """Msg + n_call, n_answer (running counts), last_observation (position of the latest observation before)."""
-    upto = BY_POS.rowsBetween(Window.unboundedPreceding, 0)
-    before = BY_POS.rowsBetween(Window.unboundedPreceding, -1)
+    upto = by_pos().rowsBetween(Window.unboundedPreceding, 0)
+    before = by_pos().rowsBetween(Window.unboundedPreceding, -1)
     return msg.select(
         "*",
         F.count_if(_is("function_call")).over(upto).alias("n_call"),
@@ -148,7 +152,7 @@ def ordinals(msg: DataFrame) -> DataFrame:
 def history(msg: DataFrame, n: int) -> DataFrame:
     """(conv_id, pos, n_before, history): the text of all messages before the n-th call, 'role: value'
     by line; it stops before the first null value."""
-    upto = BY_POS.rowsBetween(Window.unboundedPreceding, 0)
+    upto = by_pos().rowsBetween(Window.unboundedPreceding, 0)
     marked = msg.withColumn("_stop", F.max(F.col("value").isNull().cast("int")).over(upto)).withColumn("_n", F.count_if(_is("function_call")).over(upto))
     cut = marked.where(_is("function_call") & (F.col("_n") == n)).select("conv_id", F.col("pos").alias("_at"))
     rows = marked.join(cut, "conv_id").where((F.col("pos") < F.col("_at")) & (F.col("_stop") == 0))

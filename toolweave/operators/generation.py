@@ -6,6 +6,7 @@ of texts to a list of vectors. They run inside the tasks, one call per batch or
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import time
@@ -47,13 +48,18 @@ def with_retries(call: Callable, tries: int = 5, base: float = 0.5, most: float
     return run
 
 
+@functools.lru_cache(maxsize=100_000)
+def _direction(word: str, size: int) -> np.ndarray:
+    return np.random.default_rng(int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")).standard_normal(size)
+
+
 def hash_embedding(texts: list[str], size: int = 32) -> list[list[float]]:
     """S14, offline: the sum of a fixed random direction for each word, of unit length."""
     out = []
     for text in texts:
         v = np.zeros(size)
         for w in text.lower().split():
-            v += np.random.default_rng(int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "little")).standard_normal(size)
+            v += _direction(w, size)
         n = np.linalg.norm(v)
         out.append((v / n if n else v).tolist())
     return out
@@ -105,7 +111,7 @@ def embed(df: DataFrame, key: str, text: str, client: Embed = hash_embedding, ba
 def assembled(msg: DataFrame, records: DataFrame, n: int) -> DataFrame:
     """(conv_id, prompt array<struct<role, content>>): system text, the history before the n-th call, and the
     last question unless the history ends with it. Observations have the role tool, blank ones as '{}'."""
-    upto = cv.BY_POS.rowsBetween(Window.unboundedPreceding, 0)
+    upto = cv.by_pos().rowsBetween(Window.unboundedPreceding, 0)
     marked = msg.withColumn("_n", F.count_if(F.col("role") == "function_call").over(upto))
     cut = marked.where((F.col("role") == "function_call") & (F.col("_n") == n)).select("conv_id", F.col("pos").alias("_at"))
     rows = marked.join(cut, "conv_id").where("pos < _at")

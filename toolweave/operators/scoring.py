@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from toolweave.functions import jsonx as jx
 from toolweave.functions import text as tx
 
 METRICS = ["toolfit", "clarity", "naturalness", "success", "grounding", "efficiency"]
@@ -128,9 +129,39 @@ def rouge_l(a: str | None, b: str | None) -> float:
     return 2 * row[-1] / (len(x) + len(y))
 
 
-@F.pandas_udf("double")
-def rouge_l_of(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([rouge_l(x, y) for x, y in zip(a, b, strict=True)])
+def rouge_l_of(a: Column, b: Column) -> Column:
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([rouge_l(p, q) for p, q in zip(x, y, strict=True)])
+
+    return run(a, b)
+
+
+def flexibly_equal(pred: str | None, truth: str | None, defaults: dict | None = None, least: float = 0.7) -> bool:
+    """M1: argument objects with the same names after defaults are filled in, each value equal or, for texts,
+    of a ROUGE-L of at least ``least``. Unreadable or null arguments count as {}."""
+    a, b = (x if isinstance(x := jx.load(t), dict) else {} for t in (pred, truth))
+    a, b = {**(defaults or {}), **a}, {**(defaults or {}), **b}
+    return a.keys() == b.keys() and all(a[k] == b[k] or (isinstance(a[k], str) and isinstance(b[k], str) and rouge_l(a[k], b[k]) >= least) for k in a)
+
+
+def flexible_accuracy(matched: DataFrame, pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """M1: (conv_id, turn, flexible_accuracy): the share of all predicted calls whose partner's arguments are
+    flexibly equal. Only pairs that are not exact are compared in Python."""
+    side = lambda df, p: df.select("conv_id", "turn", F.col("pos").alias(f"{p}_pos"), F.col("arguments").alias(f"{p}_arguments"))
+    rest = matched.where("p_pos IS NOT NULL AND t_pos IS NOT NULL AND NOT exact")
+    rest = rest.join(side(pred, "p"), ["conv_id", "turn", "p_pos"]).join(side(truth, "t"), ["conv_id", "turn", "t_pos"])
+
+    @F.pandas_udf("boolean")
+    def same(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([flexibly_equal(p, q) for p, q in zip(x, y, strict=True)])
+
+    good = rest.where(same("p_arguments", "t_arguments")).select("conv_id", "turn")
+    exact = matched.where("exact").select("conv_id", "turn")
+    hits = exact.unionByName(good).groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("_h"))
+    total = matched.groupBy("conv_id", "turn").agg(F.count("p_pos").alias("_p"))
+    share = F.round(F.coalesce(F.try_divide(F.coalesce("_h", F.lit(0)), F.nullif("_p", F.lit(0))), F.lit(0.0)), 6)
+    return total.join(hits, ["conv_id", "turn"], "left").select("conv_id", "turn", share.alias("flexible_accuracy"))
 
 
 def match_calls(pred: DataFrame, truth: DataFrame) -> DataFrame:

@@ -16,6 +16,15 @@ turned AS (SELECT *, count(*) FILTER (role = 'human') OVER (PARTITION BY conv_id
 hop AS (SELECT conv_id, turn, count(*) FILTER (role = 'function_call') AS n_calls FROM turned WHERE turn > 0 GROUP BY ALL)"""
 
 
+LIST_SQL = REC_SQL + """,
+jso AS (SELECT conv_id, CASE WHEN json_valid(tools) THEN tools::JSON END AS t FROM rec),
+prt AS (SELECT conv_id, CASE json_type(t) WHEN 'ARRAY' THEN list_transform(json_extract(t, '$[*]'), lambda x: {'k': 'list', 'raw': x})
+        WHEN 'OBJECT' THEN flatten(list_transform(json_keys(t), lambda k: CASE WHEN json_type(t, '$."' || k || '"') = 'ARRAY' THEN list_transform(json_extract(json_extract(t, '$."' || k || '"'), '$[*]'), lambda x: {'k': 'lists', 'raw': x}) ELSE [{'k': 'tools', 'raw': json_extract(t, '$."' || k || '"')}] END)) END AS e FROM jso),
+els AS (SELECT conv_id, (i - 1)::INT AS tool_pos, e[i].k AS container_kind, e[i].raw AS raw FROM (SELECT conv_id, e, unnest(generate_series(1, len(e))) AS i FROM prt)),
+lst AS (SELECT conv_id, tool_pos, coalesce(nullif(raw->>'$.name', ''), nullif(raw->>'$.tool_name', '')) AS name, raw->>'$.description' AS description,
+        coalesce(nullif(raw->>'$.category', ''), nullif(raw->>'$.Category', '')) AS category, coalesce(nullif(raw->>'$.domain', ''), nullif(raw->>'$.Domain', '')) AS domain FROM els WHERE json_type(raw) = 'OBJECT')"""
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "format_messages")
     return delivered_once(rows, ["conv_id", "pos"], ["role", "value", "source_file"])

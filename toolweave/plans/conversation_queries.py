@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from toolweave.functions import text as tx
 from toolweave.operators import conversations as cv
-from toolweave.plans.base import MSG_SQL, REC_SQL, TURN_SQL, messages, records
+from toolweave.plans.base import LIST_SQL, MSG_SQL, REC_SQL, TURN_SQL, messages, records
 
 
 def _hop_turn_stats(s, d):
@@ -204,6 +204,6 @@ count(*) FILTER (len(v) > 1 AND v[-1] = v[-2]) AS same_last, count(*) FILTER (le
 SELECT json_extract_string(x, '$.type') AS type, count(*) AS n, sum(coalesce(json_array_length(json_extract(x, '$.items')), 0))::BIGINT AS n_items FROM o GROUP BY 1"""),
     "paired_results": (_results, f"""WITH {TURN_SQL}, o AS (SELECT conv_id, turn, role, pos, (row_number() OVER (PARTITION BY conv_id, turn, role ORDER BY pos))::INT AS ordinal FROM turned WHERE turn > 0 AND role IN ('function_call', 'observation'))
 SELECT a.conv_id, a.turn, a.ordinal, a.pos AS call_pos, b.pos AS result_pos FROM o a LEFT JOIN o b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.ordinal = b.ordinal AND b.role = 'observation' WHERE a.role = 'function_call'"""),
-    "unlisted_calls": (_unlisted, None),
+    "unlisted_calls": (_unlisted, f"WITH {MSG_SQL}, {LIST_SQL} SELECT conv_id, {_CALL} AS name FROM msg WHERE role = 'function_call' AND ({_CALL}) IS NOT NULL EXCEPT SELECT conv_id, name FROM lst"),
     "item_ids": (_item_ids, f"WITH {MSG_SQL} SELECT conv_id, md5(string_agg(role || chr(1) || coalesce(value, chr(2)), chr(3) ORDER BY pos)) AS item_id FROM msg GROUP BY 1"),
 }

@@ -81,6 +81,13 @@ w AS (SELECT * FROM {w} (SELECT unnest(['single-hop', 'multi-hop', 'single-turn'
 dim AS (SELECT {"w." + by + ", " if by else ""}w.dimension, coalesce(n, 0) AS n, round(coalesce(a, 0), 6) AS strict_precision, round(coalesce(b, 0), 6) AS flexible_precision, round(coalesce(c, 0), 6) AS strict_accuracy FROM w LEFT JOIN g ON w.dimension = g.dimension {j})"""
 
 
+def _flexible(s, d):
+    """The quantity as a text of 10 words, of which a changed call differs in one, so it is flexibly equal."""
+    as_json = lambda df: df.withColumn("arguments", F.to_json(F.struct(F.concat(F.lit("a b c d e f g h i "), F.split("arguments", ":")[0]).alias("qty"), F.split("arguments", ":")[1].alias("discount"))))
+    p, t = as_json(predicted(s, d)), as_json(truth(s, d))
+    return sc.flexible_accuracy(sc.match_calls(p, t), p, t)
+
+
 def _metrics(s, d):
     return sc.turn_metrics(sc.match_calls(predicted(s, d), truth(s, d)))
 
@@ -128,8 +135,9 @@ def _lists(s, d):
 
 
 def _doc_jaccard(s, d):
+    """Every hundredth tool against all."""
     t = tools(s, d).where("description IS NOT NULL").select("tool_id", F.lower("description").alias("text"))
-    return sim.token_jaccard(t, t, "tool_id", "text", 0.6).where("a < b")
+    return sim.token_jaccard(t.where("tool_id % 100 = 0"), t, "tool_id", "text", 0.6)
 
 
 def _part(s, d):
@@ -152,6 +160,8 @@ QUERIES = {
 least(min(toolfit), min(clarity), min(naturalness), min(success), min(grounding), min(efficiency), min(anchor))::DOUBLE AS min_score FROM e GROUP BY 1"""),
     "call_matching": (lambda s, d: sc.match_calls(predicted(s, d), truth(s, d)), f"WITH {_CALLS} SELECT conv_id, turn, p_pos::INT AS p_pos, t_pos::INT AS t_pos, exact FROM ma"),
     "turn_call_metrics": (_metrics, f"WITH {_CALLS} SELECT * FROM me"),
+    "flexible_call_metrics": (_flexible, f"""WITH {_CALLS}, f AS (SELECT m.conv_id, m.turn, m.p_pos, exact OR split_part(p.a, ':', 2) = split_part(t.a, ':', 2) AS ok FROM ma m LEFT JOIN pre p ON p.conv_id = m.conv_id AND p.pos = m.p_pos LEFT JOIN tru t ON t.conv_id = m.conv_id AND t.pos = m.t_pos)
+SELECT conv_id, turn, round(coalesce(count(*) FILTER (ok AND p_pos IS NOT NULL) / nullif(count(p_pos), 0), 0), 6) AS flexible_accuracy FROM f GROUP BY ALL"""),
     "dimension_metrics": (lambda s, d: sc.dimension_metrics(_metrics(s, d)), f"WITH {_CALLS}, {_dims('')} SELECT * FROM dim"),
     "weighted_dimension_metrics": (lambda s, d: sc.weighted_dimensions(sc.dimension_metrics(_metrics(s, d).withColumn("file", F.col("conv_id") % 3), ["file"])),
         f"WITH {_CALLS}, {_dims('file')} SELECT dimension, sum(n)::BIGINT AS n, round(coalesce(sum(strict_precision * n) / sum(n), 0), 5) AS strict_precision, round(coalesce(sum(flexible_precision * n) / sum(n), 0), 5) AS flexible_precision, round(coalesce(sum(strict_accuracy * n) / sum(n), 0), 5) AS strict_accuracy FROM dim GROUP BY 1"),
@@ -172,7 +182,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY md5(key || '42
         _GREEDY_SQL.format(t=0.4) + """, r AS (SELECT b.vec_id, a.vec_id AS representative, round(list_dot_product(a.v, b.v), 9) AS s, row_number() OVER (PARTITION BY b.vec_id ORDER BY round(list_dot_product(a.v, b.v), 9) DESC, a.o) AS n FROM n b JOIN n a ON a.o < b.o JOIN k ON k.o = a.o WHERE b.o NOT IN (SELECT o FROM k))
 SELECT vec_id, representative, round(s, 6) AS similarity FROM r WHERE n = 1"""),
     "hybrid_toollist": (_lists, None),
-    "jaccard_near_dup": (_doc_jaccard, None),
+    "jaccard_near_dup": (_doc_jaccard, f"""WITH {TOOL_SQL}, w AS (SELECT tool_id, list_distinct(list_filter(regexp_split_to_array(lower(description), '\\s+'), lambda x: x <> '')) AS w FROM tool WHERE description IS NOT NULL), p AS (SELECT a.tool_id AS a, b.tool_id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS m, len(b.w) AS n FROM w a JOIN w b ON a.tool_id <> b.tool_id WHERE a.tool_id % 100 = 0 AND len(a.w) > 0 AND len(b.w) > 0)
+SELECT a, b, round(i / (m + n - i), 6) AS similarity FROM p WHERE i / (m + n - i) > 0.6"""),
     "stratified_sample": (lambda s, d: sa.proportional(_part(s, d), "p_type", "p_partkey", 100).select("p_partkey", "p_type"), f"""WITH {_PART_COUNTS}, q AS (SELECT p_type, least(floor(100 * c / sum(c) OVER ()), c) AS q, p_type = max(p_type) OVER () AS l FROM c), z AS (SELECT p_type, CASE WHEN l THEN 100 - (SELECT sum(q) FROM q WHERE NOT l) ELSE q END AS q FROM q),
 r AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY md5(p_partkey || '42'), p_partkey) AS n FROM part) SELECT p_partkey, p_type FROM r JOIN z USING (p_type) WHERE n <= q"""),
     "uniform_sample": (lambda s, d: sa.uniform(_part(s, d), "p_partkey", 50).select("p_partkey"), "SELECT p_partkey FROM part ORDER BY md5(p_partkey || '42'), p_partkey LIMIT 50"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from toolweave.functions import jsonx as jx
 from toolweave.functions import text as tx
 from toolweave.operators import conversations as cv, converters as co, generation as ge, scoring as sc, similarity as sim, tool_lists, tools as to
-from toolweave.plans.base import MSG_SQL, REC_SQL, TOOL_SQL, messages, records, tools
+from toolweave.plans.base import LIST_SQL, MSG_SQL, REC_SQL, TOOL_SQL, messages, records, tools
 from toolweave.plans.settle import shared_dir
 from toolweave.sources.tables import table
 from toolweave.streaming import live
@@ -47,7 +47,7 @@ def _mcp(s, d):
 
 
 def _summaries(s, d):
-    made = jx.on_json(lambda v: jx.parameter_summary(v) if isinstance(v, dict) else None, F.col("input_schema"))
+    made = jx.text_of(lambda v: jx.parameter_summary(v) if isinstance(v, dict) else None, F.col("input_schema"))
     return _schemas(s, d).select("tool_id", made.alias("summary")).where("summary IS NOT NULL")
 
 
@@ -201,7 +201,8 @@ def _place(s):
 def _stream(s, d):
     events = live.parquet_stream(s, d, table(s, d, "events").schema, "events.parquet")
     counts = live.windowed_counts(events, "ts", ["event_type"], "1 hour")
-    return live.drain(counts, f"w{uuid.uuid4().hex}", "complete", _place(s))
+    out = live.drain(counts, f"w{uuid.uuid4().hex}", "complete", _place(s))
+    return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")], "event_type", "n")
 
 
 def _stream_usage(s, d):
@@ -213,7 +214,7 @@ def _stream_usage(s, d):
 def _sessions(s, d):
     events = live.parquet_stream(s, d, table(s, d, "events").schema, "events.parquet")
     out = live.drain(live.sessions(events, "ts", "user_id", "30 minutes"), f"s{uuid.uuid4().hex}", "complete", _place(s))
-    return out.select("user_id", "session_start", "n")
+    return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
 
 
 def _batches(s, d):
@@ -254,5 +255,5 @@ SELECT c.conv_id, 1 + count(m.pos) AS n FROM c JOIN rec USING (conv_id) LEFT JOI
     "stream_sessions": (_sessions, """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events), k AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, min(ts) AS session_start, count(*) AS n FROM k GROUP BY user_id, k.k"""),
     "batches": (_batches, "WITH r AS (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 64 AS batch FROM documents) SELECT source, batch, count(*) AS n FROM r GROUP BY ALL"),
-    "occurrence_union": (_union, None),
+    "occurrence_union": (_union, f"WITH {TOOL_SQL}, {LIST_SQL} SELECT 'catalogue' AS origin, count(*) AS n, count(DISTINCT name) AS names FROM tool UNION ALL SELECT 'records', count(*), count(DISTINCT name) FROM lst"),
 }

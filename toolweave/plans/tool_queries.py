@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from toolweave.functions import text as tx
 from toolweave.operators import conversations as cv
 from toolweave.operators import tool_lists, tools as to
-from toolweave.plans.base import MSG_SQL, TOOL_SQL, messages, records, tools
+from toolweave.plans.base import LIST_SQL, MSG_SQL, TOOL_SQL, messages, records, tools
 
 SPECIAL = ["hybrid_public_mix", "acebench_test"]
 _S = r"'^[\s\p{Z}]+|[\s\p{Z}]+$'"
@@ -50,6 +50,12 @@ def _extracted(s, d):
 _CALL_SQL = MSG_SQL + """, called AS (SELECT conv_id, pos, CASE WHEN json_valid(value) AND json_type(value) = 'OBJECT' THEN nullif(trim(json_extract_string(value, '$.name')), '') END AS name FROM msg WHERE role = 'function_call'),
 calls AS (SELECT * FROM called WHERE name IS NOT NULL)"""
 _NAMED = f"coalesce({_strip('name')}, '') <> ''"
+_SIG = "translate(coalesce({0}, ''), ' ' || chr(9) || chr(10) || chr(13), '')"
+_PAIR = f"{_SIG.format('name')}, {_SIG.format('description')}"
+_ALLOWED = TOOL_SQL + ", " + LIST_SQL + ", ok AS (SELECT * FROM tool WHERE tool_id % 20 <> 0)"
+_DSTRIP = _strip("coalesce(description, '')")
+_TIME = "(^|[^a-z0-9])(" + "|".join(tx.TIME_WORDS) + ")([^a-z0-9]|$)"
+_CAMEL = "[a-z](" + "|".join(w.capitalize() for w in tx.TIME_WORDS if "_" not in w) + ")([A-Z_]|$)|(^|[^A-Za-z])(" + "|".join(tx.TIME_WORDS) + ")[A-Z]"
 _LABELS = TOOL_SQL + f""", lab AS (SELECT tool_id, regexp_replace(regexp_replace(coalesce(name, ''), '[\\s\\p{{Z}}]+', ' ', 'g'), '^ | $', '', 'g') AS kn, regexp_replace(regexp_replace(coalesce(description, ''), '[\\s\\p{{Z}}]+', ' ', 'g'), '^ | $', '', 'g') AS kd,
 nullif({_strip('category')}, '') AS category, nullif({_strip('domain')}, '') AS domain FROM tool),
 ref AS (SELECT kn, kd, coalesce(arg_max({{'c': category, 'd': domain}}, tool_id) FILTER (category IS NOT NULL AND domain IS NOT NULL), arg_min({{'c': category, 'd': domain}}, tool_id)) AS l
@@ -84,10 +90,11 @@ SELECT tool_id FROM k WHERE NOT named OR n = 1"""),
     "tool_dedup_keep_first": (lambda s, d: to.dedup_across_files(tools(s, d), SPECIAL, "keep_first").select("tool_id"), f"""WITH {_ACROSS} SELECT tool_id FROM x WHERE source_file IN ({", ".join(f"'{x}'" for x in SPECIAL)}) OR NOT ({_NAMED}) OR n = 1 AND source_file = lo"""),
     "tool_dedup_report": (lambda s, d: to.file_report(tools(s, d), to.dedup_across_files(tools(s, d), SPECIAL)), f"""WITH {_ACROSS}, f AS (SELECT t.source_file, k.tool_id IS NOT NULL AS k FROM tool t LEFT JOIN kept k USING (tool_id))
 SELECT source_file, count(*) AS total, count(*) FILTER (k) AS kept, count(*) FILTER (NOT k) AS removed, round(100.0 * count(*) FILTER (NOT k) / count(*), 2) AS pct FROM f GROUP BY ROLLUP (source_file)"""),
-    "tool_extract": (_extracted, None),
-    "tool_containers": (_listed_counts, None),
-    "listed_tools": (lambda s, d: _listed(s, d).select("conv_id", "tool_pos", "name", "category", "domain"), None),
-    "time_tool_filter": (lambda s, d: to.time_tools(tools(s, d)).select("tool_id"), None),
+    "tool_extract": (_extracted, f"WITH {LIST_SQL}, k AS (SELECT {_SIG.format('name')} AS k_name, {_SIG.format('description')} AS k_text, conv_id, tool_pos, row_number() OVER (PARTITION BY {_PAIR} ORDER BY conv_id, tool_pos) AS n FROM lst WHERE name IS NOT NULL) SELECT k_name, k_text, conv_id, tool_pos FROM k WHERE n = 1"),
+    "tool_containers": (_listed_counts, f"WITH {LIST_SQL} SELECT container_kind, count(*) AS n, count(DISTINCT conv_id) AS n_records FROM els GROUP BY 1"),
+    "listed_tools": (lambda s, d: _listed(s, d).select("conv_id", "tool_pos", "name", "category", "domain"), f"WITH {LIST_SQL} SELECT conv_id, tool_pos, name, category, domain FROM lst"),
+    "time_tool_filter": (lambda s, d: to.time_tools(tools(s, d)).select("tool_id"), f"""WITH {TOOL_SQL}, n AS (SELECT tool_id, description, CASE WHEN json_valid(input_schema) AND json_type(input_schema, '$.properties') = 'OBJECT' THEN json_keys(input_schema, '$.properties') ELSE [] END AS p FROM tool)
+SELECT tool_id FROM n WHERE coalesce(len(list_filter(list_append(p, description), lambda x: regexp_matches(lower(x), '{_TIME}') OR regexp_matches(x, '{_CAMEL}'))) > 0, false)"""),
     "empty_schema_filter": (lambda s, d: to.without_empty_schema(tools(s, d)).select("tool_id"), f"""WITH {TOOL_SQL}, j AS (SELECT tool_id, CASE WHEN json_valid(input_schema) AND json_type(input_schema) = 'OBJECT' THEN input_schema END AS x FROM tool),
 k AS (SELECT tool_id, x, CASE WHEN json_type(x, '$.properties') = 'OBJECT' THEN json_keys(x, '$.properties') ELSE [] END AS p FROM j)
 SELECT tool_id FROM k WHERE x IS NULL OR len(list_filter(p, lambda y: y NOT IN ({", ".join(f"'{m}'" for m in to.META_NAMES)}))) > 0"""),
@@ -98,16 +105,16 @@ SELECT * FROM r WHERE reason IS NOT NULL"""),
 CASE WHEN domain IS NULL THEN 'null' WHEN {_strip('domain')} = '' THEN 'empty_string' WHEN {_strip('domain')} IN ('[]', '{{}}') THEN 'empty_list' ELSE 'valid' END AS domain_state FROM tool) SELECT *, count(*) AS n FROM l GROUP BY ALL"""),
     "label_enrichment": (lambda s, d: to.enrich_labels(tools(s, d), _ref(s, d)), f"WITH {_LABELS} SELECT * FROM enr"),
     "label_unmatched": (lambda s, d: to.enrich_labels(tools(s, d), _ref(s, d)).where("NOT matched AND (category IS NULL OR domain IS NULL)").select("tool_id"), f"WITH {_LABELS} SELECT tool_id FROM enr WHERE NOT matched AND (category IS NULL OR domain IS NULL)"),
-    "used_tools_semi": (lambda s, d: to.used_tools(tools(s, d), _listed(s, d)).select("tool_id"), None),
-    "unused_tools_anti": (lambda s, d: to.used_tools(tools(s, d), _listed(s, d), keep=False).select("tool_id"), None),
+    "used_tools_semi": (lambda s, d: to.used_tools(tools(s, d), _listed(s, d)).select("tool_id"), f"WITH {TOOL_SQL}, {LIST_SQL} SELECT tool_id FROM tool WHERE ({_PAIR}) IN (SELECT ({_PAIR}) FROM lst)"),
+    "unused_tools_anti": (lambda s, d: to.used_tools(tools(s, d), _listed(s, d), keep=False).select("tool_id"), f"WITH {TOOL_SQL}, {LIST_SQL} SELECT tool_id FROM tool WHERE ({_PAIR}) NOT IN (SELECT ({_PAIR}) FROM lst)"),
     "used_by_name": (lambda s, d: to.used_by_name(tools(s, d), _calls(s, d)).select("tool_id"), f"""WITH {TOOL_SQL}, {_CALL_SQL} SELECT tool_id FROM tool WHERE translate(coalesce(name, ''), ' ' || chr(9) || chr(10) || chr(13), '') IN (SELECT translate(name, ' ' || chr(9) || chr(10) || chr(13), '') FROM calls)"""),
     "removed_by_name": (lambda s, d: to.used_by_name(tools(s, d), _calls(s, d), keep=False).select("tool_id"), f"""WITH {TOOL_SQL}, {_CALL_SQL} SELECT tool_id FROM tool WHERE translate(coalesce(name, ''), ' ' || chr(9) || chr(10) || chr(13), '') NOT IN (SELECT translate(name, ' ' || chr(9) || chr(10) || chr(13), '') FROM calls)"""),
     "tool_lookup": (lambda s, d: to.lookup(_calls(s, d), tools(s, d)).select("conv_id", "pos", "tool_id"), f"""WITH {TOOL_SQL}, {_CALL_SQL}, a AS (SELECT name, max(tool_id) AS i FROM tool WHERE name IS NOT NULL GROUP BY 1), b AS (SELECT lower(name) AS name, max(tool_id) AS i FROM tool WHERE name IS NOT NULL GROUP BY 1)
 SELECT conv_id, pos, coalesce(a.i, b.i) AS tool_id FROM calls c LEFT JOIN a ON a.name = c.name LEFT JOIN b ON b.name = lower(c.name)"""),
     "first_of_name": (lambda s, d: to.first_of_name(tools(s, d)), f"WITH {TOOL_SQL}, r AS (SELECT name, tool_id, row_number() OVER (PARTITION BY name ORDER BY source_file, tool_id) AS n FROM tool WHERE name IS NOT NULL) SELECT name, tool_id FROM r WHERE n = 1"),
-    "allowlist_by_name": (lambda s, d: to.allowed_by_listed(_listed(s, d), _allow(s, d), ["name"]), None),
-    "allowlist_by_pair": (lambda s, d: to.allowed_by_listed(_listed(s, d), _allow(s, d), ["name", "description"]), None),
-    "allowlist_called": (lambda s, d: to.allowed_by_called(_calls(s, d), _listed(s, d), _allow(s, d)), None),
+    "allowlist_by_name": (lambda s, d: to.allowed_by_listed(_listed(s, d), _allow(s, d), ["name"]), f"WITH {_ALLOWED} SELECT DISTINCT conv_id FROM lst WHERE {_NAMED} AND {_strip('name')} NOT IN (SELECT {_strip('name')} FROM ok WHERE name IS NOT NULL)"),
+    "allowlist_by_pair": (lambda s, d: to.allowed_by_listed(_listed(s, d), _allow(s, d), ["name", "description"]), f"WITH {_ALLOWED} SELECT DISTINCT conv_id FROM lst WHERE {_NAMED} AND ({_strip('name')}, {_DSTRIP}) NOT IN (SELECT ({_strip('name')}, {_DSTRIP}) FROM ok WHERE name IS NOT NULL)"),
+    "allowlist_called": (lambda s, d: to.allowed_by_called(_calls(s, d), _listed(s, d), _allow(s, d)), f"WITH {_ALLOWED}, {_CALL_SQL}, own AS (SELECT conv_id, name, arg_max(description, tool_pos) AS description FROM lst WHERE name IS NOT NULL GROUP BY ALL), p AS (SELECT DISTINCT c.conv_id, c.name, o.description FROM calls c LEFT JOIN own o ON o.conv_id = c.conv_id AND o.name = c.name) SELECT DISTINCT conv_id FROM p WHERE ({_strip('name')}, {_DSTRIP}) NOT IN (SELECT ({_strip('name')}, {_DSTRIP}) FROM ok WHERE name IS NOT NULL)"),
     "name_overlap": (lambda s, d: to.name_overlap(tools(s, d)), f"WITH {TOOL_SQL}, n AS (SELECT DISTINCT source_file, name FROM tool WHERE name IS NOT NULL) SELECT a.source_file AS file_a, b.source_file AS file_b, count(*) AS common FROM n a JOIN n b ON a.name = b.name AND a.source_file < b.source_file GROUP BY ALL"),
     "name_intersection": (lambda s, d: tools(s, d).where("name IS NOT NULL").select("name").intersect(_calls(s, d).select("name")), f"WITH {TOOL_SQL}, {_CALL_SQL} SELECT name FROM tool INTERSECT SELECT name FROM calls"),
     "name_difference": (lambda s, d: tools(s, d).where("name IS NOT NULL").select("name").subtract(_calls(s, d).select("name")), f"WITH {TOOL_SQL}, {_CALL_SQL} SELECT name FROM tool WHERE name IS NOT NULL EXCEPT SELECT name FROM calls"),

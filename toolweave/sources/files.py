@@ -32,7 +32,7 @@ def conversations(spark: SparkSession, path: str) -> DataFrame:
     A single object counts as a list of one; files of another form give no rows. row_idx is the place in the
     file. tools stays text: an array in the file is kept as its JSON.
     """
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     rows = with_source(whole)
     text = F.trim("value")
     array = F.when(text.startswith("["), F.from_json(text, "array<string>")).when(text.startswith("{"), F.array(text))
@@ -49,7 +49,7 @@ def messages(records: DataFrame) -> DataFrame:
 
 def tool_pools(spark: SparkSession, path: str) -> DataFrame:
     """S3: (source_file, container) of tool files in any of the four layouts; open it with tool_lists.elements."""
-    return with_source(spark.read.option("wholetext", True).text(path)).select("source_file", F.col("value").alias("container"))
+    return with_source(spark.read.text(path, wholetext=True)).select("source_file", F.col("value").alias("container"))
 
 
 def tolerant_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -91,14 +91,14 @@ def columnar(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 def episodes(spark: SparkSession, path: str) -> DataFrame:
     """(episode, raw) of files episode_0001.json and so on."""
-    rows = with_source(spark.read.option("wholetext", True).text(path))
+    rows = with_source(spark.read.text(path, wholetext=True))
     number = F.regexp_extract("source_file", r"^episode_(\d{4})\.json$", 1)
     return rows.where(number != "").select(number.cast("int").alias("episode"), F.col("value").alias("raw"))
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """(source_file, text) of whole documents."""
-    return with_source(spark.read.option("wholetext", True).text(path)).select("source_file", F.col("value").alias("text"))
+    return with_source(spark.read.text(path, wholetext=True)).select("source_file", F.col("value").alias("text"))
 
 
 def write_json(df: DataFrame, path: str) -> None:

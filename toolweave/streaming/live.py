@@ -15,21 +15,26 @@ def parquet_stream(spark: SparkSession, folder: str, schema, pattern: str | None
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(folder)
 
 
+def timed(stream: DataFrame, at: str) -> DataFrame:
+    """The event time as a timestamp with zone, which watermarks need."""
+    return stream.withColumn(at, F.col(at).cast("timestamp"))
+
+
 def once(stream: DataFrame, keys: list[str], at: str, late: str = "1 hour") -> DataFrame:
     """Rows whose keys were not seen within the watermark: re-delivered rows are dropped with bounded state."""
-    return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
+    return timed(stream, at).withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
 def windowed_counts(stream: DataFrame, at: str, by: list[str], width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Tumbling or sliding counts: (window_start, window_end, by, n); rows later than the watermark are dropped."""
     window = F.window(at, width, slide) if slide else F.window(at, width)
-    counts = stream.withWatermark(at, late).groupBy(window.alias("_w"), *by).agg(F.count(F.lit(1)).alias("n"))
+    counts = timed(stream, at).withWatermark(at, late).groupBy(window.alias("_w"), *by).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *by, "n")
 
 
 def sessions(stream: DataFrame, at: str, key: str, gap: str, late: str = "1 hour") -> DataFrame:
     """Sessions of a key: (key, session_start, session_end, n)."""
-    grouped = stream.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("_w"), key).agg(F.count(F.lit(1)).alias("n"))
+    grouped = timed(stream, at).withWatermark(at, late).groupBy(F.session_window(at, gap).alias("_w"), key).agg(F.count(F.lit(1)).alias("n"))
     return grouped.select(key, F.col("_w.start").alias("session_start"), F.col("_w.end").alias("session_end"), "n")
 
 
