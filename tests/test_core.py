@@ -37,7 +37,7 @@ def test_text_keys(spark):
     assert r[0][0] == "My\xa0Tool\na\nb" and r[0][2] == "a-b-c" and r[0][3] == "My\xa0Tool" and r[1][0] == "" and r[1][1] == ""
 
 
-@pytest.mark.parametrize(("value", "hit"), [("pick a date", True), ("updateX", False), ("startDate", True), ("validate it", False), ("start_date", True), ("nothing", False)])
+@pytest.mark.parametrize(("value", "hit"), [("pick a date", True), ("updateX", True), ("startDate", True), ("validate it", False), ("start_date", True), ("nothing", False), ("Today", False), ("my-date", True)])
 def test_time_words(spark, value, hit):
     assert spark.createDataFrame([(value,)], "v string").select(tx.time_bound(F.col("v"))).first()[0] is hit
 
@@ -245,3 +245,33 @@ def test_streams_resume_and_match_batch(spark, tmp_path):
     assert spark.read.parquet(out).count() == 40
     usage = live.drain(live.running_usage(live.parquet_stream(spark, f"{tmp_path}/in/*", rows.schema, files=1), "name"), "use", "update", f"{tmp_path}/c2")
     assert {(r.name, r.n) for r in usage.groupBy("name").agg(F.max("n").alias("n")).collect()} == {("a", 25), ("b", 25)}
+
+
+def test_registered_functions(spark):
+    from toolweave.functions.registry import register
+
+    register(spark)
+    r = spark.sql("""SELECT tw_rouge_l('a b c', 'a c') AS a, tw_clean_json('{"x": null, "y": 1}') AS b, tw_repair_json('{"x": [1') AS c""").first()
+    assert (round(r.a, 3), r.b, r.c) == (0.8, '{"y": 1}', '{"x": [1]}')
+    assert [round(x, 3) for x in spark.sql("SELECT tw_unit_sum(v) AS v FROM VALUES (array(3.0D, 0.0D)), (array(0.0D, 4.0D)) AS t(v)").first().v] == [0.6, 0.8]
+    xml = jx.trajectory_xml({"calls": [{"tool": "t", "result": "r"}]})
+    assert [tuple(x) for x in spark.sql(f"SELECT * FROM tw_calls('{xml}')").collect()] == [(1, "t", "r")]
+    spark.createDataFrame([(1, xml), (2, None)], "id long, x string").createOrReplaceTempView("docs")
+    assert [tuple(x) for x in spark.sql("SELECT id, c.tool FROM docs, LATERAL tw_calls(x) AS c").collect()] == [(1, "t")]
+
+
+def test_text_builders(spark):
+    df = spark.createDataFrame([("Summary\n• one\n2. two\n- three", {"k": "v"}, " q ", ["a", "b", "a"]), (None, None, None, None)], "r string, a map<string,string>, m string, v array<string>")
+    got = df.select(tx.observation(F.col("r"), F.col("a")), tx.with_values(F.col("m"), F.col("v")), tx.bullets(F.col("r"))).collect()
+    blocks = json.loads(got[0][0])
+    assert [b["type"] for b in blocks] == ["text", "list", "table"] and blocks[1]["items"] == ["one", "two", "three"] and blocks[2]["rows"] == [{"parameter": "k", "value": "v"}]
+    assert got[0][1] == "q Specifically: a, b." and [b["type"] for b in json.loads(got[1][0])] == ["text"] and got[1][1] is None and got[1][2] == []
+    name = lambda v: spark.createDataFrame([(v,)], "f string").select(tx.dataset_name(F.col("f"))).first()[0]
+    assert name("a/pred_toolace_test.json") == name("toolace_origin.jsonl") == "toolace"
+
+
+def test_subsets(spark):
+    m = spark.createDataFrame([(i, 1, 2, 2, 1.0, 1.0, 0.5) for i in range(12)], "conv_id long, turn int, n_pred int, n_true int, strict_precision double, flexible_precision double, strict_accuracy double")
+    s = spark.createDataFrame([(i, 1, "serial" if i < 3 else "parallel") for i in range(12)], "conv_id long, turn int, strategy string")
+    got = {r.subset: r.n for r in sc.subset_metrics(m, s, 4).where("dimension = 'multi-hop'").collect()}
+    assert got == {"all": 12, "serial": 3, "parallel": 9, "1:1": 6, "1:2": 9, "1:3": 12, "1:4": 10}

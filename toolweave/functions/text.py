@@ -13,10 +13,16 @@ CJK_GUARD = r"[㐀-䶿一-鿿　-〿]"
 
 # Words of time that make a tool time-bound.
 TIME_WORDS = (
-    "time date day days week weeks month months year years hour hours minute minutes second seconds today tomorrow yesterday "
-    "datetime timestamp timezone calendar schedule deadline duration period daily weekly monthly yearly start_date end_date start_time end_time "
-    "morning evening"
+    "date dates time times datetime timestamp start_time end_time start_date end_date pick_up_time drop_off_time pickup_time dropoff_time "
+    "pick_up_date drop_off_date pickup_date dropoff_date duration when schedule scheduled day days hour hours minute minutes second seconds "
+    "period periods year years month months week weeks"
 ).split()
+_WORDS = "|".join(TIME_WORDS)
+_TITLES = "|".join(w.capitalize() for w in TIME_WORDS)
+#: In lower case: a word by itself, or between separators or ends. As written: inside a camelCase name, which
+#: also takes words like updateX; that is part of the rule.
+TIME_LOWER = rf"\b({_WORDS})\b|(^|[_\-\s])({_WORDS})[_\-\s]|[_\-\s]({_WORDS})$"
+TIME_CAMEL = rf"({_WORDS})[A-Z]|[A-Za-z]({_TITLES})|({_TITLES})[A-Z]"
 
 
 def strip(c: Column) -> Column:
@@ -99,13 +105,46 @@ def offending(c: Column, pattern: str = NON_ENGLISH, most: int = 10) -> Column:
 
 
 def time_bound(c: Column) -> Column:
-    """Whether a text speaks of time: a word of the list between separators, or inside a camelCase name."""
-    words = "|".join(TIME_WORDS)
-    camel = "|".join(w.capitalize() for w in TIME_WORDS if "_" not in w)
-    return F.lower(c).rlike(rf"(^|[^a-z0-9])({words})([^a-z0-9]|$)") | c.rlike(rf"[a-z]({camel})([A-Z_]|$)") | c.rlike(rf"(^|[^A-Za-z])({words})[A-Z]")
+    """Whether a text speaks of time."""
+    return F.lower(c).rlike(TIME_LOWER) | c.rlike(TIME_CAMEL)
 
 
 def dataset_name(c: Column) -> Column:
     """The data set a file name stands for: without directory, extension and the usual suffixes."""
     stem = F.regexp_replace(F.regexp_extract(c, r"([^/]+)$", 1), r"\.jsonl?$", "")
     return F.regexp_replace(F.regexp_replace(stem, r"^(result|pred|generated)_", ""), r"_(train|test|result|pred|origin|filtered)$", "")
+
+
+def file_properties(c: Column) -> Column:
+    """Hop, turn, strategy and domain as a file's name says, with single-hop and single-turn where it is silent."""
+    low = F.lower(c)
+    said = lambda *names: F.coalesce(*[F.when(low.contains(n), F.lit(v)) for n, v in names])
+    return F.create_map(
+        F.lit("hop"), F.coalesce(said(("single-hop", "single-hop"), ("multi-hop", "multi-hop")), F.lit("single-hop")),
+        F.lit("turn"), F.coalesce(said(("single-turn", "single-turn"), ("multi-turn", "multi-turn")), F.lit("single-turn")),
+        F.lit("strategy"), F.coalesce(said(("parallel", "Parallel"), ("serial", "Serial")), F.lit("")),
+        F.lit("domain"), F.coalesce(said(("out_domain", "out_domain"), ("in_domain", "in_domain")), F.lit("")),
+        F.lit("other"), c,
+    )
+
+
+def with_values(message: Column, values: Column) -> Column:
+    """The stripped message with the distinct missing values named after it; as it is where none is missing."""
+    named = F.array_join(F.array_distinct(values), ", ")
+    return F.when(F.size(F.coalesce(values, F.array().cast("array<string>"))) > 0, F.concat(strip(F.coalesce(message, F.lit(""))), F.lit(" Specifically: "), named, F.lit("."))).otherwise(message)
+
+
+def bullets(c: Column) -> Column:
+    """The items of a text's list lines, by bullet or by number."""
+    lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), strip), lambda x: x.rlike(r"^([•\-*]|[0-9][).].)"))
+    return F.transform(lines, lambda x: strip(F.regexp_replace(x, r"^([•\-* ]+|[0-9][).])", "")))
+
+
+def observation(result: Column, arguments: Column) -> Column:
+    """The blocks of an observation as JSON: a text, the list of the result's items, a table of the arguments."""
+    text = F.struct(F.lit("text").alias("type"), strip(F.concat(F.lit("Result analysis completed.\n\n"), strip(F.coalesce(result, F.lit(""))))).alias("text"))
+    items = F.struct(F.lit("list").alias("type"), F.lit("Key Findings").alias("title"), bullets(result).alias("items"))
+    rows = F.transform(F.map_entries(arguments), lambda e: F.struct(e["key"].alias("parameter"), e["value"].alias("value")))
+    table = F.struct(F.lit("table").alias("type"), F.lit("Input Parameters").alias("title"), F.array(F.lit("parameter"), F.lit("value")).alias("headers"), rows.alias("rows"))
+    parts = F.array(F.to_json(text), F.when(F.size(bullets(result)) > 0, F.to_json(items)), F.when(F.size(arguments) > 0, F.to_json(table)))
+    return F.concat(F.lit("["), F.array_join(F.array_compact(parts), ", "), F.lit("]"))

@@ -10,6 +10,20 @@ def hash_order(key: str, seed: str) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))
 
 
+def hash_rank(df: DataFrame, group: list[str], order: Column, key: list[str]) -> DataFrame:
+    """df + _r: the rank of each row in its group by a hexadecimal hash, ties by key, from 1.
+
+    Groups are cut into 4096 slots by the first digits of the hash, counted, and ranked slot by slot, so a
+    group that holds a third of all rows is spread over many tasks.
+    """
+    marked = df.withColumn("_h", order).withColumn("_slot", F.substring("_h", 1, 3))
+    counts = marked.groupBy(*group, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_slot")) - F.col("_n")
+    counts = counts.select(*group, "_slot", before.alias("_b"))
+    rank = F.row_number().over(Window.partitionBy(*group, "_slot").orderBy("_h", *key))
+    return marked.join(counts, [*group, "_slot"]).withColumn("_r", F.col("_b") + rank).drop("_h", "_slot", "_b")
+
+
 def uniform(df: DataFrame, key: str, k: int, seed: str = "42") -> DataFrame:
     """K rows without replacement, the first by hash."""
     return df.orderBy(hash_order(key, seed), key).limit(k)
@@ -30,17 +44,16 @@ def proportional(df: DataFrame, stratum: str, key: str, n: int, seed: str = "42"
     last = F.max(stratum).over(Window.partitionBy()) == F.col(stratum)
     quotas = total.withColumn("_last", last).withColumn("_q", F.when(F.col("_last"), 0).otherwise(quota))
     quotas = quotas.withColumn("_q", F.when(F.col("_last"), F.lit(n) - F.sum("_q").over(Window.partitionBy())).otherwise(F.col("_q"))).select(stratum, "_q")
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(key, seed), key))
-    return df.withColumn("_r", rank).join(quotas, stratum).where("_r <= _q").drop("_r", "_q")
+    ranked = hash_rank(df, [stratum], hash_order(key, seed), [key])
+    return ranked.join(quotas, stratum).where("_r <= _q").drop("_r", "_q")
 
 
 def ratio_subset(df: DataFrame, label: str, a: str, b: str, key: str, n: int, seed: str = "42") -> DataFrame:
     """S rows of label ``a`` and n * s of ``b``, s as great as both allow; by hash order."""
-    counts = df.agg(F.count_if(F.col(label) == a).alias("_a"), F.count_if(F.col(label) == b).alias("_b"))
-    size = F.least("_a", F.floor(F.col("_b") / n))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(hash_order(key, seed), key))
-    rows = df.where(F.col(label).isin(a, b)).withColumn("_r", rank).join(F.broadcast(counts.select(size.alias("_s"))))
-    return rows.where(F.col("_r") <= F.when(F.col(label) == a, F.col("_s")).otherwise(n * F.col("_s"))).drop("_r", "_s")
+    x, y = df.agg(F.count_if(F.col(label) == a), F.count_if(F.col(label) == b)).first()
+    size = min(x, y // n)
+    rows = hash_rank(df.where(F.col(label).isin(a, b)), [label], hash_order(key, seed), [key])
+    return rows.where(F.col("_r") <= F.when(F.col(label) == a, size).otherwise(n * size)).drop("_r")
 
 
 def lock_value(df: DataFrame, label: str, least: int, seed: str = "42", tries: int = 20) -> DataFrame:
@@ -82,9 +95,9 @@ def episode_tools(usage: DataFrame, key: str, count: str, size: int = 10, most:
 
 def with_repeats(ids: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:
     """(ordinal, key): n ids in hash order, each once before any repeats."""
-    count = F.count(F.lit(1)).over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy(hash_order(key, seed), key)) - 1
-    placed = ids.select(key, rank.alias("_r"), count.alias("_n")).where(F.col("_r") < n)
+    total = max(1, ids.count())
+    ranked = hash_rank(ids.select(key).withColumn("_all", F.lit(0)), ["_all"], hash_order(key, seed), [key])
+    placed = ranked.select(key, (F.col("_r") - 1).alias("_r"), F.lit(total).alias("_n")).where(F.col("_r") < n)
     rounds = F.sequence(F.lit(0), F.floor((F.lit(n - 1) - F.col("_r")) / F.col("_n")).cast("int"))
     return placed.select(F.explode(rounds).alias("_k"), key, "_r", "_n").select((F.col("_k") * F.col("_n") + F.col("_r")).cast("bigint").alias("ordinal"), key)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from toolweave.functions import jsonx as jx
 from toolweave.functions import text as tx
+from toolweave.operators.sampling import hash_rank
 
 METRICS = ["toolfit", "clarity", "naturalness", "success", "grounding", "efficiency"]
 DIMENSIONS = ["single-hop", "multi-hop", "single-turn", "multi-turn"]
@@ -170,17 +171,19 @@ def match_calls(pred: DataFrame, truth: DataFrame) -> DataFrame:
     Names are compared stripped and in lower case. Inside a turn equal calls are paired first, in order;
     what is left is paired in order by name. Predicted calls without a partner have a null t_pos, true ones a null p_pos.
     """
-    side = lambda df, p: df.select("conv_id", "turn", F.lower(tx.strip(F.col("name"))).alias("_n"), F.coalesce("arguments", F.lit("")).alias("_a"), F.col("pos").alias(f"{p}_pos"))
+    side = lambda df, p: df.select("conv_id", "turn", F.lower(tx.strip(F.col("name"))).alias("_n"), F.coalesce("arguments", F.lit("")).alias("_a"), F.lit(p).alias("_s"), "pos")
+    # One shuffle by turn and name serves both windows and both groupings, whose keys all contain these.
+    rows = side(pred, "p").unionByName(side(truth, "t")).repartition("conv_id", "turn", "_n")
+    of = lambda s: F.max(F.when(F.col("_s") == s, F.col("pos"))).alias(f"{s}_pos")
     equal = ["conv_id", "turn", "_n", "_a"]
-    number = lambda df, keys, p: df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(f"{p}_pos")))
-    # One pass pairs equal calls, the other pairs the rest; both keep the rows of either side.
-    first = number(side(pred, "p"), equal, "p").join(number(side(truth, "t"), equal, "t"), [*equal, "_r"], "full").drop("_r")
-    done = first.where("p_pos IS NOT NULL AND t_pos IS NOT NULL").select("conv_id", "turn", "p_pos", "t_pos", F.lit(True).alias("exact"))
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*equal, "_s").orderBy("pos")))
+    first = rows.groupBy(*equal, "_r").agg(of("p"), of("t"))
+    exact = F.col("p_pos").isNotNull() & F.col("t_pos").isNotNull()
+    left = first.withColumn("_s", F.when(exact, "e").when(F.col("p_pos").isNotNull(), "p").otherwise("t")).withColumn("_o", F.coalesce("p_pos", "t_pos"))
     named = ["conv_id", "turn", "_n"]
-    rest_p = number(first.where("t_pos IS NULL").drop("t_pos", "_a"), named, "p")
-    rest_t = number(first.where("p_pos IS NULL").drop("p_pos", "_a"), named, "t")
-    second = rest_p.join(rest_t, [*named, "_r"], "full").select("conv_id", "turn", "p_pos", "t_pos", F.lit(False).alias("exact"))
-    return done.unionByName(second)
+    left = left.withColumn("_k", F.row_number().over(Window.partitionBy(*named, "_s").orderBy("_o", "t_pos"))).withColumn("exact", F.col("_s") == "e")
+    second = left.groupBy(*named, "exact", "_k").agg(F.max("p_pos").alias("p_pos"), F.max("t_pos").alias("t_pos"))
+    return second.select("conv_id", "turn", "p_pos", "t_pos", "exact")
 
 
 def turn_metrics(matched: DataFrame) -> DataFrame:
@@ -254,3 +257,20 @@ def file_status(files: DataFrame) -> DataFrame:
     """(status, n) of files (file, n_pred, n_true): missing, empty, short, long or complete."""
     status = F.when(F.col("n_pred").isNull(), "missing").when(F.col("n_pred") == 0, "empty").when(F.col("n_pred") < F.col("n_true"), "short").when(F.col("n_pred") > F.col("n_true"), "long").otherwise("complete")
     return files.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def subset_metrics(metrics: DataFrame, strategy: DataFrame, most: int = 10, seed: str = "42") -> DataFrame:
+    """M5: (subset, dimension, n, metrics) over the turns of more than one call: all of them, the serial ones, the
+    parallel ones, and for N from 1 to ``most`` a serial to parallel mix of 1 to N drawn by hash.
+
+    A turn's number of subsets is bounded by ``most``, so the membership is one explode, not a pass for each.
+    """
+    turns = metrics.join(strategy, ["conv_id", "turn"]).where("strategy <> 'single'")
+    order = F.md5(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.lit(seed)))
+    serial, parallel = turns.agg(F.count_if(F.col("strategy") == "serial"), F.count_if(F.col("strategy") == "parallel")).first()
+    ranked = hash_rank(turns, ["strategy"], order, ["conv_id", "turn"])
+    size = {n: min(serial, parallel // n) for n in range(1, most + 1)}
+    inside = lambda n: F.col("_r") <= F.when(F.col("strategy") == "serial", size[n]).otherwise(n * size[n])
+    member = [F.lit("all"), F.col("strategy"), *[F.when(inside(n), F.lit(f"1:{n}")) for n in range(1, most + 1)]]
+    rows = ranked.select("conv_id", "turn", "n_pred", "n_true", "strict_precision", "flexible_precision", "strict_accuracy", F.explode(F.array_compact(F.array(*member))).alias("subset"))
+    return dimension_metrics(rows, ["subset"])

@@ -12,21 +12,27 @@ from pyspark.sql import functions as F
 from toolweave.functions import text as tx
 
 # Parameter names that describe a schema rather than a real parameter.
-META_NAMES = ["type", "properties", "required", "description", "title", "id", "default", "enum", "items"]
+META_NAMES = ["additionalProperties", "$schema", "dummy", "title", "random_string", "weekly_id", "id", "type", "description"]
 # The label spaces.
-CATEGORIES = ["analysis", "generate", "operations", "search", "system", "visualization"]
+CATEGORIES = ["analysis", "operations", "system", "visualization", "search", "generate"]
+DOMAINS = ["finance", "technology", "education", "healthcare", "entertainment", "travel", "business", "lifestyle", "science", "social", "sports", "environment", "culture"]
+
+
+def _one_by(df: DataFrame, keys: list[str], order: list[str], pick) -> DataFrame:
+    """One row per key by aggregation, which combines before the shuffle: a key that a third of all rows share is no hot task."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    best = pick(F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest])).alias("_best")
+    return df.groupBy(*keys).agg(best).select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns])
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key; null keys are equal to one another."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """The first row of each key, ties by the other columns; null keys are equal to one another."""
+    return _one_by(df, keys, order, F.min)
 
 
 def last_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    return _one_by(df, keys, order, F.max)
 
 
 def dedup_first(tools: DataFrame) -> DataFrame:
@@ -46,12 +52,12 @@ def dedup_across_files(tools: DataFrame, special: list[str], mode: str = "drop_a
     """
     kept = F.col("source_file").isin(special) | tx.blank(F.col("name"))
     pair = ["name", "description"]
-    in_file = F.row_number().over(Window.partitionBy("source_file", *pair).orderBy("tool_id"))
+    # One row per file and pair, by aggregation; then a pair has at most as many rows as there are files.
+    first = first_by(tools.where(~tx.blank(F.col("name"))), ["source_file", *pair], ["tool_id"])
     by_pair = Window.partitionBy(*pair)
-    rows = tools.withColumn("_n", in_file).withColumn("_low", F.min("source_file").over(by_pair)).withColumn("_high", F.max("source_file").over(by_pair))
-    alone = F.col("_low") == F.col("_high")
-    stays = alone if mode == "drop_all" else F.col("source_file") == F.col("_low")
-    return rows.where(kept | ((F.col("_n") == 1) & stays)).drop("_n", "_low", "_high")
+    rows = first.withColumn("_low", F.min("source_file").over(by_pair)).withColumn("_high", F.max("source_file").over(by_pair))
+    stays = F.col("_low") == F.col("_high") if mode == "drop_all" else F.col("source_file") == F.col("_low")
+    return tools.where(kept).unionByName(rows.where(stays & ~kept).drop("_low", "_high"))
 
 
 def file_report(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -69,17 +75,23 @@ def schema_properties(schema: Column) -> Column:
 
 
 def without_empty_schema(tools: DataFrame, schema: str = "input_schema") -> DataFrame:
-    """drop tools whose schema has no parameter but metadata names; a missing or unreadable schema stays."""
+    """drop tools whose schema has no properties, or only metadata names; a schema that is missing or no
+    object stays, and so does one whose properties are no object."""
     known = F.col(schema).rlike(r"^\s*\{") & F.try_parse_json(schema).isNotNull()
-    names = F.coalesce(schema_properties(F.col(schema)), F.array().cast("array<string>"))
-    empty = F.size(F.array_except(names, F.array(*[F.lit(x) for x in META_NAMES]))) == 0
-    return tools.where(~(F.coalesce(known, F.lit(False)) & empty))
+    inside = F.get_json_object(schema, "$.properties")
+    bare = inside.isNull() | (F.size(F.array_except(schema_properties(F.col(schema)), F.array(*[F.lit(x) for x in META_NAMES]))) == 0)
+    return tools.where(~F.coalesce(known & bare, F.lit(False)))
 
 
 def time_tools(tools: DataFrame, schema: str = "input_schema") -> DataFrame:
-    """tools that speak of time in their description or the names of their parameters."""
-    names = F.coalesce(F.exists(schema_properties(F.col(schema)), tx.time_bound), F.lit(False))
-    return tools.where(F.coalesce(tx.time_bound(F.col("description")), F.lit(False)) | names)
+    """tools that speak of time in their description, or in the names, descriptions or required names of
+    their parameters."""
+    inside = F.from_json(F.get_json_object(schema, "$.properties"), "map<string,string>")
+    names = F.coalesce(schema_properties(F.col(schema)), F.array().cast("array<string>"))
+    texts = F.coalesce(F.transform(F.map_values(inside), lambda v: F.get_json_object(v, "$.description")), F.array().cast("array<string>"))
+    needed = F.coalesce(F.from_json(F.get_json_object(schema, "$.required"), "array<string>"), F.array().cast("array<string>"))
+    every = F.concat(F.array("description"), names, texts, needed)
+    return tools.where(F.exists(F.array_compact(every), tx.time_bound))
 
 
 def cjk_tools(tools: DataFrame) -> DataFrame:
@@ -208,3 +220,15 @@ def suffix_lookup(calls: DataFrame, functions: DataFrame) -> DataFrame:
     out = calls.withColumn("_base", base).join(names.select("_f", F.col("_f").alias("_exact")), F.col("name") == F.col("_f"), "left").drop("_f")
     out = out.join(names.select("_f", F.col("_f").alias("_cut")), F.col("_base") == F.col("_f"), "left").drop("_f")
     return out.withColumn("matched", F.coalesce("_exact", "_cut")).drop("_base", "_exact", "_cut")
+
+
+def domain_pool(tools: DataFrame, domain: str, category: str | None = None) -> DataFrame:
+    """the tools of a domain, and of a category where one is given, case apart."""
+    same = lambda c, v: F.lower(tx.strip(F.col(c))) == v.lower()
+    return tools.where(same("domain", domain) if category is None else same("domain", domain) & same("category", category))
+
+
+def file_match(predictions: DataFrame, truths: DataFrame) -> DataFrame:
+    """(prediction, truth): files by the data set their names stand for, of several truths the first by name."""
+    named = truths.select(tx.dataset_name(F.col("file")).alias("_d"), F.col("file").alias("truth")).groupBy("_d").agg(F.min("truth").alias("truth"))
+    return predictions.select(F.col("file").alias("prediction"), tx.dataset_name(F.col("file")).alias("_d")).join(named, "_d", "left").drop("_d")

@@ -128,9 +128,9 @@ k AS (SELECT unnest(kept) AS o FROM g WHERE o = (SELECT count(*) FROM n))"""
 
 def _lists(s, d):
     v = table(s, d, "embeddings").select("vec_id", "embedding")
-    n = v.agg((F.max("vec_id") + 1).alias("n"))
+    n = v.agg(F.max("vec_id") + 1).first()[0]
     need = table(s, d, "orders").select(F.col("o_orderkey").alias("conv_id"), F.explode(F.sequence(F.lit(0), (F.col("o_orderkey") % 4).cast("int"))).alias("first"))
-    need = need.where("conv_id % 50 = 0").crossJoin(F.broadcast(n)).select("conv_id", F.pmod(F.col("conv_id") * 31 + F.col("first") * 17, F.col("n")).alias("vec_id"), "first")
+    need = need.where("conv_id % 50 = 0").select("conv_id", F.pmod(F.col("conv_id") * 31 + F.col("first") * 17, F.lit(n)).alias("vec_id"), "first")
     return sim.hybrid_lists(need.join(v.select("vec_id"), "vec_id", "left_semi"), v, "vec_id", "embedding")
 
 
@@ -165,6 +165,10 @@ SELECT conv_id, turn, round(coalesce(count(*) FILTER (ok AND p_pos IS NOT NULL)
     "dimension_metrics": (lambda s, d: sc.dimension_metrics(_metrics(s, d)), f"WITH {_CALLS}, {_dims('')} SELECT * FROM dim"),
     "weighted_dimension_metrics": (lambda s, d: sc.weighted_dimensions(sc.dimension_metrics(_metrics(s, d).withColumn("file", F.col("conv_id") % 3), ["file"])),
         f"WITH {_CALLS}, {_dims('file')} SELECT dimension, sum(n)::BIGINT AS n, round(coalesce(sum(strict_precision * n) / sum(n), 0), 5) AS strict_precision, round(coalesce(sum(flexible_precision * n) / sum(n), 0), 5) AS flexible_precision, round(coalesce(sum(strict_accuracy * n) / sum(n), 0), 5) AS strict_accuracy FROM dim GROUP BY 1"),
+    "subset_metrics": (lambda s, d: sc.subset_metrics(_metrics(s, d), sc.strategies(_linked(s, d))).where("subset IN ('all', 'serial', 'parallel') AND dimension = 'multi-hop'"),
+        f"""WITH {_LINKED}, x AS (SELECT me.*, strategy FROM me JOIN st USING (conv_id, turn) WHERE strategy <> 'single'), y AS (SELECT 'all' AS subset, * FROM x UNION ALL SELECT strategy, * FROM x)
+SELECT subset, 'multi-hop' AS dimension, count(*) FILTER (n_true >= 2) AS n, round(coalesce(avg(strict_precision) FILTER (n_true >= 2), 0), 6) AS strict_precision, round(coalesce(avg(flexible_precision) FILTER (n_true >= 2), 0), 6) AS flexible_precision, round(coalesce(avg(strict_accuracy) FILTER (n_true >= 2), 0), 6) AS strict_accuracy FROM y GROUP BY 1"""),
+    "subset_ratios": (lambda s, d: sc.subset_metrics(_metrics(s, d), sc.strategies(_linked(s, d))), None),
     "strategy_detect": (lambda s, d: sc.strategies(_linked(s, d)), f"WITH {_LINKED} SELECT conv_id, turn, strategy FROM st"),
     "ratio_subset": (lambda s, d: sa.ratio_subset(sc.strategies(_linked(s, d)).withColumn("key", F.col("conv_id") * 10 + F.col("turn")), "strategy", "serial", "parallel", "key", 2).select("key", "strategy"),
         f"""WITH {_LINKED}, k AS (SELECT conv_id * 10 + turn AS key, strategy FROM st WHERE strategy <> 'single'), z AS (SELECT least(count(*) FILTER (strategy = 'serial'), count(*) FILTER (strategy = 'parallel') // 2) AS s FROM k),

@@ -151,11 +151,8 @@ def _prompts(s, d):
     return ge.assembled(messages(s, d), records(s, d), 2).select("conv_id", F.size("prompt").cast("bigint").alias("n"))
 
 
-DOMAINS = ["business", "education", "entertainment", "finance", "healthcare", "lifestyle", "science", "social", "sports", "technology", "travel", "environment", "culture"]
-
-
 def _classify(s, d):
-    return ge.classify(tools(s, d).where(tx.blank(F.col("category"))), "tool_id", "description", to.CATEGORIES, DOMAINS)
+    return ge.classify(tools(s, d).where(tx.blank(F.col("category"))), "tool_id", "description", to.CATEGORIES, to.DOMAINS)
 
 
 def _judge(s, d):
@@ -194,6 +191,27 @@ def _cache(s, d):
     return sim.cached_vectors(t, cache).select("tool_id", F.col("embedding").isNotNull().alias("hit"))
 
 
+def _observations(s, d):
+    """The catalogue's descriptions as results, its labels as arguments."""
+    t = tools(s, d).where("description IS NOT NULL")
+    arguments = F.map_filter(F.create_map(F.lit("category"), "category", F.lit("domain"), "domain"), lambda k, v: v.isNotNull())
+    return t.select("tool_id", tx.observation(F.concat(F.lit("- "), "description"), arguments).alias("value"))
+
+
+def _block_counts(s, d):
+    return _observations(s, d).select("tool_id", F.json_array_length("value").cast("bigint").alias("blocks"))
+
+
+def _hints(s, d):
+    t = tools(s, d).where("description IS NOT NULL")
+    return t.select("tool_id", F.md5(tx.with_values(F.col("description"), F.array_compact(F.array("category", "domain", "category")))).alias("h"))
+
+
+def _anchors(s, d):
+    t = tools(s, d).where("description IS NOT NULL AND name IS NOT NULL")
+    return t.select("tool_id", sc.anchored(F.col("description"), F.array("name", "domain", F.lit(None).cast("string"))).alias("anchored"))
+
+
 def _place(s):
     return f"{shared_dir(s)}/streams/{uuid.uuid4().hex}"
 
@@ -254,6 +272,10 @@ SELECT c.conv_id, 1 + count(m.pos) AS n FROM c JOIN rec USING (conv_id) LEFT JOI
     "stream_usage": (_stream_usage, "SELECT event_type AS name, count(*) AS n FROM events GROUP BY 1"),
     "stream_sessions": (_sessions, """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events), k AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, min(ts) AS session_start, count(*) AS n FROM k GROUP BY user_id, k.k"""),
+    "observation_build": (_block_counts, f"WITH {TOOL_SQL} SELECT tool_id, 1 + 1 + CASE WHEN category IS NOT NULL OR domain IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS blocks FROM tool WHERE description IS NOT NULL"),
+    "value_hints": (_hints, f"""WITH {TOOL_SQL}, v AS (SELECT tool_id, description, list_filter([category, CASE WHEN domain IS DISTINCT FROM category THEN domain END], lambda x: x IS NOT NULL) AS v FROM tool WHERE description IS NOT NULL)
+SELECT tool_id, md5(CASE WHEN len(v) > 0 THEN regexp_replace(description, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') || ' Specifically: ' || array_to_string(v, ', ') || '.' ELSE description END) AS h FROM v"""),
+    "anchor_check": (_anchors, f"WITH {TOOL_SQL} SELECT tool_id, contains(lower(description), lower(name)) OR coalesce(contains(lower(description), lower(domain)), false) AS anchored FROM tool WHERE description IS NOT NULL AND name IS NOT NULL"),
     "batches": (_batches, "WITH r AS (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 64 AS batch FROM documents) SELECT source, batch, count(*) AS n FROM r GROUP BY ALL"),
     "occurrence_union": (_union, f"WITH {TOOL_SQL}, {LIST_SQL} SELECT 'catalogue' AS origin, count(*) AS n, count(DISTINCT name) AS names FROM tool UNION ALL SELECT 'records', count(*), count(DISTINCT name) FROM lst"),
 }

@@ -54,8 +54,6 @@ _SIG = "translate(coalesce({0}, ''), ' ' || chr(9) || chr(10) || chr(13), '')"
 _PAIR = f"{_SIG.format('name')}, {_SIG.format('description')}"
 _ALLOWED = TOOL_SQL + ", " + LIST_SQL + ", ok AS (SELECT * FROM tool WHERE tool_id % 20 <> 0)"
 _DSTRIP = _strip("coalesce(description, '')")
-_TIME = "(^|[^a-z0-9])(" + "|".join(tx.TIME_WORDS) + ")([^a-z0-9]|$)"
-_CAMEL = "[a-z](" + "|".join(w.capitalize() for w in tx.TIME_WORDS if "_" not in w) + ")([A-Z_]|$)|(^|[^A-Za-z])(" + "|".join(tx.TIME_WORDS) + ")[A-Z]"
 _LABELS = TOOL_SQL + f""", lab AS (SELECT tool_id, regexp_replace(regexp_replace(coalesce(name, ''), '[\\s\\p{{Z}}]+', ' ', 'g'), '^ | $', '', 'g') AS kn, regexp_replace(regexp_replace(coalesce(description, ''), '[\\s\\p{{Z}}]+', ' ', 'g'), '^ | $', '', 'g') AS kd,
 nullif({_strip('category')}, '') AS category, nullif({_strip('domain')}, '') AS domain FROM tool),
 ref AS (SELECT kn, kd, coalesce(arg_max({{'c': category, 'd': domain}}, tool_id) FILTER (category IS NOT NULL AND domain IS NOT NULL), arg_min({{'c': category, 'd': domain}}, tool_id)) AS l
@@ -93,11 +91,13 @@ SELECT source_file, count(*) AS total, count(*) FILTER (k) AS kept, count(*) FIL
     "tool_extract": (_extracted, f"WITH {LIST_SQL}, k AS (SELECT {_SIG.format('name')} AS k_name, {_SIG.format('description')} AS k_text, conv_id, tool_pos, row_number() OVER (PARTITION BY {_PAIR} ORDER BY conv_id, tool_pos) AS n FROM lst WHERE name IS NOT NULL) SELECT k_name, k_text, conv_id, tool_pos FROM k WHERE n = 1"),
     "tool_containers": (_listed_counts, f"WITH {LIST_SQL} SELECT container_kind, count(*) AS n, count(DISTINCT conv_id) AS n_records FROM els GROUP BY 1"),
     "listed_tools": (lambda s, d: _listed(s, d).select("conv_id", "tool_pos", "name", "category", "domain"), f"WITH {LIST_SQL} SELECT conv_id, tool_pos, name, category, domain FROM lst"),
-    "time_tool_filter": (lambda s, d: to.time_tools(tools(s, d)).select("tool_id"), f"""WITH {TOOL_SQL}, n AS (SELECT tool_id, description, CASE WHEN json_valid(input_schema) AND json_type(input_schema, '$.properties') = 'OBJECT' THEN json_keys(input_schema, '$.properties') ELSE [] END AS p FROM tool)
-SELECT tool_id FROM n WHERE coalesce(len(list_filter(list_append(p, description), lambda x: regexp_matches(lower(x), '{_TIME}') OR regexp_matches(x, '{_CAMEL}'))) > 0, false)"""),
+    "time_tool_filter": (lambda s, d: to.time_tools(tools(s, d)).select("tool_id"), f"""WITH {TOOL_SQL}, j AS (SELECT tool_id, description, CASE WHEN json_valid(input_schema) AND json_type(input_schema) = 'OBJECT' THEN input_schema::JSON END AS x FROM tool),
+n AS (SELECT tool_id, description, CASE WHEN json_type(x, '$.properties') = 'OBJECT' THEN json_keys(x, '$.properties') ELSE [] END AS p, json_extract(x, '$.properties') AS o, CASE WHEN json_type(x, '$.required') = 'ARRAY' THEN json_extract_string(x, '$.required[*]') ELSE [] END AS r FROM j),
+e AS (SELECT tool_id, list_concat([description], p, list_transform(p, lambda k: json_extract_string(json_extract(o, '$."' || k || '"'), '$.description')), r) AS t FROM n)
+SELECT tool_id FROM e WHERE len(list_filter(t, lambda y: regexp_matches(lower(y), '{tx.TIME_LOWER}') OR regexp_matches(y, '{tx.TIME_CAMEL}'))) > 0"""),
     "empty_schema_filter": (lambda s, d: to.without_empty_schema(tools(s, d)).select("tool_id"), f"""WITH {TOOL_SQL}, j AS (SELECT tool_id, CASE WHEN json_valid(input_schema) AND json_type(input_schema) = 'OBJECT' THEN input_schema END AS x FROM tool),
-k AS (SELECT tool_id, x, CASE WHEN json_type(x, '$.properties') = 'OBJECT' THEN json_keys(x, '$.properties') ELSE [] END AS p FROM j)
-SELECT tool_id FROM k WHERE x IS NULL OR len(list_filter(p, lambda y: y NOT IN ({", ".join(f"'{m}'" for m in to.META_NAMES)}))) > 0"""),
+k AS (SELECT tool_id, x, json_type(x, '$.properties') AS t, CASE WHEN json_type(x, '$.properties') = 'OBJECT' THEN json_keys(x, '$.properties') ELSE [] END AS p FROM j)
+SELECT tool_id FROM k WHERE x IS NULL OR coalesce(t, 'NULL') NOT IN ('NULL', 'OBJECT') OR t = 'OBJECT' AND len(list_filter(p, lambda y: y NOT IN ({", ".join(f"'{m}'" for m in to.META_NAMES)}))) > 0"""),
     "cjk_tools": (lambda s, d: to.cjk_tools(tools(s, d)).select("tool_id"), f"WITH {TOOL_SQL} SELECT tool_id FROM tool WHERE regexp_matches(concat_ws(' ', name, description, category, domain, input_schema), '{tx.CJK_TOOL}')"),
     "rejected_tools": (lambda s, d: to.rejected(tools(s, d)), f"""WITH {TOOL_SQL}, r AS (SELECT tool_id, CASE WHEN NOT ({_NAMED}) THEN 'no_name' WHEN coalesce({_strip('description')}, '') = '' AND coalesce({_strip("json_extract_string(CASE WHEN json_valid(input_schema) THEN input_schema END, '$.description')")}, '') = '' THEN 'no_description' END AS reason FROM tool)
 SELECT * FROM r WHERE reason IS NOT NULL"""),
@@ -127,4 +127,8 @@ SELECT 'top' AS side, a::INT AS rank, name, n FROM r WHERE a <= 5 UNION ALL SELE
     "pool_merge_last": (lambda s, d: to.last_by(tools(s, d).where("name IS NOT NULL"), ["name"], ["source_file", "tool_id"]).select("name", "tool_id"), f"WITH {TOOL_SQL}, r AS (SELECT name, tool_id, row_number() OVER (PARTITION BY name ORDER BY source_file DESC, tool_id DESC) AS n FROM tool WHERE name IS NOT NULL) SELECT name, tool_id FROM r WHERE n = 1"),
     "suffix_lookup": (lambda s, d: to.suffix_lookup(_calls(s, d), tools(s, d)).select("conv_id", "pos", "matched"), f"""WITH {TOOL_SQL}, {_CALL_SQL}, n AS (SELECT DISTINCT name FROM tool) SELECT conv_id, pos, coalesce(a.name, b.name) AS matched FROM calls c LEFT JOIN n a ON a.name = c.name LEFT JOIN n b ON b.name = regexp_replace(c.name, '_[0-9]+$', '')"""),
     "distinct_counts": (lambda s, d: tools(s, d).agg(F.countDistinct("name").alias("names"), F.countDistinct("name", "description").alias("pairs"), F.countDistinct("server").alias("servers")), f"WITH {TOOL_SQL} SELECT count(DISTINCT name) AS names, count(DISTINCT CASE WHEN name IS NOT NULL AND description IS NOT NULL THEN name || chr(1) || description END) AS pairs, count(DISTINCT server) AS servers FROM tool"),
+    "domain_pool": (lambda s, d: to.domain_pool(tools(s, d), "Finance").select("tool_id"), f"WITH {TOOL_SQL} SELECT tool_id FROM tool WHERE lower({_strip('domain')}) = 'finance'"),
+    "file_properties": (lambda s, d: messages(s, d).select("source_file").distinct().select("source_file", tx.file_properties(F.col("source_file"))["hop"].alias("hop"), tx.file_properties(F.col("source_file"))["strategy"].alias("strategy")),
+        f"WITH {MSG_SQL} SELECT DISTINCT source_file, CASE WHEN contains(lower(source_file), 'multi-hop') AND NOT contains(lower(source_file), 'single-hop') THEN 'multi-hop' ELSE 'single-hop' END AS hop, CASE WHEN contains(lower(source_file), 'parallel') THEN 'Parallel' WHEN contains(lower(source_file), 'serial') THEN 'Serial' ELSE '' END AS strategy FROM msg"),
+    "file_match": (lambda s, d: to.file_match(messages(s, d).select(F.concat(F.lit("pred_"), "source_file").alias("file")).distinct(), tools(s, d).select("source_file").union(messages(s, d).select("source_file")).distinct().withColumnRenamed("source_file", "file")), None),
 }
