@@ -10,6 +10,7 @@ regions at the bound are kept and verified by an alignment inside the band.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame
 Q = 24
 #: Items are a bounded query set held by every task; more than this is refused rather than broadcast.
 MAX_ITEM_CHARS = 50_000_000
+#: Characters whose q-grams are held at once.
+SLICE_CHARS = 3_000_000
 _ODD = 0x100000001B3
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -142,6 +145,19 @@ class ItemIndex:
         return False
 
 
+def slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """(start, texts): consecutive texts of about ``most`` characters together, so that the arrays over their
+    characters stay small; a longer text is a slice of its own."""
+    start, size = 0, 0
+    for k, t in enumerate(texts):
+        if k > start and size + len(t) > most:
+            yield start, texts[start:k]
+            start, size = k, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, texts[start:]
+
+
 def json_strings(raw: str | None) -> list[str]:
     """All strings inside a JSON text, names of members too; text that is JSON again is opened as well.
     Unreadable, blank or null text has none."""
@@ -202,7 +218,7 @@ def leaked_items(items: DataFrame, item: str, item_text: str, corpus: DataFrame,
             else:
                 owner = [k for k, x in enumerate(raw) if x]
                 texts = [raw[k] for k in owner]
-            hits = list(dict.fromkeys((owner[t], i) for t, i in made[0].search(texts)))
+            hits = list(dict.fromkeys((owner[t + at], i) for at, part in slices(texts) for t, i in made[0].search(part)))
             yield pa.RecordBatch.from_arrays([pa.array([i for _, i in hits], pa.from_numpy_dtype("int64")), batch.column(0).take(pa.array([k for k, _ in hits], pa.int64()))], names=[item, key])
 
     return corpus.select(key, text).mapInArrow(run, f"`{item}` {kinds[0]}, `{key}` {kinds[1]}")
