@@ -112,3 +112,14 @@ def test_without_redelivery(spark):
     got = sorted((r.id or -1, r.t) for r in without_redelivery(df, ["id"]).collect())
     assert got == [(-1, "d"), (-1, "d"), (1, "b"), (2, "c"), (3, "e"), (4, "f")]
     assert without_redelivery(df.limit(0), ["id"]).count() == 0
+
+
+def test_settled_tables_go_to_the_named_folder(spark):
+    from toolweave.plans import settle as st
+
+    st.release(spark)
+    assert st.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    df = st.settle(spark.range(5), "five")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert all(f.removeprefix("file://").startswith(folder) for f in df.inputFiles())
+    assert df.count() == 5 and st.release(spark) == 1 and st.release(spark) == 0

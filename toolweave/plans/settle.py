@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,5 +27,17 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
     once, survives the loss of executors, and readers keep column pruning and filters."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables this application has settled so far; call it once their results are written. Returns how many."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = hadoop(path)
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)
