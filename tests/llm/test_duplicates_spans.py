@@ -120,3 +120,12 @@ def test_spans_empty(spark):
 def test_grow():
     a, b = spans.points_of(["xxhello worldyy"]), spans.points_of(["--hello world!"])
     assert spans.grow(a, b, 5, 5) == (2, 11)
+
+
+def test_all_stretches_of_a_diagonal(spark):
+    """One character replaced at place 1,000 leaves two spans on the same diagonal, and both count."""
+    text = texts(1, 11, 800)[1][0][:4000]
+    other = text[:1000] + "#" + text[1001:]
+    shared, members, _ = run_spans(spark, [(1, text), (2, "ab" + other)])
+    assert sorted((r.start_a, r.start_b, r.length) for r in shared.collect()) == [(0, 2, 1000), (1001, 1003, 2999)]
+    assert {r.shared_chars for r in spans.shared_share(shared, members, "doc_id").collect()} == {3999}

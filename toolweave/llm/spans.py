@@ -5,7 +5,7 @@ its character shingles of ``shingle`` characters, one permutation and one band:
 the same MinHash, so the banding's recall is 1 whatever the alignment of the shared span, which bands
 over layout paragraphs can't give. Windows one character apart mostly share their MinHash, so a text of
 n characters has only about 2n / (least - shingle + 2) of them. Colliding windows are verified by the
-texts themselves and grown to the maximal shared span.
+texts themselves, along the whole alignment in which they meet, and every maximal shared span on it counts.
 """
 
 from __future__ import annotations
@@ -131,7 +131,7 @@ def _candidates(texts: DataFrame, least: int, shingle: int, ranges: int) -> Data
             live = live[doc[live] != doc[live + k]]
             found.append(np.stack((doc[live], off[live], doc[live + k], off[live + k]), axis=1).astype(np.int64))
         pairs = np.concatenate(found)
-        # One meeting on each diagonal of two texts is enough: it is grown in both directions.
+        # One meeting on each diagonal of two texts is enough: the whole diagonal is compared later.
         _, at = np.unique(np.stack((pairs[:, 0], pairs[:, 2], pairs[:, 1] - pairs[:, 3]), axis=1), axis=0, return_index=True)
         pairs, often = pairs[at], int(many.sum())
         none = pa.nulls(often, pa.int64())
@@ -154,13 +154,26 @@ def grow(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
     return i - left + int(low), int(high - low)
 
 
+def stretches(a: np.ndarray, b: np.ndarray, shift: int, least: int) -> list[tuple[int, int]]:
+    """All maximal equal stretches of at least ``least`` points of a and b on the diagonal i - j = ``shift``:
+    their starts in a and their lengths."""
+    low, high = max(0, shift), min(len(a), len(b) + shift)
+    if high - low < least:
+        return []
+    differ = np.flatnonzero(a[low:high] != b[low - shift : high - shift])
+    start = np.concatenate(([0], differ + 1))
+    length = np.append(differ, high - low) - start
+    at = np.flatnonzero(length >= least)
+    return list(zip((start[at] + low).tolist(), length[at].tolist(), strict=True))
+
+
 def shared_spans(df: DataFrame, key: str, text: str, least: int = 200, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(spans: a, b, start_a, start_b, length), (members: key, cls, n_chars).
 
     Members holds the class of every record whose text is not null: records with equal text are one
     class, named by its least key. Spans holds maximal stretches of at least ``least`` characters
-    (code points, as they are) that stand in the texts of two classes a < b, once for each alignment
-    in which they meet; every two classes that share a stretch have at least one row. Texts shorter
+    (code points, as they are) that stand in the texts of two classes a < b, all those of each
+    alignment in which they meet; every two classes that share a stretch have at least one row. Texts shorter
     than ``least`` take part as copies only. Keys must be bigint; a key that stands twice with
     different texts counts with one of them, that of the least hash.
     """
@@ -199,9 +212,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             out = []
             for a, b, i, j, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                start, length = grow(points_of([x]), points_of([y]), i, j)
-                if length >= least:
-                    out.append((a, b, start, start - i + j, length))
+                out.extend((a, b, start, start - i + j, length) for start, length in stretches(points_of([x]), points_of([y]), i - j, least))
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "start_a", "start_b", "length"])
 
