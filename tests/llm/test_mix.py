@@ -62,3 +62,22 @@ def test_rake_meets_margins():
 def test_quotas_keep_minimums():
     rows = [{"share": 0.9, "least": 0, "available": 1000}, {"share": 0.1, "least": 30, "available": 50}, {"share": 0.0, "least": 5, "available": 3}]
     assert mix.quotas(rows, 100) == [67, 30, 3]
+
+
+def test_short_cells_are_made_up_for_in_their_margins(spark):
+    """20 of (a, x)'s 40 are missing: (a, y) and (b, x) take them and (b, y) yields, so every label keeps its half."""
+    have = {("a", "x"): 20, ("a", "y"): 200, ("b", "x"): 200, ("b", "y"): 80}
+    rows = [(i, *cell) for i, cell in enumerate(c for c, n in have.items() for _ in range(n))]
+    tools = spark.createDataFrame(rows, "tool_id long, category string, domain string")
+    targets = spark.createDataFrame([("a", "x", 0.4, 0), ("a", "y", 0.1, 0), ("b", "x", 0.1, 0), ("b", "y", 0.4, 0)], "category string, domain string, target_share double, min_rows int")
+    plan = mix.plan(tools, "tool_id", PAIR, targets, "target_share", "min_rows", 0.2)
+    assert {(r.category, r.domain): r.quota for r in plan.collect()} == {("a", "x"): 20, ("a", "y"): 30, ("b", "x"): 30, ("b", "y"): 20}
+
+
+def test_found_comes_from_the_plan(spark, sf, monkeypatch):
+    from toolweave.llm import queries
+
+    asked = []
+    monkeypatch.setattr(mix, "plan", lambda *a, _plan=mix.plan: asked.append(a) or _plan(*a))
+    queries.p5_found(spark, sf)
+    assert asked

@@ -1,10 +1,11 @@
 """A sample that matches target proportions of categories (problem 5).
 
-Design weights are raked by iterative proportional fitting over the margins of the targets, on the table
-of cell counts, which has as many rows as there are labels; records are then drawn by weighted exponential
-keys, -ln(u) / w with u from a hash of the record's key, and the quotas of the cells are met by the least
-keys of each. Minimums are repaired by raising quotas at the cost of the best supplied cells, and what
-can't be met is reported.
+The target shares are raked by iterative proportional fitting over their own margins, on the table of
+cells, which has as many rows as there are targets: where a cell is short or below its minimum it is held
+at that bound, and the others are fitted so that the margins of every label stay what the targets ask for,
+as far as the supply allows. The quotas are the raked totals in whole numbers; records are then drawn by
+weighted exponential keys, -ln(u) / w with u from a hash of the record's key, and the quotas of the cells
+are met by the least keys of each. What can't be met is reported as the gap of its cell.
 
 The draw sorts no cell: a histogram of the keys by cell gives the slot in which the quota ends, rows below
 it are in, and only the rows of that one slot are ranked.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,33 +43,55 @@ def availability(df: DataFrame, key: str, labels: list[str], targets: DataFrame,
     return goal.join(counted, labels, "left").select(*labels, "share", "least", F.coalesce("available", F.lit(0)).alias("available"), (F.col("share") * size).alias("wanted"), size.alias("size"))
 
 
-def rake(counts: dict[tuple, float], margins: list[dict], rounds: int = 200, close: float = 1e-9) -> dict[tuple, float]:
-    """Cell totals with the given margins (one per label, shares) that keep the cells' own interactions."""
-    cells = {c: float(n) for c, n in counts.items() if n > 0}
-    total = sum(cells.values())
-    cells = {c: n / total for c, n in cells.items()} if total else {}
+def _factors(base: np.ndarray, low: np.ndarray, high: np.ndarray, group: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """The factor of each group by which ``base``, cut to its bounds, comes to the group's ``goal`` or as near as it can."""
+    under, over = np.zeros(len(goal)), np.zeros(len(goal))
+    np.maximum.at(over, group, high / base)
+    for _ in range(80):
+        mid = (under + over) / 2
+        less = np.bincount(group, np.clip(base * mid[group], low, high), len(goal)) < goal
+        under, over = np.where(less, mid, under), np.where(less, over, mid)
+    return over
+
+
+def rake(counts: dict[tuple, float], margins: list[dict], low: dict[tuple, float] = {}, high: dict[tuple, float] = {}, rounds: int = 200, close: float = 1e-9) -> dict[tuple, float]:  # noqa: B006
+    """Cell totals with the given margins (one per label) that keep the cells' own interactions, each within
+    its bounds where it has any; a label that its cells can't fill leaves its rest to the other labels."""
+    cells = [c for c, n in counts.items() if n > 0]
+    whole = sum(margins[0].values()) if margins else 0.0
+    if not cells or whole <= 0:
+        return dict.fromkeys(cells, 0.0)
+    base = np.array([float(counts[c]) for c in cells])
+    base *= whole / base.sum()
+    least = np.array([float(low.get(c, 0.0)) for c in cells])
+    most = np.maximum(least, [min(float(high.get(c, whole)), whole) for c in cells])
+    sides = []
+    for k, margin in enumerate(margins):
+        at = {label: i for i, label in enumerate(dict.fromkeys(c[k] for c in cells))}
+        group = np.array([at[c[k]] for c in cells])
+        goal = np.array([max(float(margin.get(label, 0.0)), 1e-12 * whole) for label in at])
+        floor, roof = np.bincount(group, least, len(at)), np.bincount(group, most, len(at))
+        same = np.zeros(len(at), dtype=np.int64)
+        sides.append((group, np.clip(goal * _factors(goal, floor, roof, same, np.array([whole]))[0], floor, roof)))
+    got = np.clip(base, least, most)
     for _ in range(rounds):
-        worst = 0.0
-        for k, margin in enumerate(margins):
-            sums: dict = {}
-            for c, n in cells.items():
-                sums[c[k]] = sums.get(c[k], 0.0) + n
-            for c in cells:
-                factor = margin.get(c[k], 0.0) / sums[c[k]] if sums[c[k]] else 0.0
-                worst = max(worst, abs(factor - 1.0))
-                cells[c] *= factor
-        if worst < close:
+        before = got
+        for group, goal in sides:
+            factor = np.clip(_factors(base, least, most, group, goal), 1e-9, 1e9)
+            base = np.clip(base * factor[group], 1e-100, 1e100)
+            got = np.clip(base, least, most)
+        if np.abs(got - before).max() < close * whole:
             break
-    return cells
+    return dict(zip(cells, got.tolist(), strict=True))
 
 
-def quotas(rows: list[dict], size: int) -> list[int]:
+def quotas(rows: list[dict], size: int, raked: list[float] | None = None) -> list[int]:
     """Whole numbers for the cells that sum to ``size`` where the supply allows.
 
-    Each starts at its share by largest remainder, is cut at what is available and raised to its minimum;
+    Each starts at its raked total, else at its share, by largest remainder, is cut at what is available and raised to its minimum;
     what is left over or short is then spread where it deviates least in proportion.
     """
-    exact = [r["share"] * size for r in rows]
+    exact = [float(r["share"] or 0) * size for r in rows] if raked is None else raked
     got = [math.floor(x + 1e-9) for x in exact]
     for i in sorted(range(len(rows)), key=lambda i: (got[i] - exact[i], i))[: max(0, round(sum(exact)) - sum(got))]:
         got[i] += 1
@@ -94,28 +118,33 @@ def quotas(rows: list[dict], size: int) -> list[int]:
 def plan(df: DataFrame, key: str, labels: list[str], targets: DataFrame, share: str, least: str, fraction: float) -> DataFrame:
     """(labels, available, wanted, least, quota, weight, gap): the quota of each target pair.
 
-    weight is the raked share of the pair among the records over its plain share: the margins of all
-    labels fitted at once. gap is quota minus what the target or the minimum asks for.
+    The quotas are those of the target shares raked within what is available and the minimums, so a pair
+    that is short is made up for by pairs of the same labels. weight is the raked share of the pair over
+    its plain share among the records. gap is quota minus what the target or the minimum asks for.
     """
     spark = df.sparkSession
     if targets.count() > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} target cells")
     # One row per target pair, bounded by the check above.
     rows = [r.asDict() for r in availability(df, key, labels, targets, share, least, fraction).orderBy(*labels).collect()]
-    counts = {tuple(r[c] for c in labels): r["available"] for r in rows}
+    size = int(rows[0]["size"]) if rows else 0
+    supply = sum(r["available"] for r in rows)
+    room = min(size, supply)
+    asked = sum(float(r["share"] or 0) for r in rows)
+    cells = [tuple(r[c] for c in labels) for r in rows]
     margins = [{} for _ in labels]
-    for r in rows:
-        for k, c in enumerate(labels):
-            margins[k][r[c]] = margins[k].get(r[c], 0.0) + (r["share"] or 0.0)
-    raked = rake(counts, margins)
-    supply = sum(counts.values()) or 1
-    got = quotas(rows, int(rows[0]["size"]) if rows else 0)
+    for cell, r in zip(cells, rows, strict=True):
+        for margin, label in zip(margins, cell, strict=True):
+            margin[label] = margin.get(label, 0.0) + (float(r["share"] or 0) * room / asked if asked else 0.0)
+    seeds = {cell: float(r["share"] or 0) if r["available"] else 0.0 for cell, r in zip(cells, rows, strict=True)}
+    low = {cell: min(r["least"] or 0, r["available"]) for cell, r in zip(cells, rows, strict=True)}
+    raked = rake(seeds, margins, low, {cell: r["available"] for cell, r in zip(cells, rows, strict=True)})
+    got = quotas(rows, size, [raked.get(cell, 0.0) for cell in cells])
     out = []
-    for r, q in zip(rows, got, strict=True):
-        cell = tuple(r[c] for c in labels)
-        plain = r["available"] / supply
-        weight = raked.get(cell, 0.0) / plain if plain else 0.0
-        out.append((*cell, int(r["available"]), float(r["wanted"] or 0), int(r["least"] or 0), q, float(weight), float(q - max(r["wanted"] or 0, r["least"] or 0))))
+    for cell, r, q in zip(cells, rows, got, strict=True):
+        plain = r["available"] / supply if supply else 0.0
+        weight = raked.get(cell, 0.0) / room / plain if plain and room else 0.0
+        out.append((*cell, int(r["available"]), float(r["wanted"] or 0), int(r["least"] or 0), q, float(weight), float(q - max(float(r["wanted"] or 0), r["least"] or 0))))
     kinds = ", ".join(f"`{c}` string" for c in labels)
     return spark.createDataFrame(out, f"{kinds}, available bigint, wanted double, least int, quota int, weight double, gap double")
 

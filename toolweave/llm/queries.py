@@ -31,10 +31,8 @@ PAIR = ["category", "domain"]
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """target_share * floor(number of tools / 5) or min_rows above what is there."""
-    targets = table(spark, sf_dir, "mix_targets")
-    state = mix.availability(table(spark, sf_dir, "toolset"), "tool_id", PAIR, targets, "target_share", "min_rows", 0.2)
-    return state.where("available < wanted OR available < least").select(*PAIR)
+    """The gaps of the plan that the supply leaves: target_share * floor(number of tools / 5) or min_rows above what is there."""
+    return p5_plan(spark, sf_dir).where("gap < 0 AND (available < wanted OR available < least)").select(*PAIR)
 
 
 def p5_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
