@@ -123,3 +123,12 @@ def test_settled_tables_go_to_the_named_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
     assert all(f.removeprefix("file://").startswith(folder) for f in df.inputFiles())
     assert df.count() == 5 and st.release(spark) == 1 and st.release(spark) == 0
+
+
+def test_parameters_come_from_the_node_table():
+    schema = {"properties": {"a": {"type": "string", "default": 3, "enum": ["x"]}, "g": json.dumps({"properties": {"h": {"type": "u"}}})}}
+    nodes = shred.Nodes([{"name": "n", "inputSchema": schema}])
+    tool = next(nodes.elements())
+    got = {p: nodes.pivot(node, ["type", "default", "enum"]) for p, _, _, _, node in nodes.parameters(nodes.tool_schema(tool))}
+    assert got == {"a": ["string", "3", None], "g": [None] * 3, "g/h": ["u", None, None]}
+    assert nodes.pivot(tool, ["name", "inputSchema"]) == ["n", None]

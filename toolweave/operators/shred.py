@@ -105,77 +105,121 @@ def entities(nodes: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return grouped.select(key, "node", "parent", "label", *[F.col(f"_{i}").alias(c) for i, c in enumerate(columns)])
 
 
-def elements(tools: object) -> Iterator[object]:
-    """The elements of a tool container in reading order: [x], {"tools": [x]}, {id: x} and {server: [x]}."""
-    if isinstance(tools, list):
-        yield from tools
-    elif isinstance(tools, dict):
-        for value in tools.values():
-            if isinstance(value, list):
-                yield from value
+class Nodes:
+    """The node table of one record: the rows of ``walk``, and for each node the rows it is parent of."""
+
+    def __init__(self, value: object):
+        self.parent: list[int] = []
+        self.label: list[str] = []
+        self.kind: list[str] = []
+        self.scalar: list[str | None] = []
+        self.below: list[list[int]] = []
+        self.add(value)
+
+    def add(self, value: object) -> int:
+        """Shred a value into the table; the node of its top."""
+        top = len(self.kind)
+        for node, parent, label, _, kind, scalar in walk(value):
+            self.parent.append(parent + top if parent >= 0 else -1)
+            self.label.append(label)
+            self.kind.append(kind)
+            self.scalar.append(scalar)
+            self.below.append([])
+            if parent >= 0:
+                self.below[parent + top].append(node + top)
+        return top
+
+    def child(self, node: int, label: str) -> int | None:
+        if self.kind[node] == "object":
+            for c in self.below[node]:
+                if self.label[c] == label:
+                    return c
+        return None
+
+    def opened(self, node: int | None) -> int | None:
+        """The node; of a text that holds JSON the top of its nodes, which join the table; else None."""
+        if node is None or self.kind[node] != "string":
+            return node
+        value = parsed(self.scalar[node])
+        return None if value is None else self.add(value)
+
+    def pivot(self, node: int, columns: list[str]) -> list[str | None]:
+        """The scalar children of an object node as columns."""
+        has = {self.label[c]: self.scalar[c] for c in self.below[node]} if self.kind[node] == "object" else {}
+        return [has.get(c) for c in columns]
+
+    def elements(self, top: int = 0) -> Iterator[int]:
+        """The elements of a tool container in reading order: [x], {"tools": [x]}, {id: x} and {server: [x]}."""
+        for c in self.below[top]:
+            if self.kind[top] == "object" and self.kind[c] == "array":
+                yield from self.below[c]
             else:
-                yield value
+                yield c
 
-
-def parameters(schema: object) -> Iterator[tuple[str, str, str, int, object]]:
-    """(path, parent path, name, ordinal, node) of every parameter of a schema, equal paths once.
-
-    A parameter is a member of a ``properties`` object of a schema: the given one, that of a parameter,
-    of its ``items`` or of a member of its ``anyOf``; in a list of parameters each with a ``name`` is one.
-    """
-    seen: set[str] = set()
-    todo: list[tuple[object, str, bool]] = [(schema, "", True)]
-    while todo:
-        x, path, _ = todo.pop()
-        if isinstance(x, str):
-            x = parsed(x)
-        found: list[tuple[str, object]] = []
-        below: list[tuple[object, str, bool]] = []
-        if isinstance(x, list):
-            found = [(p["name"], p) for p in x if isinstance(p, dict) and isinstance(p.get("name"), str)]
-        elif isinstance(x, dict):
-            inside = x.get("properties")
-            inside = parsed(inside) if isinstance(inside, str) else inside
-            if isinstance(inside, dict):
-                found = list(inside.items())
-            items = x.get("items")
-            items = parsed(items) if isinstance(items, str) else items
-            below = [(y, path, False) for y in (items if isinstance(items, list) else [items]) if isinstance(y, dict)]
-            options = x.get("anyOf")
-            options = parsed(options) if isinstance(options, str) else options
-            if isinstance(options, list):
-                below += [(y, path, False) for y in options if isinstance(y, (dict, str))]
-        for i, (name, node) in enumerate(found):
-            own = f"{path}/{name}" if path else name
-            if own not in seen:
-                seen.add(own)
-                yield own, path, name, i, node
-            if isinstance(node, (dict, str)):
-                below.append((node, own, True))
-        todo.extend(reversed(below))
-
-
-def tool_schema(tool: object) -> object:
-    if isinstance(tool, dict):
+    def tool_schema(self, tool: int) -> int | None:
         for name in SCHEMA_MEMBERS:
-            if tool.get(name) is not None:
-                return tool[name]
-    return None
-
-
-def _of_schema(raw: str | None) -> Iterator[tuple[int, object, object]]:
+            c = self.child(tool, name)
+            if c is not None and self.kind[c] != "null":
+                return c
+        return None
+
+    def parameters(self, schema: int | None) -> Iterator[tuple[str, str, str, int, int]]:
+        """(path, parent path, name, ordinal, node) of every parameter of a schema, equal paths once.
+
+        A parameter is a member of a ``properties`` object of a schema: the given one, that of a parameter,
+        of its ``items`` or of a member of its ``anyOf``; in a list of parameters each with a ``name`` is one.
+        """
+        seen: set[str] = set()
+        todo: list[tuple[int | None, str]] = [(schema, "")]
+        while todo:
+            x, path = todo.pop()
+            x = self.opened(x)
+            if x is None:
+                continue
+            found: list[tuple[str, int]] = []
+            below: list[tuple[int | None, str]] = []
+            if self.kind[x] == "array":
+                named = [(self.child(p, "name"), p) for p in self.below[x]]
+                found = [(self.scalar[n], p) for n, p in named if n is not None and self.kind[n] == "string"]
+            elif self.kind[x] == "object":
+                inside = self.opened(self.child(x, "properties"))
+                if inside is not None and self.kind[inside] == "object":
+                    found = [(self.label[c], c) for c in self.below[inside]]
+                items = self.opened(self.child(x, "items"))
+                if items is not None:
+                    below = [(y, path) for y in (self.below[items] if self.kind[items] == "array" else [items]) if self.kind[y] == "object"]
+                options = self.opened(self.child(x, "anyOf"))
+                if options is not None and self.kind[options] == "array":
+                    below += [(y, path) for y in self.below[options] if self.kind[y] in ("object", "string")]
+            for i, (name, node) in enumerate(found):
+                own = f"{path}/{name}" if path else name
+                if own not in seen:
+                    seen.add(own)
+                    yield own, path, name, i, node
+                if self.kind[node] in ("object", "string"):
+                    below.append((node, own))
+            todo.extend(reversed(below))
+
+
+def parameters(schema: object) -> Iterator[tuple[str, str, str, int, int]]:
+    """``Nodes.parameters`` of a schema that stands alone."""
+    return Nodes(schema).parameters(0)
+
+
+def _of_schema(raw: str | None) -> Iterator[tuple[int, Nodes, int, int | None]]:
     value = parsed(raw)
     if isinstance(value, (dict, list)):
-        yield 0, None, value
+        yield 0, Nodes(value), 0, 0
 
 
-def _of_tools(raw: str | None) -> Iterator[tuple[int, object, object]]:
-    for pos, tool in enumerate(elements(parsed(raw))):
-        if isinstance(tool, dict):
-            yield pos, tool, tool_schema(tool)
+def _of_tools(raw: str | None) -> Iterator[tuple[int, Nodes, int, int | None]]:
+    nodes = Nodes(parsed(raw))
+    for pos, tool in enumerate(nodes.elements()):
+        if nodes.kind[tool] == "object":
+            yield pos, nodes, tool, nodes.tool_schema(tool)
 
 
-#: How a column's text is opened: to (position, tool, schema).
+#: How a column's text is opened: to (position, node table, tool, schema).
 OPENERS: dict[str, Callable] = {"schema": _of_schema, "tools": _of_tools}
 
 
@@ -194,17 +238,17 @@ def parameter_table(df: DataFrame, key: str, text: str, opener: str, attributes:
             at, pos, path, parent, label, ordinal = [], [], [], [], [], []
             scalars: list[list[str | None]] = [[] for _ in attributes]
             for i, raw in enumerate(batch.column(1).to_pylist()):
-                for tool_pos, _, schema in open_(raw):
-                    for own, above, name, number, node in parameters(schema):
+                for tool_pos, nodes, _, schema in open_(raw):
+                    for own, above, name, number, node in nodes.parameters(schema):
                         at.append(i)
                         pos.append(tool_pos)
                         path.append(own)
                         parent.append(above)
                         label.append(name)
                         ordinal.append(number)
-                        for k, a in enumerate(attributes):
-                            v = node.get(a) if isinstance(node, dict) else None
-                            scalars[k].append(None if isinstance(v, (dict, list)) else scalar_text(v))
+                        if attributes:
+                            for column, v in zip(scalars, nodes.pivot(node, attributes), strict=True):
+                                column.append(v)
             ids = batch.column(0).take(pa.array(at, pa.int64()))
             flat = [ids, pa.array(pos, pa.int32()), pa.array(path, pa.string()), pa.array(parent, pa.string()), pa.array(label, pa.string()), pa.array(ordinal, pa.int32())]
             yield pa.RecordBatch.from_arrays([*flat, *(pa.array(s, pa.string()) for s in scalars)], names=["rec_id", "tool_pos", "path", "parent_path", "name", "ordinal", *attributes])
@@ -223,13 +267,12 @@ def tool_table(df: DataFrame, key: str, text: str, attributes: list[str]) -> Dat
             at, pos, count = [], [], []
             scalars: list[list[str | None]] = [[] for _ in attributes]
             for i, raw in enumerate(batch.column(1).to_pylist()):
-                for tool_pos, tool, schema in _of_tools(raw):
+                for tool_pos, nodes, tool, schema in _of_tools(raw):
                     at.append(i)
                     pos.append(tool_pos)
-                    count.append(sum(1 for _ in parameters(schema)))
-                    for k, a in enumerate(attributes):
-                        v = tool.get(a)
-                        scalars[k].append(None if isinstance(v, (dict, list)) else scalar_text(v))
+                    count.append(sum(1 for _ in nodes.parameters(schema)))
+                    for column, v in zip(scalars, nodes.pivot(tool, attributes), strict=True):
+                        column.append(v)
             ids = batch.column(0).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(pos, pa.int32()), *(pa.array(s, pa.string()) for s in scalars), pa.array(count, pa.int32())], names=["rec_id", "tool_pos", *attributes, "n_params"])
 
