@@ -55,3 +55,8 @@ def test_core_imports_without_the_subpackage():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert not re.search(r"toolweave\.llm|from \.llm", f.read_text()), f
+
+
+def test_tool_lists_of_all_conversations(spark, sf, duck):
+    lists = catalogue.queries()["hybrid_toollist"](spark, sf)
+    assert lists.select("conv_id").distinct().count() == duck.execute("SELECT count(*) FROM orders").fetchone()[0]

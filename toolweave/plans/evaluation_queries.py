@@ -130,7 +130,7 @@ def _lists(s, d):
     v = table(s, d, "embeddings").select("vec_id", "embedding")
     n = v.agg(F.max("vec_id") + 1).first()[0]
     need = table(s, d, "orders").select(F.col("o_orderkey").alias("conv_id"), F.explode(F.sequence(F.lit(0), (F.col("o_orderkey") % 4).cast("int"))).alias("first"))
-    need = need.where("conv_id % 50 = 0").select("conv_id", F.pmod(F.col("conv_id") * 31 + F.col("first") * 17, F.lit(n)).alias("vec_id"), "first")
+    need = need.select("conv_id", F.pmod(F.col("conv_id") * 31 + F.col("first") * 17, F.lit(n)).alias("vec_id"), "first")
     return sim.hybrid_lists(need.join(v.select("vec_id"), "vec_id", "left_semi"), v, "vec_id", "embedding")
 
 
