@@ -129,3 +129,13 @@ def test_all_stretches_of_a_diagonal(spark):
     shared, members, _ = run_spans(spark, [(1, text), (2, "ab" + other)])
     assert sorted((r.start_a, r.start_b, r.length) for r in shared.collect()) == [(0, 2, 1000), (1001, 1003, 2999)]
     assert {r.shared_chars for r in spans.shared_share(shared, members, "doc_id").collect()} == {3999}
+
+
+def test_every_repeat_of_a_common_banner_counts(spark):
+    """A banner stands more than PAIRED times in one text and once in another: all its places are shared."""
+    rng, pages = texts(spans.PAIRED + 6, 13, 20)
+    banner = "".join(rng.choice("QWERTYUIOP") for _ in range(250))
+    rows = [(1, banner.join(f"{p}." for p in pages) + banner), (2, "#" + banner + "#")]
+    shared, members, got = run_spans(spark, rows)
+    assert got == {(1, 2)}
+    assert {r.doc_id: r.shared_chars for r in spans.shared_share(shared, members, "doc_id").collect()} == {1: len(pages) * 250, 2: 250}

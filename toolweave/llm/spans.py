@@ -238,12 +238,20 @@ def _hot_spans(hot: DataFrame, texts: DataFrame, least: int, shingle: int) -> Da
             )
 
     windows = hot.join(texts, "doc").select("doc", "off", "text").mapInArrow(run, "doc bigint, start bigint, h bigint")
-    windows = settle(windows.groupBy("h", "doc").agg(F.min("start").alias("start")), "windows")
-    shared = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    live = settle(windows.join(shared, "h"), "shared")
-    a = live.select("h", F.col("doc").alias("a"), F.col("start").alias("start_a"))
-    b = live.select("h", F.col("doc").alias("b"), F.col("start").alias("start_b"))
-    return a.join(b, "h").where("a < b").select("a", "b", "start_a", "start_b", F.lit(least).cast("bigint").alias("length")).distinct()
+    windows = settle(windows.distinct(), "windows")
+    ends = windows.groupBy("h").agg(F.min(F.struct("doc", "start")).alias("lo"), F.max(F.struct("doc", (-F.col("start")).alias("start"))).alias("hi")).where("lo.doc < hi.doc")
+    live = settle(windows.join(ends, "h"), "shared")
+    # Texts are linked by their first such windows; every repeat in a text meets one other text, so that it counts too.
+    first = settle(live.groupBy("h", "doc").agg(F.min("start").alias("start")), "first")
+    a = first.select("h", F.col("doc").alias("a"), F.col("start").alias("start_a"))
+    b = first.select("h", F.col("doc").alias("b"), F.col("start").alias("start_b"))
+    linked = a.join(b, "h").where("a < b").select("a", "b", "start_a", "start_b")
+    lowest = F.col("doc") == F.col("lo.doc")
+    other = F.when(lowest, F.col("hi.doc")).otherwise(F.col("lo.doc"))
+    at = F.when(lowest, -F.col("hi.start")).otherwise(F.col("lo.start"))
+    repeats = live.join(first, ["h", "doc", "start"], "left_anti").select("doc", "start", lowest.alias("_l"), other.alias("_o"), at.alias("_at"))
+    repeats = repeats.selectExpr("if(_l, doc, _o) AS a", "if(_l, _o, doc) AS b", "if(_l, start, _at) AS start_a", "if(_l, _at, start) AS start_b")
+    return linked.unionByName(repeats).distinct().withColumn("length", F.lit(least).cast("bigint"))
 
 
 def found_pairs(spans: DataFrame, members: DataFrame, key: str, least: int = 200) -> DataFrame:
