@@ -12,10 +12,14 @@ _written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset (tests) a folder of our own."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a folder of our own if the master is
+    one process (tests); on a cluster that is an error, as each machine would write to its own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="toolweave-")
@@ -32,12 +36,27 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables this application has settled so far; call it once their results are written. Returns how many."""
-    paths = _written.pop(spark.sparkContext.applicationId, [])
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         where = hadoop(path)
         where.getFileSystem(conf).delete(where, True)
+
+
+def drop(*settled: DataFrame) -> None:
+    """Delete settled tables that no later plan reads: those of finished steps inside an operator."""
+    for df in settled:
+        spark = df.sparkSession
+        own = _written.get(spark.sparkContext.applicationId, [])
+        names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+        gone = [p for p in own if p.rsplit("/", 1)[-1] in names]
+        _written[spark.sparkContext.applicationId] = [p for p in own if p not in gone]
+        _delete(spark, gone)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables this application has settled so far; call it once their results are written. Returns how many."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, paths)
     return len(paths)
