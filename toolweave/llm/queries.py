@@ -91,18 +91,32 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(counts, "doc_id", "n_tokens", 2048)
 
 
+def _shared(spark: SparkSession, sf_dir: str) -> spans.Shared:
+    return spans.search(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared, members = spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return spans.found_pairs(shared, members, "doc_id")
+    return spans.found_pairs(_shared(spark, sf_dir))
 
 
 def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared, members = spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return spans.shared_share(settle(shared, "spans"), members, "doc_id")
+    return spans.shared_share(_shared(spark, sf_dir))
+
+
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.links_by_class(_shared(spark, sf_dir))
+
+
+def p10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text")[0]
+
+
+def p10_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.removals(spans.paragraph_clusters(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_plan": p5_plan, "p5_sample": p5_sample, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_share": p10_share}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_plan": p5_plan, "p5_sample": p5_sample, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_share": p10_share, "p10_classes": p10_classes, "p10_spans": p10_spans, "p10_removals": p10_removals}
 
 
 def oracle_sql() -> dict[str, str]:

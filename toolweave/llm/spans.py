@@ -1,31 +1,55 @@
-"""Long exact spans shared between records (problem 10).
-
-The "paragraphs" are all windows of ``least`` characters. The MinHash of a window is the least hash of
-its character shingles of ``shingle`` characters, one permutation and one band: two equal windows have
-the same MinHash, so the banding's recall is 1 whatever the alignment of the shared span, which bands
-over layout paragraphs can't give. Windows one character apart mostly share their MinHash, so a text of
-n characters has only about 2n / (least - shingle + 2) of them. Colliding windows are verified by the
-texts themselves, along the whole alignment in which they meet, and every maximal shared span on it counts.
+"""Long exact spans shared between records (problem 10), by MinHash banding of paragraphs.
+
+A text is cut into paragraphs. Their MinHash signatures over character shingles are banded, with the bands
+tuned to the recall asked for; paragraphs that collide in a band are joined and verified.
+
+``shared_spans`` finds every span of at least ``least`` characters. Layout breaks can't serve it, as texts that
+share a span need not break at the same places in it. So its paragraphs are cut by content: each starts where
+the hash of the next characters is the least within ``least - PARAGRAPH`` places and has PARAGRAPH
+characters. Every shared span holds at least one such paragraph whole, the same one in both texts. Paragraphs
+of similarity 1 collide in any banding, so the tuning settles on one band and recall is 1.
+Colliding paragraphs are verified by comparing the two texts along their alignment; all maximal shared spans on it count.
+
+``removals`` clusters the paragraphs of the layout, by word shingles, at a similarity below 1.
+
+A paragraph that stands very often may be a short phrase that leads nowhere. Its occurrences are not paired:
+the whole windows of ``least`` characters around them are grouped by a 128-bit hash, and texts meet where a
+window stands in both and does not go on to the left in both, which is once for each maximal span.
 """
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toolweave.llm.leaks import slices
+from toolweave.operators.linking import components, group_pairs
 from toolweave.plans.settle import settle
 
-SHINGLE = 150
-#: Occurrences of one MinHash up to which they are paired at once; beyond it whole windows are compared.
+#: Characters of a content-cut paragraph, and of the shingles of its signature.
+PARAGRAPH, GRAM = 120, 16
+#: Most rows of a band.
+ROWS = 3
+#: Occurrences of one paragraph up to which they are paired at once; beyond it whole windows meet. The result is the same.
 PAIRED = 64
-#: MinHashes in one range of values.
-RANGE_PRINTS = 300_000
+#: Ids of copies that may be sent to every task; more are joined by shuffle.
+SENT_IDS = 500_000
 _ODD = 0x100000001B3
 
 
+def tuned(similarity: float, recall: float = 0.98, most: int = 24, rows_most: int = 12) -> tuple[int, int]:
+    """(bands, rows): of up to ``most`` bands the ones with the most rows that still find paragraphs of ``similarity``
+    with a probability of ``recall``; among equal rows the fewest bands. Similarity 1 needs one band."""
+    chance = lambda b, r: 1 - (1 - similarity**r) ** b
+    rows = max((r for r in range(1, rows_most + 1) if chance(most, r) >= recall), default=1)
+    return next((b for b in range(1, most + 1) if chance(b, rows) >= recall), most), rows
+
+
 def points_of(texts: list[str]) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
@@ -65,93 +89,51 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(cur[: len(x) - width + 1], cur[width - size : width - size + len(x) - width + 1]) if size < width else cur
 
 
-def window_minima(texts: list[str], least: int, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text number, offset) of the MinHash of every window of ``least`` characters, repeats once."""
+def permuted(h: np.ndarray, number: int) -> np.ndarray:
+    """The hashes in the order of one of the permutations."""
+    h = (h ^ np.uint64((0x9E3779B97F4A7C15 * (2 * number + 1)) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(29))
+
+
+def cut_paragraphs(texts: list[str], least: int, rows: int, length: int = PARAGRAPH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(band value, text number, offset) of the content-cut paragraphs of all texts."""
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     points = points_of(texts)
-    width = least - shingle + 1
     if len(points) < least:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    h = gram_hashes(points, shingle)
+    h = gram_hashes(points, gram)
     ends = np.cumsum(lengths)
     row = np.repeat(np.arange(len(texts), dtype=np.int64), lengths)[: len(h)]
-    outside = np.arange(len(h)) > (ends - shingle)[row]
-    worst = np.uint64(0xFFFFFFFFFFFFFFFF)
-    h[outside] = worst
-    low = _sliding(h, width, np.minimum)
+    outside = np.arange(len(h)) > (ends - length)[row]
+    start = permuted(h, 0)
+    start[outside] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    width = least - length + 1
+    low = _sliding(start, width, np.minimum)
     around = np.concatenate((np.zeros(width - 1, dtype=np.uint64), low, np.zeros(width - 1, dtype=np.uint64)))
-    at = np.flatnonzero((_sliding(around, width, np.maximum) == h) & ~outside)
-    return h[at], row[at], at - (ends - lengths)[row[at]]
+    at = np.flatnonzero((_sliding(around, width, np.maximum) == start) & ~outside)
+    band = np.zeros(len(at), dtype=np.uint64)
+    for k in range(rows):
+        signature = _sliding(permuted(h, k + 1), length - gram + 1, np.minimum)[at]
+        band = permuted(band * np.uint64(_ODD) + signature, k)
+    return band, row[at], at - (ends - lengths)[row[at]]
 
 
-def _candidates(texts: DataFrame, least: int, shingle: int, ranges: int) -> DataFrame:
-    """(a, off_a, b, off_b) from (doc, text): pairs of equal MinHash; b is null for the occurrences of one
-    that stands more than PAIRED times."""
-    step = (1 << 64) // ranges + 1
+def _prints(texts: DataFrame, least: int, rows: int) -> DataFrame:
+    """(h, doc, off) of every content-cut paragraph of (doc, text)."""
 
-    def emit(batches):
+    def run(batches):
         for batch in batches:
-            docs = batch.column(0).to_numpy()
-            # Copies inside a batch count once here; their classes are joined later.
-            first: dict[str, int] = {}
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                first.setdefault(t, i)
-            held = [t for t in first if len(t) >= least]
-            if not held:
-                continue
+            held = [k for k, t in enumerate(batch.column(1).to_pylist()) if len(t) >= least]
+            raw = batch.column(1).take(pa.array(held, pa.int64())).to_pylist()
+            docs = batch.column(0).to_numpy()[np.array(held, dtype=np.int64)]
             # Slices keep the arrays over all characters small, however long a batch's texts are.
-            found = [(h, row + at, off) for at, part in slices(held) for h, row, off in [window_minima(part, least, shingle)]]
-            h, row, off = (np.concatenate(x) for x in zip(*found, strict=True))
-            doc = docs[np.array([first[t] for t in held])][row]
-            order = np.argsort(h)
-            h, doc, off = h[order], doc[order], off[order]
-            cut = np.searchsorted(h, np.array([min(r * step, (1 << 64) - 1) for r in range(ranges)] + [(1 << 64) - 1], dtype=np.uint64))
-            cut[-1] = len(h)
-            of = np.flatnonzero(np.diff(cut)).tolist()
-            blobs = [h[cut[r] : cut[r + 1]].tobytes() + doc[cut[r] : cut[r + 1]].astype(np.int64).tobytes() + off[cut[r] : cut[r + 1]].astype(np.int32).tobytes() for r in of]
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(blobs, pa.binary())], names=["_range", "_blob"])
-
-    def meet(got):
-        parts = []
-        for blob in got.column("_blob").to_pylist():
-            n = len(blob) // 20
-            parts.append((np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.int64, n, 8 * n), np.frombuffer(blob, np.int32, n, 16 * n)))
-        h, doc, off = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((off, doc, h))
-        h, doc, off = h[order], doc[order], off[order]
-        start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        size = np.diff(np.append(start, len(h)))
-        run = np.repeat(np.arange(len(start)), size)
-        many = size[run] > PAIRED
-        found = [np.zeros((0, 4), dtype=np.int64)]
-        for k in range(1, PAIRED):
-            live = np.flatnonzero(~many & (np.arange(len(h)) + k < start[run] + size[run]))
-            if not len(live):
-                break
-            live = live[doc[live] != doc[live + k]]
-            found.append(np.stack((doc[live], off[live], doc[live + k], off[live + k]), axis=1).astype(np.int64))
-        pairs = np.concatenate(found)
-        # One meeting on each diagonal of two texts is enough: the whole diagonal is compared later.
-        _, at = np.unique(np.stack((pairs[:, 0], pairs[:, 2], pairs[:, 1] - pairs[:, 3]), axis=1), axis=0, return_index=True)
-        pairs, often = pairs[at], int(many.sum())
-        none = pa.nulls(often, pa.int64())
-        return pa.table({
-            "a": pa.chunked_array([pairs[:, 0], doc[many]]), "off_a": pa.chunked_array([pairs[:, 1], off[many].astype(np.int64)]),
-            "b": pa.chunked_array([pa.array(pairs[:, 2]), none]), "off_b": pa.chunked_array([pa.array(pairs[:, 3]), none]),
-        })
-
-    blocks = texts.mapInArrow(emit, "_range int, _blob binary")
-    return blocks.groupBy("_range").applyInArrow(meet, "a bigint, off_a bigint, b bigint, off_b bigint")
-
-
-def grow(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
-    """The maximal equal stretch of a and b through a[i] and b[j]: its start in a and its length."""
-    left, right = min(i, j), min(len(a) - i, len(b) - j)
-    differ = np.flatnonzero(a[i - left : i + right] != b[j - left : j + right])
-    k = np.searchsorted(differ, left)
-    low = differ[k - 1] + 1 if k else 0
-    high = differ[k] if k < len(differ) else left + right
-    return i - left + int(low), int(high - low)
+            for at, part in slices(raw):
+                h, row, off = cut_paragraphs(part, least, rows)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(docs[at:][row]), pa.array(off.astype(np.int32))], names=["h", "doc", "off"])
+
+    return texts.mapInArrow(run, "h bigint, doc bigint, off int")
 
 
 def stretches(a: np.ndarray, b: np.ndarray, shift: int, least: int) -> list[tuple[int, int]]:
@@ -167,41 +149,57 @@ def stretches(a: np.ndarray, b: np.ndarray, shift: int, least: int) -> list[tupl
     return list(zip((start[at] + low).tolist(), length[at].tolist(), strict=True))
 
 
-def shared_spans(df: DataFrame, key: str, text: str, least: int = 200, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(spans: a, b, start_a, start_b, length), (members: key, cls, n_chars).
+@dataclass
+class Shared:
+    """What ``search`` found. members: (key, cls, n_chars) of every record; cold: (a, b, start_a, start_b, length),
+    maximal spans through paragraphs that stand up to PAIRED times; windows: (w1, w2, doc, start, before, after, cut), the places of
+    whole windows around more common ones that stand in several texts; cut says whether some of these places
+    don't go on to the left in the same way. a, b and doc name classes of equal text."""
 
-    Members holds the class of every record whose text is not null: records with equal text are one
-    class, named by its least key. Spans holds maximal stretches of at least ``least`` characters
-    (code points, as they are) that stand in the texts of two classes a < b, all those of each
-    alignment in which they meet; every two classes that share a stretch have at least one row. Texts shorter
-    than ``least`` take part as copies only. Keys must be bigint; a key that stands twice with
-    different texts counts with one of them, that of the least hash.
-    """
+    key: str
+    least: int
+    members: DataFrame
+    cold: DataFrame
+    windows: DataFrame
+
+
+def classed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(members: doc, cls, n_chars, _h), (one text per class: doc, text). Texts are not shuffled but for keys that
+    stand more than once, as long as the ids of copies are few enough to be sent around."""
     rows = df.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    hashed = rows.select("doc", F.md5("text").alias("_h"), F.length("text").alias("n_chars"))
-    named = hashed.groupBy("doc").agg(F.min(F.struct("_h", "n_chars")).alias("_r")).select("doc", "_r.*")
+    hashed = rows.select("doc", F.unhex(F.md5("text")).alias("_h"), F.length("text").alias("n_chars"))
+    named = hashed.groupBy("doc").agg(F.min(F.struct("_h", "n_chars")).alias("_r"), F.count(F.lit(1)).alias("_rows")).select("doc", "_r.*", "_rows")
     named = settle(named, "hashed")
     reps = named.groupBy("_h").agg(F.min("doc").alias("cls"))
-    members = settle(named.join(reps, "_h").select("doc", "cls", "n_chars"), "members")
-    total = named.agg(F.coalesce(F.sum("n_chars"), F.lit(0))).first()[0]
-    ranges = max(1, int(2 * total / (least - shingle + 2) / RANGE_PRINTS) + 1)
-    met = settle(_candidates(rows, least, shingle, ranges), "met")
-    cls = lambda x: members.select(F.col("doc").alias(x), F.col("cls").alias(f"cls_{x}"))
-    pairs = met.where("b IS NOT NULL").join(cls("a"), "a").join(cls("b"), "b").where("cls_a <> cls_b")
-    swap = F.col("cls_a") > F.col("cls_b")
-    pairs = pairs.select(
-        F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"),
-        F.when(swap, F.col("off_b")).otherwise(F.col("off_a")).alias("off_a"), F.when(swap, F.col("off_a")).otherwise(F.col("off_b")).alias("off_b"),
-    )
-    pairs = pairs.groupBy("a", "b", (F.col("off_a") - F.col("off_b")).alias("_d")).agg(F.min("off_a").alias("off_a"))
-    pairs = pairs.select("a", "b", "off_a", (F.col("off_a") - F.col("_d")).alias("off_b"))
-    hot = met.where("b IS NULL").join(cls("a"), "a").select(F.col("cls_a").alias("doc"), F.col("off_a").alias("off")).distinct()
-    pairs, hot = settle(pairs, "pairs"), settle(hot, "hot")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(hot.select("doc")).distinct()
-    needed = rows.join(wanted, "doc", "left_semi").groupBy("doc").agg(F.min(F.struct(F.md5("text"), "text")).alias("_t"))
-    needed = settle(needed.select("doc", "_t.text"), "texts")
-    spans = _verified(pairs, needed, least).unionByName(_hot_spans(hot, needed, least, shingle))
-    return spans, members.withColumnRenamed("doc", key)
+    members = settle(named.join(reps, "_h").select("doc", "cls", "n_chars", "_rows"), "members")
+    odd = members.where("doc <> cls OR _rows > 1").select("doc")
+    few = odd.limit(SENT_IDS + 1).count()
+    unique = rows
+    if few:
+        sent = F.broadcast(odd) if few <= SENT_IDS else odd
+        again = members.where("doc = cls AND _rows > 1").select("doc")
+        again = rows.join(again, "doc", "left_semi").groupBy("doc").agg(F.min(F.struct(F.unhex(F.md5("text")), "text")).alias("_t")).select("doc", "_t.text")
+        unique = rows.join(sent, "doc", "left_anti").unionByName(again)
+    return members.drop("_rows"), unique
+
+
+def search(df: DataFrame, key: str, text: str, least: int = 200) -> Shared:
+    """Finds what the records of (key, text) share; see ``shared_spans``."""
+    members, unique = classed(df, key, text)
+    _, rows = tuned(1.0, rows_most=ROWS)
+    prints = settle(_prints(unique, least, rows), "prints")
+    often = prints.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("_lo"), F.max("doc").alias("_hi")).where("_lo < _hi").select("h", "n")
+    live = settle(prints.join(often, "h"), "live")
+    # Two places that both follow the same paragraph at the same distance are on a diagonal that is met there already.
+    last = F.expr("struct(lag(h) OVER (PARTITION BY doc ORDER BY off) AS h, off - lag(off) OVER (PARTITION BY doc ORDER BY off) AS d)")
+    cold = live.where(F.col("n") <= PAIRED).withColumn("last", last).select("h", "doc", "off", F.when(F.col("last.h").isNotNull(), F.xxhash64("last")).alias("last"))
+    met = group_pairs(cold, ["h"], "doc", ["off", "last"], F.expr("NOT coalesce(last_l = last_r, false)"))
+    pairs = settle(met.select("a", "b", (F.col("off_a") - F.col("off_b")).alias("d")).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    needed = settle(unique.join(wanted, "doc", "left_semi"), "texts")
+    spans = settle(_verified(pairs, needed, least), "cold")
+    windows = _windows(live.where(F.col("n") > PAIRED), unique, least)
+    return Shared(key, least, members.withColumnRenamed("doc", key), spans, windows)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
@@ -211,64 +209,113 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for a, b, i, j, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out.extend((a, b, start, start - i + j, length) for start, length in stretches(points_of([x]), points_of([y]), i - j, least))
+            for a, b, d, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out.extend((a, b, start, start - d, length) for start, length in stretches(points_of([x]), points_of([y]), d, least))
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "start_a", "start_b", "length"])
 
-    return sides.select("a", "b", "off_a", "off_b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, start_a bigint, start_b bigint, length bigint")
+    return sides.select("a", "b", "d", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, start_a bigint, start_b bigint, length bigint")
 
 
-def _hot_spans(hot: DataFrame, texts: DataFrame, least: int, shingle: int) -> DataFrame:
-    """Spans through MinHashes that stand very often: all windows around them are compared by hash, so
-    only texts that truly share a whole window are ever paired, however common the shingle is."""
+def _windows(hot: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """All whole windows around very common paragraphs that stand in several texts."""
+    places = hot.groupBy("doc").agg(F.sort_array(F.collect_set("off")).alias("offs"))
+    held = places.join(texts, "doc").select("doc", "offs", "text")
 
     def run(batches):
         for batch in batches:
-            doc, start, value = [], [], []
-            for d, off, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                low, high = max(0, off + shingle - least), min(len(text), off + least)
-                if high - low >= least:
-                    h = gram_hashes(points_of([text[low:high]]), least)
-                    doc.extend([d] * len(h))
-                    start.extend(range(low, low + len(h)))
-                    value.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(np.concatenate(value) if value else [], pa.int64())], names=["doc", "start", "h"]
-            )
-
-    windows = hot.join(texts, "doc").select("doc", "off", "text").mapInArrow(run, "doc bigint, start bigint, h bigint")
-    windows = settle(windows.distinct(), "windows")
-    ends = windows.groupBy("h").agg(F.min(F.struct("doc", "start")).alias("lo"), F.max(F.struct("doc", (-F.col("start")).alias("start"))).alias("hi")).where("lo.doc < hi.doc")
-    live = settle(windows.join(ends, "h"), "shared")
-    # Texts are linked by their first such windows; every repeat in a text meets one other text, so that it counts too.
-    first = settle(live.groupBy("h", "doc").agg(F.min("start").alias("start")), "first")
-    a = first.select("h", F.col("doc").alias("a"), F.col("start").alias("start_a"))
-    b = first.select("h", F.col("doc").alias("b"), F.col("start").alias("start_b"))
-    linked = a.join(b, "h").where("a < b").select("a", "b", "start_a", "start_b")
-    lowest = F.col("doc") == F.col("lo.doc")
-    other = F.when(lowest, F.col("hi.doc")).otherwise(F.col("lo.doc"))
-    at = F.when(lowest, -F.col("hi.start")).otherwise(F.col("lo.start"))
-    repeats = live.join(first, ["h", "doc", "start"], "left_anti").select("doc", "start", lowest.alias("_l"), other.alias("_o"), at.alias("_at"))
-    repeats = repeats.selectExpr("if(_l, doc, _o) AS a", "if(_l, _o, doc) AS b", "if(_l, start, _at) AS start_a", "if(_l, _at, start) AS start_b")
-    return linked.unionByName(repeats).distinct().withColumn("length", F.lit(least).cast("bigint"))
-
-
-def found_pairs(spans: DataFrame, members: DataFrame, key: str, least: int = 200) -> DataFrame:
-    """(key_a, key_b), key_a < key_b: records that share a span, copies of one text included."""
-    same = members.where(F.col("n_chars") >= least).groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    linked = spans.select("a", "b").distinct().unionByName(same.select(F.col("cls").alias("a"), F.col("cls").alias("b")))
-    both = linked.join(members.select(F.col("cls").alias("a"), F.col(key).alias("_x")), "a").join(members.select(F.col("cls").alias("b"), F.col(key).alias("_y")), "b")
-    both = both.where("a <> b OR _x < _y")
-    return both.select(F.least("_x", "_y").alias(f"{key}_a"), F.greatest("_x", "_y").alias(f"{key}_b"))
+            for doc, offs, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                points = points_of([text])
+                wanted = np.zeros(len(points) + 1, dtype=np.int64)
+                low = np.maximum(0, np.array(offs) + PARAGRAPH - least)
+                high = np.minimum(np.array(offs), len(points) - least) + 1
+                ok = high > low
+                np.add.at(wanted, low[ok], 1)
+                np.add.at(wanted, high[ok], -1)
+                at = np.flatnonzero(np.cumsum(wanted) > 0)
+                if not len(at):
+                    continue
+                h = gram_hashes(points, least)[at]
+                g = gram_hashes(points ^ np.uint32(0x5BD1), least)[at]
+                # A text's own start or end goes on like no other.
+                none = -1 - (doc & ((1 << 62) - 1))
+                before = np.where(at > 0, points[at - 1].astype(np.int64), none)
+                stop = at + least
+                after = np.where(stop < len(points), points[np.minimum(stop, len(points) - 1)].astype(np.int64), none)
+                columns = [h.view(np.int64), g.view(np.int64), np.full(len(at), doc, dtype=np.int64), at.astype(np.int32), before, after]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["w1", "w2", "doc", "start", "before", "after"])
+
+    windows = settle(held.mapInArrow(run, "w1 bigint, w2 bigint, doc bigint, start int, before bigint, after bigint"), "windows")
+    differ = lambda c: (F.min(c) < F.max(c)).alias(f"cut_{c}")
+    kept = windows.groupBy("w1", "w2").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi"), differ("before"), differ("after")).where("_lo < _hi").drop("_lo", "_hi")
+    return settle(windows.join(kept, ["w1", "w2"]), "shared")
+
+
+def hot_spans(found: Shared) -> DataFrame:
+    """The maximal spans that hold very common paragraphs only. Windows that don't go on to the left in both
+    texts are their starts and those that don't to the right their ends, in turn along a diagonal."""
+    w = found.windows
+    side = lambda c: group_pairs(w.where(f"cut_{c}"), ["w1", "w2"], "doc", ["start", c], F.expr(f"{c}_l <> {c}_r")).select(
+        "a", "b", (F.col("start_a") - F.col("start_b")).alias("d"), F.col("start_a").cast("bigint").alias("at")
+    )
+    known = found.cold.select("a", "b", (F.col("start_a") - F.col("start_b")).cast("int").alias("d")).distinct()
+    at = side("before").distinct().withColumn("end", F.lit(False)).unionByName(side("after").distinct().withColumn("end", F.lit(True)))
+    at = at.join(known, ["a", "b", "d"], "left_anti").groupBy("a", "b", "d")
+    lists = at.agg(F.sort_array(F.collect_list(F.when(~F.col("end"), F.col("at")))).alias("s"), F.sort_array(F.collect_list(F.when(F.col("end"), F.col("at")))).alias("e"))
+    rows = lists.select("a", "b", "d", F.explode(F.arrays_zip("s", "e")).alias("_x"))
+    return rows.select("a", "b", F.col("_x.s").alias("start_a"), (F.col("_x.s") - F.col("d")).alias("start_b"), (F.col("_x.e") - F.col("_x.s") + found.least).alias("length"))
+
+
+def shared_spans(df: DataFrame, key: str, text: str, least: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(spans: a, b, start_a, start_b, length), (members: key, cls, n_chars).
+
+    Members holds the class of every record whose text is not null: records with equal text are one
+    class, named by its least key. Spans holds the maximal stretches of at least ``least`` characters
+    (code points, as they are) that stand in the texts of two classes a < b, each alignment with a row of its own. Texts
+    shorter than ``least`` take part as copies only. Keys must be bigint; a key that stands twice with
+    different texts counts with one of them, that of the least hash. Empty tables give empty results.
+    """
+    found = search(df, key, text, least)
+    return found.cold.unionByName(hot_spans(found)), found.members
 
 
-def shared_share(spans: DataFrame, members: DataFrame, key: str, least: int = 200) -> DataFrame:
+def linked(found: Shared) -> DataFrame:
+    """(a, b), a < b: the classes that share a span, each pair once."""
+    w = found.windows.where("cut_before").groupBy("w1", "w2", "doc").agg(F.min("before").alias("lo"), F.max("before").alias("hi"))
+    # A pair that goes on to the left in the same way stands in the window before, too.
+    hot = group_pairs(w, ["w1", "w2"], "doc", ["lo", "hi"], F.expr("NOT (lo_l = hi_l AND lo_r = hi_r AND lo_l = lo_r)"))
+    return found.cold.select("a", "b").unionByName(hot.select("a", "b")).distinct()
+
+
+def found_pairs(found: Shared) -> DataFrame:
+    """(key_a, key_b), key_a < key_b: records that share a span, copies of one text included."""
+    key, members = found.key, found.members
+    same = group_pairs(members.where(F.col("n_chars") >= found.least), ["cls"], key).select("a", "b")
+    sizes = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    links = linked(found)
+    # Classes of one record need no join; those of several are expanded.
+    several = members.join(sizes.where("n > 1"), "cls").select("cls", F.col(key).alias("_k"))
+    both = links.join(several.select(F.col("cls").alias("a"), F.col("_k").alias("_x")), "a", "left").join(several.select(F.col("cls").alias("b"), F.col("_k").alias("_y")), "b", "left")
+    both = both.select(F.coalesce("_x", "a").alias("a"), F.coalesce("_y", "b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return both.unionByName(same).select(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b"))
+
+
+def links_by_class(found: Shared) -> DataFrame:
+    """(key, cls, copies, links): one row per record: the class of its text, the records of that class, and the number of other classes it shares a span with."""
+    ends = linked(found)
+    degree = ends.select(F.col("a").alias("cls")).unionByName(ends.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
+    copies = found.members.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
+    return found.members.join(copies, "cls").join(degree, "cls", "left").select(found.key, "cls", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def shared_share(found: Shared) -> DataFrame:
     """(key, n_chars, shared_chars): how many characters of each record also stand in another record,
     within spans of at least ``least`` characters; a whole copy is shared as a whole."""
-    sides = spans.select(F.col("a").alias("cls"), F.col("start_a").alias("lo"), (F.col("start_a") + F.col("length")).alias("hi"))
-    sides = sides.unionByName(spans.select(F.col("b").alias("cls"), F.col("start_b").alias("lo"), (F.col("start_b") + F.col("length")).alias("hi"))).distinct()
-    ordered = sides.withColumn("before", F.expr("max(hi) OVER (PARTITION BY cls ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
+    key, members, least = found.key, found.members, found.least
+    sides = [found.cold.select(F.col(x).alias("cls"), F.col(f"start_{x}").alias("lo"), (F.col(f"start_{x}") + F.col("length")).alias("hi")) for x in "ab"]
+    hot = found.windows.select(F.col("doc").alias("cls"), F.col("start").cast("bigint").alias("lo"), (F.col("start") + F.lit(least)).cast("bigint").alias("hi"))
+    ordered = sides[0].unionByName(sides[1]).unionByName(hot).distinct()
+    ordered = ordered.withColumn("before", F.expr("max(hi) OVER (PARTITION BY cls ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
     covered = ordered.groupBy("cls").agg(F.sum(F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", F.coalesce("before", "lo")))).alias("covered"))
     copies = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
     whole = (F.col("n") > 1) & (F.col("n_chars") >= least)
@@ -276,3 +323,113 @@ def shared_share(spans: DataFrame, members: DataFrame, key: str, least: int = 20
         members.join(copies, "cls").join(covered, "cls", "left")
         .select(key, F.col("n_chars").cast("bigint").alias("n_chars"), F.when(whole, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0))).cast("bigint").alias("shared_chars"))
     )
+
+
+WORDS, SIMILAR, RECALL = 5, 0.8, 0.98
+_BREAK = re.compile(r"\n\s*\n|\r\n\s*\r\n")
+
+
+def layout_paragraphs(text: str, least: int) -> list[tuple[int, str]]:
+    """(offset, paragraph) of the stretches between blank lines that have at least ``least`` characters without the white space at their ends."""
+    out, at = [], 0
+    for m in [*_BREAK.finditer(text), None]:
+        end = m.start() if m else len(text)
+        part = text[at:end]
+        bare = part.strip()
+        if len(bare) >= least:
+            out.append((at + len(part) - len(part.lstrip()), bare))
+        at = m.end() if m else end
+    return out
+
+
+def word_shingles(text: str) -> set[tuple[str, ...]]:
+    words = text.lower().split()
+    return {tuple(words[k : k + WORDS]) for k in range(max(1, len(words) - WORDS + 1))}
+
+
+def band_values(text: str, bands: int, rows: int) -> list[int]:
+    """The value of each band of a paragraph's MinHash signature over its shingles of five words."""
+    import hashlib
+
+    h = np.array([int.from_bytes(hashlib.blake2b(" ".join(s).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for s in word_shingles(text)], dtype=np.uint64)
+    least = np.array([permuted(h, k).min() for k in range(bands * rows)]).reshape(bands, rows)
+    value = np.arange(bands, dtype=np.uint64)
+    for k in range(rows):
+        value = permuted(value * np.uint64(_ODD) + least[:, k], k)
+    return value.view(np.int64).tolist()
+
+
+def paragraph_clusters(df: DataFrame, key: str, text: str, least: int = 80, similarity: float = SIMILAR, recall: float = RECALL) -> DataFrame:
+    """(key, off, n_chars, cluster, kept): every layout paragraph of at least ``least`` characters with its cluster; kept is true for one place of each cluster.
+
+    Paragraphs of a cluster are linked by similarities of at least ``similarity``: the Jaccard similarity of their
+    sets of shingles of five words in lower case. Equal paragraphs are one class, whatever their number. Bands are tuned so that a pair just
+    at the similarity is found with probability ``recall``; each collision is verified exactly. In a band each
+    paragraph is first verified against the band's least one; those alike are one cluster already, and only the
+    others meet the rest, so a large group of near copies costs its size and not its square. Null keys, null
+    and short texts have no paragraphs.
+    """
+
+    def parts(batches):
+        for batch in batches:
+            at, off, out = [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                for o, p in layout_paragraphs(t, least):
+                    at.append(i)
+                    off.append(o)
+                    out.append(p)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(off, pa.int32()), pa.array(out, pa.string())], names=["doc", "off", "part"])
+
+    rows = df.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
+    held = rows.mapInArrow(parts, "doc bigint, off int, part string").withColumn("_h", F.unhex(F.md5("part")))
+    places = settle(held.select("doc", "off", F.length("part").alias("n_chars"), "_h").distinct(), "places")
+    # A paragraph's class is numbered by its hash; the texts of distinct paragraphs are kept once.
+    number = F.xxhash64("_h").alias("p")
+    distinct = settle(held.groupBy("_h").agg(F.first("part").alias("part")).select(number, "part"), "paragraphs")
+    bands, rows_of = tuned(similarity, recall)
+
+    def banded(batches):
+        for batch in batches:
+            values = [band_values(t, bands, rows_of) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), bands)), pa.array([v for x in values for v in x], pa.int64())], names=["p", "v"])
+
+    buckets = distinct.mapInArrow(banded, "p bigint, v bigint")
+    buckets = settle(buckets, "buckets")
+    leads = buckets.groupBy("v").agg(F.min("p").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("v", "lead")
+    live = settle(buckets.join(leads, "v"), "live")
+    to_lead = live.where("p <> lead").select(F.col("lead").alias("a"), F.col("p").alias("b")).distinct()
+    near = settle(_alike(to_lead, distinct, similarity), "near")
+    marked = live.join(near.select(F.col("a").alias("lead"), F.col("b").alias("p"), F.lit(True).alias("near")), ["lead", "p"], "left")
+    marked = marked.select("v", "p", (F.coalesce("near", F.lit(False)) | (F.col("p") == F.col("lead"))).alias("near"))
+    odd = marked.where("NOT near").select("v").distinct()
+    rest = group_pairs(marked.join(odd, "v", "left_semi"), ["v"], "p", ["near"], F.expr("NOT (near_l AND near_r)")).select("a", "b").distinct()
+    rest = rest.join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    links = near.unionByName(_alike(rest, distinct, similarity))
+    cluster = components(settle(links, "links"))
+    named = places.withColumn("p", F.xxhash64("_h")).join(cluster.withColumnRenamed("node", "p"), "p", "left").withColumn("cluster", F.coalesce("component", "p"))
+    first = named.groupBy("cluster").agg(F.min(F.struct("doc", "off")).alias("_f"))
+    kept = (F.col("doc") == F.col("_f.doc")) & (F.col("off") == F.col("_f.off"))
+    return named.join(first, "cluster").select(F.col("doc").alias(key), "off", "n_chars", "cluster", kept.alias("kept"))
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of (p, part) whose sets of word shingles have at least the similarity."""
+    sides = pairs.join(texts.select(F.col("p").alias("a"), F.col("part").alias("x")), "a").join(texts.select(F.col("p").alias("b"), F.col("part").alias("y")), "b")
+
+    def run(batches):
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                s, t = word_shingles(x), word_shingles(y)
+                both = len(s & t)
+                ok.append(both >= similarity * (len(s) + len(t) - both))
+            mask = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(mask) for k in range(2)], names=["a", "b"])
+
+    return sides.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def removals(clusters: DataFrame, key: str) -> DataFrame:
+    """(key, paragraphs, removed, removed_chars): what a record loses if of each cluster of paragraphs only the kept place stays."""
+    gone = F.when(~F.col("kept"), F.col("n_chars"))
+    return clusters.groupBy(key).agg(F.count(F.lit(1)).alias("paragraphs"), F.count(gone).alias("removed"), F.coalesce(F.sum(gone), F.lit(0)).cast("bigint").alias("removed_chars"))
