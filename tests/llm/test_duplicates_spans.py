@@ -79,7 +79,7 @@ def run_spans(spark, rows, **more):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.lit("clash"))
     found = spans.search(df, "doc_id", "text", **more)
     share = {r.doc_id: (r.n_chars, r.shared_chars) for r in spans.shared_share(found).collect()}
-    return found.cold.unionByName(spans.hot_spans(found)), found.members, {tuple(r) for r in spans.found_pairs(found).collect()}, share
+    return found.cold().unionByName(spans.hot_spans(found)), found.members, {tuple(r) for r in spans.found_pairs(found).collect()}, share
 
 
 def test_spans_against_brute_force(spark):
@@ -192,7 +192,7 @@ def test_every_span_holds_a_paragraph_of_both_texts():
     rng, base = texts(30, 23, 60)
     for t in base:
         at = rng.randint(0, len(t) - 200)
-        values = [set(spans.cut_paragraphs([x], 200, 3)[0].tolist()) for x in (t, "before " + t[at : at + 200] + " after")]
+        values = [set(spans.cut_paragraphs([x], 200, 2)[1].tolist()) for x in (t, "before " + t[at : at + 200] + " after")]
         assert values[0] & values[1]
 
 

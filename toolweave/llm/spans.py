@@ -7,8 +7,9 @@ tuned to the recall asked for; paragraphs that collide in a band are joined and
 share a span need not break at the same places in it. So its paragraphs are cut by content: each starts where
 the hash of the next characters is the least within ``least - PARAGRAPH`` places and has PARAGRAPH
 characters. Every shared span holds at least one such paragraph whole, the same one in both texts. Paragraphs
-of similarity 1 collide in any banding, so the tuning settles on one band and recall is 1.
-Colliding paragraphs are verified by comparing the two texts along their alignment; all maximal shared spans on it count.
+of similarity 1 collide in any banding, so the tuning settles on one band and recall is 1. Paragraphs
+that collide are verified to be equal, and what is around them to be long enough, and then the two texts are
+compared along their alignment; all maximal shared spans on it count.
 
 ``removals`` clusters the paragraphs of the layout, by word shingles, at a similarity below 1.
 
@@ -34,9 +35,11 @@ from toolweave.plans.settle import settle
 #: Characters of a content-cut paragraph, and of the shingles of its signature.
 PARAGRAPH, GRAM = 120, 16
 #: Most rows of a band.
-ROWS = 3
+ROWS = 2
 #: Occurrences of one paragraph up to which they are paired at once; beyond it whole windows meet. The result is the same.
 PAIRED = 64
+#: Characters cut into paragraphs at once: the arrays over them fit a core's cache.
+SLICE = 100_000
 #: Ids of copies that may be sent to every task; more are joined by shuffle.
 SENT_IDS = 500_000
 _ODD = 0x100000001B3
@@ -97,12 +100,12 @@ def permuted(h: np.ndarray, number: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def cut_paragraphs(texts: list[str], least: int, rows: int, length: int = PARAGRAPH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(band value, text number, offset) of the content-cut paragraphs of all texts."""
+def cut_paragraphs(texts: list[str], least: int, rows: int, length: int = PARAGRAPH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(band value, hash of the whole paragraph, text number, offset) of the content-cut paragraphs of all texts."""
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     points = points_of(texts)
     if len(points) < least:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     h = gram_hashes(points, gram)
     ends = np.cumsum(lengths)
     row = np.repeat(np.arange(len(texts), dtype=np.int64), lengths)[: len(h)]
@@ -117,23 +120,23 @@ def cut_paragraphs(texts: list[str], least: int, rows: int, length: int = PARAGR
     for k in range(rows):
         signature = _sliding(permuted(h, k + 1), length - gram + 1, np.minimum)[at]
         band = permuted(band * np.uint64(_ODD) + signature, k)
-    return band, row[at], at - (ends - lengths)[row[at]]
+    return band, gram_hashes(points, length)[at], row[at], at - (ends - lengths)[row[at]]
 
 
 def _prints(texts: DataFrame, least: int, rows: int) -> DataFrame:
-    """(h, doc, off) of every content-cut paragraph of (doc, text)."""
+    """(k, doc, off) of every content-cut paragraph of (doc, text): k stands for its band and its content."""
 
     def run(batches):
         for batch in batches:
             held = [k for k, t in enumerate(batch.column(1).to_pylist()) if len(t) >= least]
             raw = batch.column(1).take(pa.array(held, pa.int64())).to_pylist()
             docs = batch.column(0).to_numpy()[np.array(held, dtype=np.int64)]
-            # Slices keep the arrays over all characters small, however long a batch's texts are.
-            for at, part in slices(raw):
-                h, row, off = cut_paragraphs(part, least, rows)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(docs[at:][row]), pa.array(off.astype(np.int32))], names=["h", "doc", "off"])
+            for at, part in slices(raw, SLICE):
+                band, content, row, off = cut_paragraphs(part, least, rows)
+                k = permuted(band * np.uint64(_ODD) + content, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(docs[at:][row]), pa.array(off.astype(np.int32))], names=["k", "doc", "off"])
 
-    return texts.mapInArrow(run, "h bigint, doc bigint, off int")
+    return texts.mapInArrow(run, "k bigint, doc bigint, off int")
 
 
 def stretches(a: np.ndarray, b: np.ndarray, shift: int, least: int) -> list[tuple[int, int]]:
@@ -151,17 +154,22 @@ def stretches(a: np.ndarray, b: np.ndarray, shift: int, least: int) -> list[tupl
 
 @dataclass
 class Shared:
-    """What ``search`` found. members: (key, cls, n_chars) of every record; cold: (a, b, start_a, start_b, length),
-    maximal spans through paragraphs that stand up to PAIRED times; windows: (w1, w2, doc, start, before, after, cut), the places of
+    """What ``search`` found. members: (key, cls, n_chars) of every record; pairs: (a, b, d), the alignments with
+    a long enough span through paragraphs that stand up to PAIRED times; texts: (doc, text) of the texts in question; windows: (w1, w2, doc, start, before, after, cut), the places of
     whole windows around more common ones that stand in several texts; cut says whether some of these places
     don't go on to the left in the same way. a, b and doc name classes of equal text."""
 
     key: str
     least: int
     members: DataFrame
-    cold: DataFrame
+    pairs: DataFrame
+    texts: DataFrame
     windows: DataFrame
 
+    def cold(self) -> DataFrame:
+        """(a, b, start_a, start_b, length): the maximal spans on the alignments of ``pairs``."""
+        return _verified(self.pairs, self.texts, self.least)
+
 
 def classed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(members: doc, cls, n_chars, _h), (one text per class: doc, text). Texts are not shuffled but for keys that
@@ -188,18 +196,63 @@ def search(df: DataFrame, key: str, text: str, least: int = 200) -> Shared:
     members, unique = classed(df, key, text)
     _, rows = tuned(1.0, rows_most=ROWS)
     prints = settle(_prints(unique, least, rows), "prints")
-    often = prints.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("_lo"), F.max("doc").alias("_hi")).where("_lo < _hi").select("h", "n")
-    live = settle(prints.join(often, "h"), "live")
-    # Two places that both follow the same paragraph at the same distance are on a diagonal that is met there already.
-    last = F.expr("struct(lag(h) OVER (PARTITION BY doc ORDER BY off) AS h, off - lag(off) OVER (PARTITION BY doc ORDER BY off) AS d)")
-    cold = live.where(F.col("n") <= PAIRED).withColumn("last", last).select("h", "doc", "off", F.when(F.col("last.h").isNotNull(), F.xxhash64("last")).alias("last"))
-    met = group_pairs(cold, ["h"], "doc", ["off", "last"], F.expr("NOT coalesce(last_l = last_r, false)"))
-    pairs = settle(met.select("a", "b", (F.col("off_a") - F.col("off_b")).alias("d")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    needed = settle(unique.join(wanted, "doc", "left_semi"), "texts")
-    spans = settle(_verified(pairs, needed, least), "cold")
-    windows = _windows(live.where(F.col("n") > PAIRED), unique, least)
-    return Shared(key, least, members.withColumnRenamed("doc", key), spans, windows)
+    often = prints.groupBy("k").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1")
+    live = settle(prints.join(often, "k"), "live")
+    texts = settle(unique.join(live.select("doc").distinct(), "doc", "left_semi"), "texts")
+    met = group_pairs(_around(live.where(F.col("n") <= PAIRED), texts, least), ["k"], "doc", ["off", "lead", "part", "last"], F.expr("NOT coalesce(last_l = last_r, false)"))
+    pairs = settle(_long_enough(met, least).distinct(), "pairs")
+    return Shared(key, least, members.withColumnRenamed("doc", key), pairs, texts, _windows(live.where(F.col("n") > PAIRED), texts, least))
+
+
+def _around(cold: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """(k, doc, off, lead, part, last): the places with as much of the text around them as a span of ``least`` characters
+    through the paragraph can have, ``lead`` of them before it. last stands for the paragraph before if it overlaps or touches this one."""
+    places = cold.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("off", "k"))).alias("places"))
+    more = least - PARAGRAPH
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc, places, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                before = None
+                for x in places:
+                    off = x["off"]
+                    lead = min(off, more)
+                    near = before is not None and off - before["off"] <= PARAGRAPH
+                    out.append((x["k"], doc, off, lead, text[off - lead : off + PARAGRAPH + more], f"{before['k']} {off - before['off']}" if near else None))
+                    before = x
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["k", "doc", "off", "lead", "part", "last"])
+
+    held = places.join(texts, "doc").select("doc", "places", "text")
+    return held.mapInArrow(run, "k bigint, doc bigint, off int, lead int, part string, last string")
+
+
+def common(x: str, y: str) -> int:
+    """Characters with which both texts begin."""
+    low, high = 0, min(len(x), len(y))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if x[low:mid] == y[low:mid] else (low, mid - 1)
+    return low
+
+
+def _long_enough(met: DataFrame, least: int) -> DataFrame:
+    """(a, b, d): the alignments d = place in a - place in b of pairs of places that stand in an equal stretch of ``least`` characters."""
+
+    def run(batches):
+        for batch in batches:
+            cols = {n: batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names)}
+            ok = []
+            for x, y, i, j in zip(cols["part_a"], cols["part_b"], cols["lead_a"], cols["lead_b"], strict=True):
+                right = common(x[i:], y[j:])
+                ok.append(right >= PARAGRAPH and right + common(x[:i][::-1], y[:j][::-1]) >= least)
+            mask = pa.array(ok, pa.bool_())
+            d = np.array(cols["off_a"], dtype=np.int32) - np.array(cols["off_b"], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask), pa.array(d, pa.int32()).filter(mask)], names=["a", "b", "d"])
+
+    return met.select("a", "b", "off_a", "off_b", "lead_a", "lead_b", "part_a", "part_b").mapInArrow(run, "a bigint, b bigint, d int")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
@@ -258,9 +311,8 @@ def hot_spans(found: Shared) -> DataFrame:
     side = lambda c: group_pairs(w.where(f"cut_{c}"), ["w1", "w2"], "doc", ["start", c], F.expr(f"{c}_l <> {c}_r")).select(
         "a", "b", (F.col("start_a") - F.col("start_b")).alias("d"), F.col("start_a").cast("bigint").alias("at")
     )
-    known = found.cold.select("a", "b", (F.col("start_a") - F.col("start_b")).cast("int").alias("d")).distinct()
     at = side("before").distinct().withColumn("end", F.lit(False)).unionByName(side("after").distinct().withColumn("end", F.lit(True)))
-    at = at.join(known, ["a", "b", "d"], "left_anti").groupBy("a", "b", "d")
+    at = at.join(found.pairs, ["a", "b", "d"], "left_anti").groupBy("a", "b", "d")
     lists = at.agg(F.sort_array(F.collect_list(F.when(~F.col("end"), F.col("at")))).alias("s"), F.sort_array(F.collect_list(F.when(F.col("end"), F.col("at")))).alias("e"))
     rows = lists.select("a", "b", "d", F.explode(F.arrays_zip("s", "e")).alias("_x"))
     return rows.select("a", "b", F.col("_x.s").alias("start_a"), (F.col("_x.s") - F.col("d")).alias("start_b"), (F.col("_x.e") - F.col("_x.s") + found.least).alias("length"))
@@ -276,7 +328,7 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 200) -> tuple[
     different texts counts with one of them, that of the least hash. Empty tables give empty results.
     """
     found = search(df, key, text, least)
-    return found.cold.unionByName(hot_spans(found)), found.members
+    return found.cold().unionByName(hot_spans(found)), found.members
 
 
 def linked(found: Shared) -> DataFrame:
@@ -284,7 +336,7 @@ def linked(found: Shared) -> DataFrame:
     w = found.windows.where("cut_before").groupBy("w1", "w2", "doc").agg(F.min("before").alias("lo"), F.max("before").alias("hi"))
     # A pair that goes on to the left in the same way stands in the window before, too.
     hot = group_pairs(w, ["w1", "w2"], "doc", ["lo", "hi"], F.expr("NOT (lo_l = hi_l AND lo_r = hi_r AND lo_l = lo_r)"))
-    return found.cold.select("a", "b").unionByName(hot.select("a", "b")).distinct()
+    return found.pairs.select("a", "b").unionByName(hot.select("a", "b")).distinct()
 
 
 def found_pairs(found: Shared) -> DataFrame:
@@ -312,7 +364,8 @@ def shared_share(found: Shared) -> DataFrame:
     """(key, n_chars, shared_chars): how many characters of each record also stand in another record,
     within spans of at least ``least`` characters; a whole copy is shared as a whole."""
     key, members, least = found.key, found.members, found.least
-    sides = [found.cold.select(F.col(x).alias("cls"), F.col(f"start_{x}").alias("lo"), (F.col(f"start_{x}") + F.col("length")).alias("hi")) for x in "ab"]
+    cold = settle(found.cold(), "cold")
+    sides = [cold.select(F.col(x).alias("cls"), F.col(f"start_{x}").alias("lo"), (F.col(f"start_{x}") + F.col("length")).alias("hi")) for x in "ab"]
     hot = found.windows.select(F.col("doc").alias("cls"), F.col("start").cast("bigint").alias("lo"), (F.col("start") + F.lit(least)).cast("bigint").alias("hi"))
     ordered = sides[0].unionByName(sides[1]).unionByName(hot).distinct()
     ordered = ordered.withColumn("before", F.expr("max(hi) OVER (PARTITION BY cls ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
