@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from toolweave.llm.leaks import slices
 from toolweave.operators.linking import components, group_pairs
-from toolweave.plans.settle import settle
+from toolweave.plans.settle import drop, settle
 
 #: Characters of a content-cut paragraph, and of the shingles of its signature.
 PARAGRAPH, GRAM = 120, 16
@@ -180,17 +180,21 @@ def classed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     named = settle(named, "hashed")
     reps = named.groupBy("_h").agg(F.min("doc").alias("cls"))
     members = settle(named.join(reps, "_h").select("doc", "cls", "n_chars", "_rows"), "members")
-    odd = members.where("doc <> cls OR _rows > 1").select("doc")
-    few = odd.limit(SENT_IDS + 1).count()
+    odd, few = _sent(members.where("doc <> cls OR _rows > 1").select("doc"))
     unique = rows
     if few:
-        sent = F.broadcast(odd) if few <= SENT_IDS else odd
         again = members.where("doc = cls AND _rows > 1").select("doc")
         again = rows.join(again, "doc", "left_semi").groupBy("doc").agg(F.min(F.struct(F.unhex(F.md5("text")), "text")).alias("_t")).select("doc", "_t.text")
-        unique = rows.join(sent, "doc", "left_anti").unionByName(again)
+        unique = rows.join(odd, "doc", "left_anti").unionByName(again)
     return members.drop("_rows"), unique
 
 
+def _sent(ids: DataFrame) -> tuple[DataFrame, int]:
+    """The ids, marked for broadcast if they are at most SENT_IDS, and their number up to one more than that."""
+    few = ids.limit(SENT_IDS + 1).count()
+    return (F.broadcast(ids) if few <= SENT_IDS else ids), few
+
+
 def search(df: DataFrame, key: str, text: str, least: int = 200) -> Shared:
     """Finds what the records of (key, text) share; see ``shared_spans``."""
     members, unique = classed(df, key, text)
@@ -198,9 +202,10 @@ def search(df: DataFrame, key: str, text: str, least: int = 200) -> Shared:
     prints = settle(_prints(unique, least, rows), "prints")
     often = prints.groupBy("k").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1")
     live = settle(prints.join(often, "k"), "live")
-    texts = settle(unique.join(live.select("doc").distinct(), "doc", "left_semi"), "texts")
+    texts = settle(unique.join(_sent(live.select("doc").distinct())[0], "doc", "left_semi"), "texts")
     met = group_pairs(_around(live.where(F.col("n") <= PAIRED), texts, least), ["k"], "doc", ["off", "lead", "part", "last"], F.expr("NOT coalesce(last_l = last_r, false)"))
     pairs = settle(_long_enough(met, least).distinct(), "pairs")
+    drop(prints)
     return Shared(key, least, members.withColumnRenamed("doc", key), pairs, texts, _windows(live.where(F.col("n") > PAIRED), texts, least))
 
 
@@ -272,6 +277,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
 
 def _windows(hot: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     """All whole windows around very common paragraphs that stand in several texts."""
+    kinds = "w1 bigint, w2 bigint, doc bigint, start int, before bigint, after bigint"
+    if hot.isEmpty():
+        return hot.sparkSession.createDataFrame([], f"{kinds}, cut_before boolean, cut_after boolean")
     places = hot.groupBy("doc").agg(F.sort_array(F.collect_set("off")).alias("offs"))
     held = places.join(texts, "doc").select("doc", "offs", "text")
 
@@ -298,7 +306,7 @@ def _windows(hot: DataFrame, texts: DataFrame, least: int) -> DataFrame:
                 columns = [h.view(np.int64), g.view(np.int64), np.full(len(at), doc, dtype=np.int64), at.astype(np.int32), before, after]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["w1", "w2", "doc", "start", "before", "after"])
 
-    windows = settle(held.mapInArrow(run, "w1 bigint, w2 bigint, doc bigint, start int, before bigint, after bigint"), "windows")
+    windows = settle(held.mapInArrow(run, kinds), "windows")
     differ = lambda c: (F.min(c) < F.max(c)).alias(f"cut_{c}")
     kept = windows.groupBy("w1", "w2").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi"), differ("before"), differ("after")).where("_lo < _hi").drop("_lo", "_hi")
     return settle(windows.join(kept, ["w1", "w2"]), "shared")
