@@ -57,10 +57,44 @@ def test_blocks_round_trip():
     assert (a == v).all() and (b == w).all()
 
 
-def test_ball_meets_at_distance_two():
-    x = 0o1234567
-    y = x ^ 0o0040030
-    assert set(ballhash.variants(np.array([x]), 7)[0]) & set(ballhash.variants(np.array([y]), 7)[0])
+def test_ball_meets_in_the_middle():
+    x = np.arange(1, 15, dtype=np.int64)[None, :]
+    y, z = x.copy(), x.copy()
+    y[0, 3] = 99
+    y[0, 8:] = 77
+    z[0, [1, 2, 8, 9]] = 99
+    v = [set(ballhash.variants(p, 7)[0].tolist()) for p in (x, y, z)]
+    assert len(v[0]) == 14 and len(v[0] & v[1]) == 1 and not v[0] & v[2]
+
+
+def test_recall_at_the_threshold_at_every_size():
+    """Texts with a similarity of 0.70 to 0.75 meet as often in a table of a hundred million rows as in a small one."""
+    rng, _ = texts(1, 1)
+    pairs = []
+    while len(pairs) < 300:
+        letters = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randint(80, 200))]
+        other = letters.copy()
+        for _ in range(rng.randint(2, 9)):
+            other[rng.randrange(len(other))] = rng.choice("0123456789")
+        a, b = "".join(letters), "".join(other)
+        if 0.70 <= jaccard(a, b) <= 0.75:
+            pairs.append((a, b))
+    for rows in (2_000, 200_000, 20_000_000, 100_000_000):
+        symbols, tables = ballhash.shape_for(rows, 0.7)
+        a, b = (ballhash.variants(ballhash.fingerprints(list(x), 5, symbols, tables)[0], symbols) for x in zip(*pairs, strict=True))
+        recall = (a == b).any(axis=1).mean()
+        assert recall >= 0.95, (rows, symbols, tables, recall)
+
+
+def test_common_values_meet_in_cells(spark, monkeypatch):
+    """Records that share one value by the hundred are paired outside the ranges, and none is lost."""
+    monkeypatch.setattr(ballhash, "OFTEN", 20)
+    rng, base = texts(2, 31, 60)
+    rows = [(i, f"{base[0]} {i}") for i in range(90)] + [(100 + i, f"{base[1]} {i}") for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(3)
+    pairs, members = ballhash.similar_pairs(df, "id", F.col("t"), 0.7)
+    assert {tuple(r) for r in ballhash.member_pairs(pairs, members, "id").collect()} == set(itertools.combinations(range(90), 2)) | set(itertools.combinations(range(100, 110), 2))
+    assert {tuple(r)[2:] for r in ballhash.class_links(pairs, members, "id").collect()} == {(1, 89), (1, 9)}
 
 
 def brute_spans(docs, least):

@@ -1,16 +1,19 @@
 """Near-duplicate records by meet-in-the-middle ball hashing (problem 1).
 
-A record's text becomes the set of its character shingles; a one-permutation MinHash over it gives
-``tables`` fingerprints of ``symbols`` symbols with ``BITS`` bits each, plus a long bit sketch. Two
-records within two symbols of one another in a table meet at a fingerprint that is one change away
-from either: so each emits its own fingerprint and every variant with one symbol changed, the variants
-are shuffled by value, and pairs that meet are deduplicated, sifted by their sketches and verified by
-the exact similarity.
+A record's text becomes the set of its character shingles; MinHash over it gives ``tables`` fingerprints of
+``symbols`` symbols each, plus a long bit sketch. Distance is counted in symbols erased: two fingerprints
+that differ in one symbol are two apart, as each must lose that symbol for both to be alike. Each fingerprint
+emits all variants within half that radius, those with one symbol erased, so that the two meet in the middle
+at the variant without the symbol in which they differ. The variants are shuffled by value, and pairs that meet
+are deduplicated, sifted by their sketches and verified by the exact similarity.
+
+A symbol is a whole MinHash value, not a few bits of it, so a ball has one variant for each symbol however
+large the alphabet is. The number of symbols follows the logarithm of the number of records, so that chance meetings per record
+stay bounded, and the number of tables follows from it so that the recall just at the threshold is the same at every size.
 
 The variants travel as sorted, delta-coded blocks, one per map batch and range of values, at about
-three bytes a variant: the shuffle has few, large rows. The number of ranges follows the number of
-records, so a range stays bounded; the number of symbols follows its logarithm, so the chance meetings
-per record stay bounded too.
+five bytes a variant: the shuffle has few, large rows. The number of ranges follows the number of
+records, so a range stays bounded; values that very many records share travel apart and meet in cells.
 """
 
 from __future__ import annotations
@@ -23,15 +26,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from toolweave.operators.linking import group_pairs
 from toolweave.plans.settle import settle
 
-BITS = 3
-TABLES = 4
+#: Probability that two records just at the threshold meet.
+RECALL = 0.98
 SKETCH_BINS = 128
 #: Sketch bits that may differ: at a similarity of 0.7 a bit differs with probability 0.15.
 SKETCH_LIMIT = 38
-#: Variants in one range of values.
-RANGE_VARIANTS = 600_000
+#: Variants in one range of values, and the bits of a value within its range.
+RANGE_VARIANTS, RANGE_BITS = 600_000, 36
+#: Records of one block, or of one range, above which those with an equal value are not paired inside a task.
+OFTEN = 512
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,26 +87,49 @@ def minima(hashes: np.ndarray, row: np.ndarray, rows: int, bins: int, shift: int
     return least
 
 
+def shape_for(rows: int, threshold: float, recall: float = RECALL, unlike: float = 0.06, meets: float = 8.0) -> tuple[int, int]:
+    """(symbols, tables): the fewest variants with which two records of similarity ``threshold`` meet with probability ``recall``
+    while about ``meets`` unlike records a record meet over all tables.
+
+    ``unlike`` is the similarity that unrelated records have anyhow, through common phrases.
+    """
+    for symbols in range(5, 64):
+        near = threshold**symbols + symbols * (1 - threshold) * threshold ** (symbols - 1)
+        tables = max(1, math.ceil(math.log(1 - recall) / math.log1p(-near)))
+        if rows * tables * symbols * unlike ** (symbols - 1) <= meets:
+            break
+    return symbols, tables
+
+
 def fingerprints(texts: list[str], width: int, symbols: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprints [rows, tables], sketch high, sketch low)."""
+    """(fingerprints [rows, tables * symbols], sketch high, sketch low): each symbol is a hash of the least shingle in an order of its own."""
     hashes, row = shingle_hashes(texts, width)
-    rows = len(texts)
-    # 2**k bins of the top bits would split unevenly by text; the remainder by the bin count does not.
-    least = _mix(minima(hashes, row, rows, symbols * tables, 20))
-    value = (least >> np.uint64(40)) & np.uint64((1 << BITS) - 1)
-    prints = np.zeros((rows, tables), dtype=np.int64)
-    for t in range(tables):
-        for s in range(symbols):
-            prints[:, t] = (prints[:, t] << BITS) | value[:, t * symbols + s].astype(np.int64)
-    bit = (_mix(minima(_mix(hashes + _MULT), row, rows, SKETCH_BINS, 7)) >> np.uint64(17)) & np.uint64(1)
+    first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, dtype=np.int64)
+    prints = np.empty((len(texts), tables * symbols), dtype=np.uint64)
+    for k in range(tables * symbols):
+        prints[:, k] = _mix(np.minimum.reduceat(_order(hashes, k), first) + np.uint64(k))
+    bit = (_mix(minima(_mix(hashes + _MULT), row, len(texts), SKETCH_BINS, 7)) >> np.uint64(17)) & np.uint64(1)
     packed = np.packbits(bit.astype(np.uint8), axis=1).view(">u8").astype(np.uint64).view(np.int64)
-    return prints, packed[:, 0], packed[:, 1]
+    return prints.view(np.int64), packed[:, 0], packed[:, 1]
+
+
+def _order(hashes: np.ndarray, number: int) -> np.ndarray:
+    """The hashes in one of the orders; they are mixed already, so one multiplication after a shift of them does."""
+    x = (hashes ^ np.uint64(_KEYS[number % len(_KEYS)] + number // len(_KEYS))) * _MULT
+    x ^= x >> np.uint64(32)
+    return x * np.uint64(0xC4CEB9FE1A85EC53)
+
+
+_KEYS = np.random.default_rng(20).integers(0, 1 << 63, 4096, dtype=np.uint64).tolist()
 
 
 def variants(prints: np.ndarray, symbols: int) -> np.ndarray:
-    """[rows, 1 + symbols * (2**BITS - 1)]: each fingerprint and all that differ from it in one symbol."""
-    flips = [0] + [x << (BITS * s) for s in range(symbols) for x in range(1, 1 << BITS)]
-    return prints[:, None] ^ np.array(flips, dtype=np.int64)[None, :]
+    """[rows, tables * symbols]: a hash of each fingerprint without one of its symbols, for each of them, and of the place left out."""
+    part = prints.view(np.uint64).reshape(len(prints), -1, symbols)
+    tables = part.shape[1]
+    place = _mix(np.arange(1, tables * symbols + 1, dtype=np.uint64) * _MULT).reshape(tables, symbols)
+    part = _mix(part + place)
+    return _mix(part.sum(axis=2, dtype=np.uint64)[:, :, None] - part + place).reshape(len(prints), tables * symbols)
 
 
 def _pack(values: np.ndarray, rows: np.ndarray) -> bytes:
@@ -131,40 +160,40 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(d), rows
 
 
-def _meetings(code: np.ndarray, bits: int) -> np.ndarray:
-    """Pairs of different records with an equal value, each once, as less << bits | greater.
+def _meetings(value: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(less, greater): different records with an equal value, each two once.
 
-    ``code`` is value << bits | record. The codes are sorted; step k pairs each entry with the one k
-    places on, while any such pair still has equal values, so the work follows the pairs found.
+    Sorted by value, step k pairs each entry with the one k places on, while any such pair still has
+    equal values, so the work follows the pairs found.
     """
-    code = np.sort(code)
-    value, who = code >> bits, code & ((1 << bits) - 1)
-    found, k = [np.zeros(0, dtype=np.int64)], 1
+    found, k = [np.zeros((0, 2), dtype=np.int64)], 1
     live = np.flatnonzero(value[:-1] == value[1:])
     while len(live):
         a, b = who[live], who[live + k]
-        found.append(np.unique((a << bits | b)[a != b]))
+        found.append(np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1)[a != b], axis=0))
         k += 1
         live = live[live + k < len(value)]
         live = live[value[live] == value[live + k]]
-    return np.unique(np.concatenate(found))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def candidate_pairs(prints: DataFrame, rows: int, symbols: int, tables: int) -> DataFrame:
-    """(a, b) with a < b from (pos bigint, prints array<bigint>): positions that meet in some table.
+    """(a, b) with a < b from (pos bigint, prints array<bigint>): positions that meet at some variant.
 
     Positions ascend within a file, so a block of up to 2**16 of them is one base and short offsets.
+    A value that more than OFTEN records of a block have leaves its block as rows and puts a mark into its
+    range; a range passes the records of marked and of common values on as rows too. These meet by ``group_pairs``.
     """
-    each = 1 + symbols * ((1 << BITS) - 1)
+    each = symbols * tables
     ranges = max(1, -(-rows * each // RANGE_VARIANTS))
-    width = BITS * symbols
-    edges = np.array([(r << width) // ranges for r in range(ranges + 1)], dtype=np.int64)
+    mask = np.uint64((1 << RANGE_BITS) - 1)
 
     def blocks_of(batches):
-        pos, prints = np.zeros(0, dtype=np.int64), np.zeros((0, tables), dtype=np.int64)
+        pos, prints = np.zeros(0, dtype=np.int64), np.zeros((0, each), dtype=np.int64)
         for batch in batches:
             pos = np.concatenate((pos, batch.column(0).to_numpy()))
-            prints = np.concatenate((prints, batch.column(1).flatten().to_numpy().reshape(-1, tables)))
+            prints = np.concatenate((prints, batch.column(1).flatten().to_numpy().reshape(-1, each)))
             while len(pos) >= 1 << 15:
                 n = _stretch(pos)
                 yield pos[:n], prints[:n]
@@ -176,35 +205,54 @@ def candidate_pairs(prints: DataFrame, rows: int, symbols: int, tables: int) ->
 
     def emit(batches):
         for pos, prints in blocks_of(batches):
-            of, blobs = [], []
-            who = np.repeat(pos - pos[0], each)
-            for t in range(tables):
-                # Value and offset sort as one number.
-                code = np.sort(variants(prints[:, t], symbols).reshape(-1) << 16 | who)
-                v, w = code >> 16, code & 0xFFFF
-                cut = np.searchsorted(v, edges)
-                for r in np.flatnonzero(np.diff(cut)).tolist():
-                    of.append(t * ranges + r)
-                    blobs.append(_pack(v[cut[r] : cut[r + 1]] - edges[r], w[cut[r] : cut[r + 1]]))
-            base = pa.array(np.full(len(of), pos[0], dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), base, pa.array(blobs, pa.binary())], names=["_range", "_base", "_blob"])
+            h = variants(prints, symbols).reshape(-1)
+            r = (((h >> np.uint64(RANGE_BITS)).astype(np.float64) * (ranges / float(1 << (64 - RANGE_BITS)))).astype(np.int64)).clip(0, ranges - 1)
+            v, who = (h & mask).astype(np.int64), np.repeat(pos - pos[0], each)
+            order = np.lexsort((v, r))
+            r, v, who = r[order], v[order], who[order]
+            head = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (r[1:] != r[:-1]))))
+            size = np.diff(np.append(head, len(v)))
+            often = np.repeat(size > OFTEN, size)
+            out: list[tuple[int, int, bytes]] = []
+            for kind, take in ((0, ~often), (1, head[size > OFTEN])):
+                x, y, z = r[take], v[take], who[take]
+                cut = np.searchsorted(x, np.arange(ranges + 1))
+                out.extend((int(k), kind, _pack(y[cut[k] : cut[k + 1]], z[cut[k] : cut[k + 1]])) for k in np.flatnonzero(np.diff(cut)))
+            if often.any():
+                # Groups of their own, one a block, that only pass the records on.
+                x, y, z = r[often], v[often], who[often]
+                out.extend((-1 - int(pos[0] % 1_000_003), 2 + int(k), _pack(y[x == k], z[x == k])) for k in np.unique(x))
+            base = pa.array(np.full(len(out), pos[0], dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), base, pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["_range", "_base", "_kind", "_blob"])
 
     def meet(got):
-        # Values count from the start of their range and records as block and offset, so that both fit one number.
-        bases = got.column("_base").to_pylist()
-        bits = 16 + max(1, (len(bases) - 1).bit_length())
-        code = []
-        for k, blob in enumerate(got.column("_blob").to_pylist()):
+        values, records, marks, passed = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], []
+        number = got.column("_range")[0].as_py()
+        for base, kind, blob in zip(got.column("_base").to_pylist(), got.column("_kind").to_pylist(), got.column("_blob").to_pylist(), strict=True):
             v, w = _unpack(blob)
-            code.append(v << bits | k << 16 | w)
-        pairs = _meetings(np.concatenate(code), bits)
-        start = np.array(bases, dtype=np.int64)
-        a, b = pairs >> bits, pairs & ((1 << bits) - 1)
-        a, b = start[a >> 16] + (a & 0xFFFF), start[b >> 16] + (b & 0xFFFF)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    blocks = prints.mapInArrow(emit, "_range int, _base bigint, _blob binary")
-    return blocks.groupBy("_range").applyInArrow(meet, "a bigint, b bigint").distinct()
+            if kind == 0:
+                values.append(v)
+                records.append(w + base)
+            elif kind == 1:
+                marks.append(v)
+            else:
+                passed.append((v | (kind - 2) << RANGE_BITS, w + base))
+        value, who = np.concatenate(values), np.concatenate(records)
+        order = np.argsort(value, kind="stable")
+        value, who = value[order], who[order]
+        head = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.zeros(0, dtype=np.int64)
+        size = np.diff(np.append(head, len(value)))
+        often = np.repeat((size > OFTEN) | np.isin(value[head], np.concatenate(marks)), size)
+        passed.append((value[often] | max(number, 0) << RANGE_BITS, who[often]))
+        a, b = _meetings(value[~often], who[~often])
+        v, w = (np.concatenate(x) for x in zip(*passed, strict=True))
+        none = lambda n: pa.nulls(n, pa.int64())
+        return pa.table({"a": pa.chunked_array([a, w]), "b": pa.chunked_array([pa.array(b), none(len(w))]), "v": pa.chunked_array([none(len(a)), pa.array(v)])})
+
+    blocks = prints.mapInArrow(emit, "_range int, _base bigint, _kind int, _blob binary")
+    met = settle(blocks.groupBy("_range").applyInArrow(meet, "a bigint, b bigint, v bigint"), "met")
+    common = group_pairs(met.where("b IS NULL").select("v", F.col("a").alias("m")), ["v"], "m").select("a", "b")
+    return met.where("b IS NOT NULL").select("a", "b").unionByName(common).distinct()
 
 
 def _stretch(pos: np.ndarray) -> int:
@@ -234,7 +282,7 @@ def classes(df: DataFrame, key: str, text: Column, version: Column, width: int,
             if not texts:
                 continue
             prints, hi, lo = fingerprints(texts, width, symbols, tables)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(prints.reshape(-1)), tables).cast(pa.list_(pa.int64()))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(prints.reshape(-1)), symbols * tables).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists, pa.array(hi), pa.array(lo)], names=[key, "_version", "_h", "prints", "hi", "lo"])
 
     hashed = rows.select(key, "_text", "_version", F.unhex(F.md5("_text")).alias("_h"))
@@ -247,28 +295,18 @@ def classes(df: DataFrame, key: str, text: Column, version: Column, width: int,
     return members, reps
 
 
-def symbols_for(rows: int, unlike: float = 0.06, meets: float = 8.0) -> int:
-    """Symbols of a fingerprint so that about ``meets`` unlike records a record meet over all tables.
-
-    ``unlike`` is the similarity that unrelated records have anyhow, through common phrases.
-    """
-    same = 1 / (1 << BITS) + (1 - 1 / (1 << BITS)) * unlike
-    near = lambda s: sum(math.comb(s, k) * (1 - same) ** k * same ** (s - k) for k in range(3))
-    return next(s for s in range(5, 16) if s == 15 or rows * TABLES / 2 * near(s) <= meets)
-
-
-def similar_pairs(df: DataFrame, key: str, text: Column, threshold: float, version: Column | None = None, width: int = 5, tables: int = TABLES) -> tuple[DataFrame, DataFrame]:
+def similar_pairs(df: DataFrame, key: str, text: Column, threshold: float, version: Column | None = None, width: int = 5, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """(pairs: cls_a, cls_b, similarity), (members: key, cls) of the records of a table.
 
     pairs holds each two classes of equal text whose sets of distinct shingles have a Jaccard
     similarity of at least ``threshold``, cls_a < cls_b; members the class of every record whose text
     is not null. Of rows with the same key only the one with the least ``version`` counts (as text; null
     first), of several such that with the least hash. Empty texts are one class; texts below the width count as one shingle. The sketch limit
-    is set for thresholds from 0.7. Misses have a chance only: with 11 symbols about 11 % of the pairs
-    just at 0.7, 1 % at 0.8 and less than 0.1 % from 0.85; no record, class or meeting is capped.
+    is set for thresholds from 0.7. Misses have a chance only: at most 1 - ``recall`` of the pairs just at
+    the threshold, whatever the size of the table, and far fewer above it; no record, class or meeting is capped.
     """
     rows = df.count()
-    symbols = symbols_for(max(rows, 1))
+    symbols, tables = shape_for(max(rows, 1), threshold, recall)
     version = F.lit("") if version is None else version
     members, reps = classes(df, key, text, version, width, symbols, tables)
     met = candidate_pairs(reps.select("pos", "prints"), rows, symbols, tables)
@@ -305,10 +343,19 @@ def _jaccard(a: str, b: str, width: int) -> float:
 
 
 def member_pairs(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    """(key_a, key_b) with key_a < key_b of records in similar or the same classes."""
-    same = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"))
-    linked = reduce(DataFrame.unionByName, [pairs.select("cls_a", "cls_b"), same])
-    a = members.select(F.col("cls").alias("cls_a"), F.col(key).alias("_x"))
-    b = members.select(F.col("cls").alias("cls_b"), F.col(key).alias("_y"))
-    both = linked.join(a, "cls_a").join(b, "cls_b").where((F.col("cls_a") != F.col("cls_b")) | (F.col("_x") < F.col("_y")))
-    return both.select(F.least("_x", "_y").alias(f"{key}_a"), F.greatest("_x", "_y").alias(f"{key}_b"))
+    """(key_a, key_b) with key_a < key_b of records in similar or the same classes. Large classes are paired in cells."""
+    same = group_pairs(members, ["cls"], key).select("a", "b")
+    several = members.join(members.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cls").select("cls", F.col(key).alias("_k"))
+    # A class of one record is named by it and needs no join.
+    a = several.select(F.col("cls").alias("cls_a"), F.col("_k").alias("_x"))
+    b = several.select(F.col("cls").alias("cls_b"), F.col("_k").alias("_y"))
+    both = pairs.join(a, "cls_a", "left").join(b, "cls_b", "left").select(F.coalesce("_x", "cls_a").alias("a"), F.coalesce("_y", "cls_b").alias("b"))
+    both = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same)
+    return both.select(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b"))
+
+
+def class_links(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """(key, cls, copies, links): one row per record: its class of equal texts, the records of the class, and the number of other classes similar to it."""
+    degree = reduce(DataFrame.unionByName, [pairs.select(F.col(f"cls_{s}").alias("cls")) for s in "ab"]).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
+    copies = members.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
+    return members.join(copies, "cls").join(degree, "cls", "left").select(key, "cls", "copies", F.coalesce("links", F.lit(0)).alias("links"))

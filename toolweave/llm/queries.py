@@ -13,11 +13,19 @@ from toolweave.plans.settle import settle
 from toolweave.sources.tables import table, without_redelivery
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _alike(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "toolset").where(F.length("description") >= 40)
     words = F.concat_ws(" ", F.coalesce("name", "tool_name", F.lit("")), "description")
     similar, members = ballhash.similar_pairs(rows, "tool_id", ballhash.normal_text(words), 0.7, F.col("loaded_at"))
-    return ballhash.member_pairs(settle(similar, "pairs"), settle(members, "members"), "tool_id")
+    return settle(similar, "pairs"), settle(members, "members")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ballhash.member_pairs(*_alike(spark, sf_dir), "tool_id")
+
+
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ballhash.class_links(*_alike(spark, sf_dir), "tool_id")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +124,7 @@ def p10_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_plan": p5_plan, "p5_sample": p5_sample, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_share": p10_share, "p10_classes": p10_classes, "p10_spans": p10_spans, "p10_removals": p10_removals}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p4_found": p4_found, "p5_found": p5_found, "p5_plan": p5_plan, "p5_sample": p5_sample, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_share": p10_share, "p10_classes": p10_classes, "p10_spans": p10_spans, "p10_removals": p10_removals}
 
 
 def oracle_sql() -> dict[str, str]:
