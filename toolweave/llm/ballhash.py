@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from toolweave.llm.copies import classed, sent
 from toolweave.operators.linking import group_pairs
 from toolweave.plans.settle import settle
 
@@ -262,53 +263,40 @@ def _stretch(pos: np.ndarray) -> int:
     return int(bad[0]) if len(bad) else len(part)
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """Add pos bigint: unique, ascending in each partition. Written at once, as it must not be recomputed."""
-    return settle(df.select(F.monotonically_increasing_id().alias("pos"), "*"), "numbered")
+#: Texts whose fingerprints are made at once: their shingles fit a core's cache.
+TEXTS = 256
 
 
-def classes(df: DataFrame, key: str, text: Column, version: Column, width: int, symbols: int, tables: int) -> tuple[DataFrame, DataFrame]:
-    """(members: key, cls), (representatives: pos, cls, prints, hi, lo). Of rows with one key the least version counts.
-
-    Records with equal text are one class, named by its least key, so a text repeated in a third of
-    all rows is handled once. Rows whose text is null take no part.
-    """
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key), version.cast("string").alias("_version"), text.alias("_text")).where(F.col("_text").isNotNull())
+def _printed(texts: DataFrame, width: int, symbols: int, tables: int) -> DataFrame:
+    """(pos, cls, prints, hi, lo) from (doc, text). pos is unique and ascends in each partition; written at once, as it must not be recomputed."""
+    kind = texts.schema["doc"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            if not texts:
-                continue
-            prints, hi, lo = fingerprints(texts, width, symbols, tables)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(prints.reshape(-1)), symbols * tables).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists, pa.array(hi), pa.array(lo)], names=[key, "_version", "_h", "prints", "hi", "lo"])
-
-    hashed = rows.select(key, "_text", "_version", F.unhex(F.md5("_text")).alias("_h"))
-    printed = hashed.mapInArrow(run, f"`{key}` {kind}, _version string, _h binary, prints array<bigint>, hi bigint, lo bigint")
-    printed = printed.groupBy(key).agg(F.min(F.struct("_version", "_h", "prints", "hi", "lo")).alias("_r"))
-    printed = settle(printed.select(key, "_r._h", "_r.prints", "_r.hi", "_r.lo"), "prints")
-    reps = printed.groupBy("_h").agg(F.min(F.struct(key, "prints", "hi", "lo")).alias("_r"))
-    reps = _numbered(reps.select("_h", F.col(f"_r.{key}").alias("cls"), "_r.prints", "_r.hi", "_r.lo"))
-    members = printed.select(key, "_h").join(reps.select("_h", "cls"), "_h").select(key, "cls")
-    return members, reps
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                prints, hi, lo = fingerprints(part.column(1).to_pylist(), width, symbols, tables)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(prints.reshape(-1)), symbols * tables).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(hi), pa.array(lo)], names=["cls", "prints", "hi", "lo"])
+
+    printed = texts.mapInArrow(run, f"cls {kind}, prints array<bigint>, hi bigint, lo bigint")
+    return settle(printed.select(F.monotonically_increasing_id().alias("pos"), "*"), "numbered")
 
 
 def similar_pairs(df: DataFrame, key: str, text: Column, threshold: float, version: Column | None = None, width: int = 5, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """(pairs: cls_a, cls_b, similarity), (members: key, cls) of the records of a table.
 
     pairs holds each two classes of equal text whose sets of distinct shingles have a Jaccard
-    similarity of at least ``threshold``, cls_a < cls_b; members the class of every record whose text
-    is not null. Of rows with the same key only the one with the least ``version`` counts (as text; null
+    similarity of at least ``threshold``, cls_a < cls_b; members the class of every record whose key and text
+    are not null. Of rows with the same key only the one with the least ``version`` counts (as text; null
     first), of several such that with the least hash. Empty texts are one class; texts below the width count as one shingle. The sketch limit
     is set for thresholds from 0.7. Misses have a chance only: at most 1 - ``recall`` of the pairs just at
     the threshold, whatever the size of the table, and far fewer above it; no record, class or meeting is capped.
     """
-    rows = df.count()
+    members, unique = classed(df, key, text, version)
+    rows = members.where("doc = cls").count()
     symbols, tables = shape_for(max(rows, 1), threshold, recall)
-    version = F.lit("") if version is None else version
-    members, reps = classes(df, key, text, version, width, symbols, tables)
+    reps = _printed(unique, width, symbols, tables)
     met = candidate_pairs(reps.select("pos", "prints"), rows, symbols, tables)
     side = lambda x: reps.select(F.col("pos").alias(x), F.col("cls").alias(f"cls_{x}"), F.col("hi").alias(f"hi_{x}"), F.col("lo").alias(f"lo_{x}"))
     apart = F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b"))) + F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b")))
@@ -317,11 +305,10 @@ def similar_pairs(df: DataFrame, key: str, text: Column, threshold: float, versi
         met.join(side("a"), "a").join(side("b"), "b").where(apart <= limit)
         .select(F.least("cls_a", "cls_b").alias("cls_a"), F.greatest("cls_a", "cls_b").alias("cls_b")), "sifted",
     )
-    wanted = sifted.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
-    texts = df.select(F.col(key).alias("cls"), version.cast("string").alias("_version"), text.alias("text")).join(wanted, "cls", "left_semi")
-    texts = texts.groupBy("cls").agg(F.min(F.struct("_version", F.md5("text"), "text")).alias("_t")).select("cls", "_t.text")
-    sides = sifted.join(texts.select(F.col("cls").alias("cls_a"), F.col("text").alias("text_a")), "cls_a")
-    sides = sides.join(texts.select(F.col("cls").alias("cls_b"), F.col("text").alias("text_b")), "cls_b")
+    wanted, _ = sent(sifted.select(F.explode(F.array("cls_a", "cls_b")).alias("doc")).distinct())
+    texts = settle(unique.join(wanted, "doc", "left_semi"), "texts")
+    sides = sifted.join(texts.select(F.col("doc").alias("cls_a"), F.col("text").alias("text_a")), "cls_a")
+    sides = sides.join(texts.select(F.col("doc").alias("cls_b"), F.col("text").alias("text_b")), "cls_b")
 
     def verify(batches):
         for batch in batches:
@@ -332,7 +319,7 @@ def similar_pairs(df: DataFrame, key: str, text: Column, threshold: float, versi
 
     kind = df.schema[key].dataType.simpleString()
     pairs = sides.select("cls_a", "cls_b", "text_a", "text_b").mapInArrow(verify, f"cls_a {kind}, cls_b {kind}, similarity double")
-    return pairs, members
+    return pairs, members.select(F.col("doc").alias(key), "cls")
 
 
 def _jaccard(a: str, b: str, width: int) -> float:

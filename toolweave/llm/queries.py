@@ -17,7 +17,7 @@ def _alike(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "toolset").where(F.length("description") >= 40)
     words = F.concat_ws(" ", F.coalesce("name", "tool_name", F.lit("")), "description")
     similar, members = ballhash.similar_pairs(rows, "tool_id", ballhash.normal_text(words), 0.7, F.col("loaded_at"))
-    return settle(similar, "pairs"), settle(members, "members")
+    return settle(similar, "pairs"), members
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from toolweave.llm.copies import classed, sent
 from toolweave.llm.leaks import slices
 from toolweave.operators.linking import components, group_pairs
 from toolweave.plans.settle import drop, settle
@@ -40,8 +41,6 @@ ROWS = 2
 PAIRED = 64
 #: Characters cut into paragraphs at once: the arrays over them fit a core's cache.
 SLICE = 100_000
-#: Ids of copies that may be sent to every task; more are joined by shuffle.
-SENT_IDS = 500_000
 _ODD = 0x100000001B3
 
 
@@ -171,38 +170,14 @@ class Shared:
         return _verified(self.pairs, self.texts, self.least)
 
 
-def classed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(members: doc, cls, n_chars, _h), (one text per class: doc, text). Texts are not shuffled but for keys that
-    stand more than once, as long as the ids of copies are few enough to be sent around."""
-    rows = df.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    hashed = rows.select("doc", F.unhex(F.md5("text")).alias("_h"), F.length("text").alias("n_chars"))
-    named = hashed.groupBy("doc").agg(F.min(F.struct("_h", "n_chars")).alias("_r"), F.count(F.lit(1)).alias("_rows")).select("doc", "_r.*", "_rows")
-    named = settle(named, "hashed")
-    reps = named.groupBy("_h").agg(F.min("doc").alias("cls"))
-    members = settle(named.join(reps, "_h").select("doc", "cls", "n_chars", "_rows"), "members")
-    odd, few = _sent(members.where("doc <> cls OR _rows > 1").select("doc"))
-    unique = rows
-    if few:
-        again = members.where("doc = cls AND _rows > 1").select("doc")
-        again = rows.join(again, "doc", "left_semi").groupBy("doc").agg(F.min(F.struct(F.unhex(F.md5("text")), "text")).alias("_t")).select("doc", "_t.text")
-        unique = rows.join(odd, "doc", "left_anti").unionByName(again)
-    return members.drop("_rows"), unique
-
-
-def _sent(ids: DataFrame) -> tuple[DataFrame, int]:
-    """The ids, marked for broadcast if they are at most SENT_IDS, and their number up to one more than that."""
-    few = ids.limit(SENT_IDS + 1).count()
-    return (F.broadcast(ids) if few <= SENT_IDS else ids), few
-
-
 def search(df: DataFrame, key: str, text: str, least: int = 200) -> Shared:
     """Finds what the records of (key, text) share; see ``shared_spans``."""
-    members, unique = classed(df, key, text)
+    members, unique = classed(df, key, F.col(text))
     _, rows = tuned(1.0, rows_most=ROWS)
     prints = settle(_prints(unique, least, rows), "prints")
     often = prints.groupBy("k").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1")
     live = settle(prints.join(often, "k"), "live")
-    texts = settle(unique.join(_sent(live.select("doc").distinct())[0], "doc", "left_semi"), "texts")
+    texts = settle(unique.join(sent(live.select("doc").distinct())[0], "doc", "left_semi"), "texts")
     met = group_pairs(_around(live.where(F.col("n") <= PAIRED), texts, least), ["k"], "doc", ["off", "lead", "part", "last"], F.expr("NOT coalesce(last_l = last_r, false)"))
     pairs = settle(_long_enough(met, least).distinct(), "pairs")
     drop(prints)
