@@ -40,6 +40,54 @@ def test_short_words(spark):
     assert found(spark, ["x a b c d e f g h i j k l m n o y", "a b c d e f g h i j k l m n z"], items=[(1, item)]) == [(1, 0)]
 
 
+def word_edits(item, text, words, edits):
+    """Whether a passage of the item stands in the text with so few edits, by the whole table of distances."""
+    a, b = (re.findall("[a-z0-9]+", x.lower()) for x in (item, text))
+    for s in range(len(a) - words + 1):
+        row = [0] * (len(b) + 1)
+        for x in a[s : s + words]:
+            new = [row[0] + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+            row = new
+        if min(row) <= edits:
+            return True
+    return False
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_leak_edits_against_brute_force(edits):
+    import random
+
+    rng = random.Random(edits)
+    vocabulary = ["a", "to", "of", "visa", "rules", "timetable", "within", "publish", "coach", "hour", "x1", "extraordinarily"]
+    items = [(i, " ".join(rng.choice(vocabulary) + str(rng.randrange(30)) for _ in range(rng.randint(14, 24)))) for i in range(12)]
+    texts = []
+    for _ in range(80):
+        w = rng.choice(items)[1].split()[rng.randint(0, 4) :]
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(w))
+            w[k : k + rng.randint(0, 1)] = rng.choice([[], ["replaced"], ["some", "more"]])
+        texts.append(("before " * rng.randint(0, 3) + ", ".join(w) + " after" * rng.randint(0, 3)).upper())
+    index = leaks.ItemIndex(items, 15, edits, leaks.Q)
+    assert set(index.search(texts)) == {(t, i) for t, x in enumerate(texts) for i, y in items if word_edits(y, x, 15, edits)}
+
+
+def test_one_replaced_word_is_found(spark):
+    words = re.findall("[A-Za-z0-9]+", ITEM)[:18]
+    words[9] = "somethingelse"
+    a = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    b = spark.createDataFrame([(7, " ".join(words)), (8, " ".join(words[:9]))], "conv_id long, value string")
+    assert leaks.leaked_items(a, "item_id", "text", b, "conv_id", "value").count() == 0
+    assert [tuple(r) for r in leaks.leaked_items(a, "item_id", "text", b, "conv_id", "value", edits=1, q=8).collect()] == [(1, 7)]
+
+
+def test_many_items_take_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "MAX_ITEM_CHARS", 300)
+    items = [(i, f"{ITEM} number {i}") for i in range(9)]
+    assert found(spark, [ITEM], items=items) == [(i, 0) for i in range(9)]
+
+
 EN = "The list of all orders was sent to the office and they have not been able to find it. "
 FR = "Les factures de la semaine ont été envoyées à tous les clients qui les attendaient depuis le mois dernier. "
 ES = "Los pedidos de la semana se enviaron a todos los clientes que los esperaban desde el mes pasado. "

@@ -1,24 +1,27 @@
 """Evaluation passages inside training texts, by q-gram lemma filtering (problem 4).
 
 Texts and items are brought to their words, lower-case ASCII letters and digits with one space between
-them. A passage of ``words`` words has a known least number of characters, so by the q-gram lemma a text
-that holds it with at most ``edits`` edits shares at least ``length + 1 - q * (edits + 1)`` q-grams with the
-item inside one band of diagonals. Shared q-grams are counted per item and band, the bands overlap by half,
-regions at the bound are kept and verified by an alignment inside the band.
+them. A passage of ``words`` words of which at most ``edits`` are replaced, left out or joined by others falls
+into at most ``edits`` + 1 stretches that stand in the text as they are. By the q-gram lemma these hold a known least number of the
+item's q-grams, and the largest stretch its share of them inside one band of diagonals. Shared q-grams are
+counted per item and band, the bands overlap by half, regions at the bound are kept and verified by an
+alignment of the words inside a band as wide as the edits allow.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Characters of a q-gram: no longer than the shortest passage of 15 words of one letter each.
 Q = 24
-#: Items are a bounded query set held by every task; more than this is refused rather than broadcast.
+#: Characters of items held by every task at a time; a larger set is searched in passes.
 MAX_ITEM_CHARS = 50_000_000
 #: Characters whose q-grams are held at once.
 SLICE_CHARS = 3_000_000
@@ -70,9 +73,14 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, str]], words: int, edits: int, q: int):
         self.ids = [i for i, _ in items]
+        # The longest stretch left as it is has this many words of one letter or more.
+        q = min(q, 2 * -(-(words - edits) // (edits + 1)) - 1)
+        if q < 2:
+            raise ValueError(f"{edits} edits leave too little of {words} words")
         self.words, self.edits, self.q = words, edits, q
         b, at = word_text([t or "" for _, t in items])
         self.text = [b[at[k] : at[k + 1]].tobytes().strip() for k in range(len(items))]
+        self.parts = [t.split() for t in self.text]
         hashes, item, place = [], [], []
         self.bound = []
         for k, t in enumerate(self.text):
@@ -81,10 +89,7 @@ class ItemIndex:
             hashes.append(h)
             item.append(np.full(len(h), k))
             place.append(np.arange(len(h)))
-            parts = t.split(b" ")
-            lengths = np.array([len(p) + 1 for p in parts])
-            sums = np.convolve(lengths, np.ones(words, dtype=int), "valid") - 1 if len(parts) >= words else np.array([0])
-            self.bound.append(max(1, int(sums.min()) + 1 - q * (edits + 1)) if len(parts) >= words else 1 << 30)
+            self.bound.append(self._least_shared([len(p) for p in self.parts[k]]))
         self.bound = np.array(self.bound)
         h, i, p = np.concatenate(hashes or [np.zeros(0, np.uint64)]), np.concatenate(item or [[]]).astype(np.int64), np.concatenate(place or [[]]).astype(np.int64)
         order = np.argsort(h, kind="stable")
@@ -93,6 +98,16 @@ class ItemIndex:
         self.table = np.zeros(1 << self.bits, dtype=bool)
         self.table[(self.h >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
+    def _least_shared(self, lengths: list[int]) -> int:
+        """q-grams that the largest stretch of any passage shares with a text that holds it."""
+        least = 1 << 30
+        for k in range(len(lengths) - self.words + 1):
+            part = lengths[k : k + self.words]
+            edited = sum(sorted(part)[len(part) - self.edits :]) + 2 * self.edits if self.edits else 0
+            shared = sum(part) + len(part) - 1 - edited - (self.edits + 1) * (self.q - 1)
+            least = min(least, max(1, -(-shared // (self.edits + 1))))
+        return least
+
     def search(self, texts: list[str]) -> list[tuple[int, int]]:
         """(text number, item id) of the leaks, each once."""
         b, at = word_text(texts)
@@ -107,41 +122,60 @@ class ItemIndex:
             return []
         entry = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
         pos = np.repeat(pos, count)
-        item, diagonal = self.item[entry], pos - self.place[entry]
+        item, place = self.item[entry], self.place[entry]
         text = np.searchsorted(at, pos, side="right") - 1
         band = max(2, 2 * (self.edits + 1))
         # Each diagonal lies in two bands that overlap by half.
-        cell = diagonal // (band // 2)
+        cell = (pos - place) // (band // 2)
         key = np.concatenate((np.stack((text, item, cell), 1), np.stack((text, item, cell - 1), 1)))
-        region, n = np.unique(key, axis=0, return_counts=True)
-        region = region[n >= self.bound[region[:, 1]]]
+        region, of, n = np.unique(key, axis=0, return_inverse=True, return_counts=True)
+        ok = n >= self.bound[region[:, 1]]
+        hit = np.flatnonzero(ok[of.reshape(-1)]) % len(pos)
+        gaps = np.flatnonzero(b == 32)
+        # The word in which a q-gram starts, or which follows if it starts with a space.
+        word = np.searchsorted(gaps, pos[hit], side="right")
+        tried = np.unique(np.stack((text[hit], item[hit], word - self._word(item[hit], place[hit])), 1), axis=0)
         found = set()
-        for t, i, c in region.tolist():
-            if (t, i) not in found and self._aligned(b, int(at[t]), int(at[t + 1]), i, c * (band // 2), band):
+        for t, i, d in tried.tolist():
+            if (t, i) not in found and self._aligned(b, gaps, int(at[t]), int(at[t + 1]), i, d):
                 found.add((t, i))
         return [(t, self.ids[i]) for t, i in sorted(found)]
 
-    def _aligned(self, b: np.ndarray, lo: int, hi: int, item: int, diagonal: int, band: int) -> bool:
-        """Whether ``words`` whole words of the item stand one after the other on a diagonal of the band."""
-        x = np.frombuffer(self.text[item], dtype=np.uint8)
-        for d in range(diagonal, diagonal + band):
-            start, stop = max(lo, d), min(hi, d + len(x))
-            if stop - start < self.q:
-                continue
-            part = b[start:stop]
-            equal = part == x[start - d : stop - d]
-            edge = np.flatnonzero(np.diff(np.concatenate(([False], equal, [False])).astype(np.int8)))
-            for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                if e - s < self.q:
-                    continue
-                # The first and last word count only where both sides end there.
-                stretch = part[s:e].tobytes()
-                full = stretch.split(b" ")
-                i0, i1, t0, t1 = start + s - d, start + e - d, start + s, start + e
-                head = full[0] != b"" and ((i0 > 0 and x[i0 - 1] != 32) or (t0 > lo and b[t0 - 1] != 32))
-                tail = full[-1] != b"" and ((i1 < len(x) and x[i1] != 32) or (t1 < hi and b[t1] != 32))
-                if sum(1 for w in full if w) - head - (tail and len(full) > 1) >= self.words:
+    def _word(self, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The number of the item's word in which a q-gram starts, or which follows if it starts with a space."""
+        return np.array([self.text[i].count(b" ", 0, p + 1) for i, p in zip(item.tolist(), place.tolist(), strict=True)], dtype=np.int64)
+
+    def _aligned(self, b: np.ndarray, gaps: np.ndarray, lo: int, hi: int, item: int, diagonal: int) -> bool:
+        """Whether ``words`` consecutive words of the item stand in the text from lo to hi with at most ``edits`` edits,
+        where word n of the item is near word n + ``diagonal`` of all texts."""
+        mine, k = self.parts[item], self.edits
+        first = int(np.searchsorted(gaps, lo)), int(np.searchsorted(gaps, hi))
+        low, high = max(first[0], diagonal - k), min(first[1], diagonal + len(mine) + k)
+        if high <= low:
+            return False
+        start = lo if low == first[0] else int(gaps[low - 1]) + 1
+        said = [b""] * (low - diagonal + k) + b[start : int(gaps[high - 1])].tobytes().split(b" ")
+        said += [b""] * (len(mine) + 2 * k - len(said))
+        # said[n + k] is the word on the diagonal of word n; an empty one stands for none.
+        if not k:
+            run = 0
+            for x, y in zip(mine, said, strict=True):
+                run = run + 1 if x == y else 0
+                if run >= self.words:
                     return True
+            return False
+        for a in range(len(mine) - self.words + 1):
+            cost = [0] * (2 * k + 1)
+            for n in range(a, a + self.words):
+                then = [c + (mine[n] != said[n + o]) for o, c in enumerate(cost)]
+                then = [min(c, cost[o + 1] + 1) if o < 2 * k else c for o, c in enumerate(then)]
+                for o in range(1, 2 * k + 1):
+                    then[o] = min(then[o], then[o - 1] + 1)
+                cost = then
+                if min(cost) > k:
+                    break
+            else:
+                return True
         return False
 
 
@@ -189,14 +223,18 @@ def leaked_items(items: DataFrame, item: str, item_text: str, corpus: DataFrame,
     """(item, key): items of which ``words`` consecutive words stand consecutively in a text, repeats possible.
 
     Words are maximal runs of ASCII letters and digits in lower case. With ``nested`` a text is JSON and
-    each string inside it is searched on its own. The items, a bounded query set, go to every task (their
-    size is checked); the corpus is only mapped over. Null and empty texts hold nothing; an item with
-    fewer words, or null, is never found. With ``edits`` above 0 regions are kept at the looser bound;
-    the verification stays the exact one.
+    each string inside it is searched on its own. The items, a query set, go to every task, at most MAX_ITEM_CHARS at a time:
+    a larger set takes several passes over the corpus, which is only mapped over. Null and empty texts hold nothing; an item with
+    fewer words, or null, is never found. With ``edits`` above 0 as many words of a passage may be replaced,
+    left out or stand between the others; q-grams are then shorter, so that none such is missed.
     """
     size = items.selectExpr(f"coalesce(sum(length(`{item_text}`)), 0) AS n").first()[0]
-    if size > MAX_ITEM_CHARS:
-        raise ValueError(f"the items have {size} characters; search them in parts of at most {MAX_ITEM_CHARS}")
+    passes = max(1, -(-int(size) // MAX_ITEM_CHARS))
+    parts = [items.where(F.pmod(F.xxhash64(item), F.lit(passes)) == n) if passes > 1 else items for n in range(passes)]
+    return reduce(DataFrame.unionByName, [_searched(p, item, item_text, corpus, key, text, words, nested, edits, q) for p in parts])
+
+
+def _searched(items: DataFrame, item: str, item_text: str, corpus: DataFrame, key: str, text: str, words: int, nested: bool, edits: int, q: int) -> DataFrame:
     held = [(r[0], r[1]) for r in items.select(item, item_text).where(f"`{item}` IS NOT NULL").distinct().collect()]
     spark = corpus.sparkSession
     sent = spark.sparkContext.broadcast(held)
