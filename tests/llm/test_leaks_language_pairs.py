@@ -144,7 +144,7 @@ def test_viterbi_against_brute_force():
         ("How many?", None, "empty"), ("How many?", " \n", "empty"), ("How many?", "null", "empty"), ("How many?", "[]", "empty"), ("How many?", "42", None), ("How many?", "OK", None), ("When?", "17:30", None),
         ("How many orders are there?", "how many orders are there", "copy"), ("How many orders are there?", "You asked: How many orders are there? How many orders are there?", "copy"),
         ("How many orders are there?", "You asked: How many orders are there? There are 7 of them.", None), ("Which?", "I'm sorry, but I can't help with that request. Please ask something else.", "refusal"),
-        ("Which?", "I'm not able to print them, so I sent a file. The list holds 7 orders.", None), ("Which?", "很抱歉，我无法协助您完成这个请求，请谅解。", "refusal"), ("Which?", "Sorry for the wait. The list holds 7 orders.", None),
+        ("Which?", "I can't help but admire the answer.", None), ("Which?", "I'd rather not get into that.", "refusal"), ("Which?", "I'm not able to print them, so I sent a file. The list holds 7 orders.", None), ("Which?", "很抱歉，我无法协助您完成这个请求，请谅解。", "refusal"), ("Which?", "Sorry for the wait. The list holds 7 orders.", None),
         ("Which?", "The list holds 7 orders. However, the", "truncated"), ("Which?", "The rest is listed here (orders, rules", "truncated"), ("Which?", 'Done.\n```json\n{"status": "a', "truncated"),
         ("Which?", 'Done.\n```json\n{"status": 1}\n```', None), ("Which?", "These:\n- orders: 7\n- rules: 12", None), ("Which?", "Great, all done 👍", None), ("Which?", "编号已经关闭，所有的订单", "truncated"), ("Which?", "编号已经关闭。", None),
     ],
@@ -176,3 +176,30 @@ def test_shortened(spark):
 def test_length_spikes(spark):
     rows = [("a" * 200,)] * 50 + [("b" * n,) for n in range(120, 280)]
     assert pairs.length_spikes(spark.createDataFrame(rows, "answer string")) == [200]
+
+
+def test_shortened_with_others_between(spark):
+    """The continuing answer need not be the next in order, nor in the same partition."""
+    head = "The parcel that you asked for was left at the ba"
+    rows = [head, head + ".", head + "! Thank you", head + "nk of the river.", head + "nk of the ri", "Another answer that is long enough to be compared", None]
+    df = spark.createDataFrame([(x,) for x in rows], "answer string")
+    for parts in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            assert {r[0] for r in pairs.shortened(df).collect()} == {head, head + "nk of the ri"}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_shortened_against_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    answers = {"z" * 40 + "".join(rng.choice("ab .") for _ in range(rng.randint(0, 7))) for _ in range(400)}
+    got = {r[0] for r in pairs.shortened(spark.createDataFrame([(x,) for x in answers], "answer string").repartition(5)).collect()}
+    assert got == {a for a in answers if any(pairs._continues(a, b) for b in answers)}
+
+
+def test_a_length_limit_speaks_first(spark):
+    assert pairs._by_rules("Which?", "These:\n- orders: 7\n- rules: 12", False, frozenset({30})) == "truncated"
+    assert pairs._by_rules("Which?", "The list holds 7 orders.", False, frozenset({24})) is None

@@ -74,6 +74,17 @@ def test_short_cells_are_made_up_for_in_their_margins(spark):
     assert {(r.category, r.domain): r.quota for r in plan.collect()} == {("a", "x"): 20, ("a", "y"): 30, ("b", "x"): 30, ("b", "y"): 20}
 
 
+def test_margins_are_within_a_row(spark):
+    have = {(c, d): 300 for c in "abc" for d in "xyz"} | {("a", "x"): 10}
+    rows = [(i, *cell) for i, cell in enumerate(c for c, n in have.items() for _ in range(n))]
+    share = {(c, d): (0.2 if c == "a" else 0.1) / (1 if c == "a" else 1.5) for c in "abc" for d in "xyz"}
+    whole = sum(share.values())
+    targets = spark.createDataFrame([(*k, v / whole, 2) for k, v in share.items()], "category string, domain string, target_share double, min_rows int")
+    plan = mix.plan(spark.createDataFrame(rows, "tool_id long, category string, domain string"), "tool_id", PAIR, targets, "target_share", "min_rows", 0.2)
+    got = mix.margins(plan, PAIR).collect()
+    assert len(got) == 6 and all(abs(r.gap) <= 1.5 for r in got)
+
+
 def test_found_comes_from_the_plan(spark, sf, monkeypatch):
     from toolweave.llm import queries
 

@@ -21,6 +21,8 @@ LANGUAGES = ["en", "es", "pt", "fr", "de", "ru", "zh", "ja"]
 #: Rows of each table that the word scores are learned from; picked by hash over the whole table.
 SAMPLE_ROWS = 40_000
 LEAST_LETTERS = 12
+#: Words whose scores a task keeps before it starts anew.
+MOST_WORDS = 500_000
 SWITCH_INSIDE, SWITCH_AFTER_END = 18.0, 9.0
 CLIP = 5.0
 
@@ -255,7 +257,7 @@ def segments(df: DataFrame, keys: list[str], text: str, label: str, model: dict)
 
     def run(batches):
         for batch in batches:
-            if not held or len(held[0].at) > 500_000:
+            if not held or len(held[0].at) > MOST_WORDS:
                 held[:] = [Scores(sent.value["words"], sent.value["han"])]
             owner, lang, confidence, first, size, letters = segment(held[0], batch.column(wide).to_pylist(), batch.column(wide + 1).to_pylist())
             ok = letters[owner] >= LEAST_LETTERS

@@ -14,6 +14,7 @@ it are in, and only the rows of that one slot are ranked.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -149,6 +150,13 @@ def plan(df: DataFrame, key: str, labels: list[str], targets: DataFrame, share:
     return spark.createDataFrame(out, f"{kinds}, available bigint, wanted double, least int, quota int, weight double, gap double")
 
 
+def margins(planned: DataFrame, labels: list[str]) -> DataFrame:
+    """(kind, label, available, wanted, quota, gap) for every label of every margin: what the plan's sample leaves of the targets there."""
+    sums = [F.sum(c).alias(c) for c in ("available", "wanted", "quota")]
+    sides = [planned.groupBy(F.col(c).alias("label")).agg(*sums).select(F.lit(c).alias("kind"), "*", (F.col("quota") - F.col("wanted")).alias("gap")) for c in labels]
+    return reduce(DataFrame.unionByName, sides)
+
+
 def draw(df: DataFrame, key: str, labels: list[str], planned: DataFrame, seed: int = 7) -> DataFrame:
     """(key, labels, rank_key): the records of the sample, for each pair of labels as many as its quota.
 

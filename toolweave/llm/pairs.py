@@ -1,9 +1,9 @@
 """Broken prompt and response pairs (problem 7).
 
-The distinct answers are sorted over the whole table and each is compared with its successor, which begins
-with it if any answer does: an answer that another one continues inside a word is a shortened version.
-Lengths at which answers pile up are length limits. Then rules for empty, copied, refusing, cut and
-wrong-language answers give each pair at most one defect.
+The distinct answers are sorted over the whole table and scanned with a stack of those that begin the present
+one: an answer that any other continues inside a word is a shortened version. Lengths at which answers pile
+up are length limits. Both speak first; then rules for empty, copied, refusing, cut and wrong-language answers
+give each pair at most one defect.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from toolweave.plans.settle import settle
 PLACEHOLDERS = frozenset(["null", "none", "nil", "nan", "n/a", "na", "undefined", "[]", "{}", "()", "\"\"", "''", "-", "--", "...", "…", "<empty>", "empty", "[none]", "[null]", "(none)", "(empty)"])
 # Sentences that decline, by language.
 _DECLINES = re.compile(
-    r"(?i)\b(can(?:'t|not)|could not|unable to|won't be able|not able|not permitted|not allowed|must decline|have to decline|refuse to)\b.{0,40}\b(help|answer|assist|provide|discuss|do that|carry out|comply|request|question|task|information)"
-    r"|\b(must|have to) decline|not permitted to discuss|against my guidelines"
+    r"(?i)\b(can(?:'t|not)(?! help but)|could not(?! help but)|unable to|won't be able|not able|not permitted|not allowed|must decline|have to decline|refuse to)\b.{0,40}\b(help|answer|assist|provide|discuss|do that|carry out|comply|request|question|task|information)"
+    r"|\b(must|have to) decline|not permitted to discuss|against my guidelines|(?:would|'d|will|'ll|i) (?:rather|prefer) not (?:to )?(?:answer|discuss|say|share|get into|go into|talk about|help)"
     r"|je ne (peux|suis) pas.{0,30}(aider|autorisé|répondre)|(désolé).{0,10}je ne peux"
     r"|no puedo.{0,20}(ayudar|responder)|no me está permitido|(não posso|não me é permitido|não tenho permissão|não estou autorizad).{0,25}(ajudar|responder|pedido|pergunta)"
     r"|(leider|kann|darf).{0,45}nicht.{0,20}(beantworten|helfen|erfüllen)|(не могу|не имею права|мне не разрешено|не вправе).{0,25}(помочь|ответить|отвечать|выполнить)?"
@@ -121,43 +121,50 @@ def chat_pairs(messages: DataFrame, conv: str, pos: str, role: str, value: str)
     return by.agg(human.alias("q"), first.alias("a")).select(F.col("conv").alias(conv), F.col("q.pos").alias(pos), F.col("q.value").alias("question"), F.col("a.value").alias("answer"))
 
 
+#: Characters of open answers that may be sent to every task; more are joined by shuffle.
+SENT_CHARS = 8_000_000
+
+
 def shortened(pairs: DataFrame, least: int = 40) -> DataFrame:
-    """(answer) of the distinct answers that another answer continues inside a word or number.
+    """(answer) of the distinct answers of at least ``least`` characters that another answer continues inside a word or number.
 
-    Answers are range-partitioned, sorted and compared with their successors; the first and last of each
-    partition are compared in a second, small step.
+    Answers are range-partitioned and sorted, so those that begin with an answer follow it in a row; a stack
+    holds the answers that begin the present one and are not yet known to be shortened. What is on the stack at the
+    end of a partition is compared with the answers that begin with the same ``least`` characters anywhere.
     """
-    rows = pairs.where(F.length("answer") >= least).select("answer").distinct()
-    ordered = rows.repartitionByRange("answer").sortWithinPartitions("answer")
+    rows = pairs.where(F.length("answer") >= least).select("answer")
+    ordered = rows.distinct().repartitionByRange("answer").sortWithinPartitions("answer")
 
     def run(batches):
-        last, first_seen, out = None, False, []
+        stack: list[str] = []
         for batch in batches:
+            out = []
             for x in batch.column(0).to_pylist():
-                if not first_seen:
-                    out.append((x, "edge"))
-                    first_seen = True
-                elif _continues(last, x):
-                    out.append((last, "found"))
-                last = x
+                while stack and not x.startswith(stack[-1]):
+                    stack.pop()
+                done = [a for a in stack if _continues(a, x)]
+                if done:
+                    out.extend((a, True) for a in done)
+                    stack[:] = [a for a in stack if a not in done]
+                if x[-1:].isalnum():
+                    stack.append(x)
             yield _rows(out)
-            out = []
-        if last is not None:
-            yield _rows([(last, "edge")])
+        yield _rows([(a, False) for a in stack])
 
-    marked = settle(ordered.mapInArrow(run, "answer string, mark string"), "neighbours")
-    edges = marked.where("mark = 'edge'").select("answer").distinct()
-    after = F.expr("lead(answer) OVER (ORDER BY answer)")
-    crossing = edges.withColumn("next", after).where("startswith(next, answer)").select("answer", "next").mapInArrow(_cross, "answer string")
-    return marked.where("mark = 'found'").select("answer").unionByName(crossing).distinct()
+    marked = settle(ordered.mapInArrow(run, "answer string, found boolean"), "neighbours")
+    left = marked.where("NOT found").select(F.col("answer").alias("a"), F.substring("answer", 1, least).alias("_head"))
+    size = left.agg(F.coalesce(F.sum(F.length("a")), F.lit(0))).first()[0]
+    left = F.broadcast(left) if size <= SENT_CHARS else left
+    crossing = rows.withColumn("_head", F.substring("answer", 1, least)).join(left, "_head").where("startswith(answer, a) AND length(answer) > length(a)")
+    return marked.where("found").select("answer").unionByName(crossing.select("a", "answer").mapInArrow(_cross, "answer string")).distinct()
 
 
-def _continues(a: str | None, b: str | None) -> bool:
-    return a is not None and b is not None and len(b) > len(a) and b.startswith(a) and a[-1:].isalnum() and b[len(a)].isalnum()
+def _continues(a: str, b: str) -> bool:
+    return len(b) > len(a) and b.startswith(a) and a[-1:].isalnum() and b[len(a)].isalnum()
 
 
-def _rows(out: list[tuple[str, str]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([m for _, m in out], pa.string())], names=["answer", "mark"])
+def _rows(out: list[tuple[str, bool]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([m for _, m in out], pa.bool_())], names=["answer", "found"])
 
 
 def _cross(batches):
@@ -190,8 +197,9 @@ def defects(pairs: DataFrame, keys: list[str], model: dict) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            if not held:
-                held.append(language.Scores(sent.value["words"], sent.value["han"]))
+            # Words seen so far are kept, up to a bound.
+            if not held or len(held[0].at) > language.MOST_WORDS:
+                held[:] = [language.Scores(sent.value["words"], sent.value["han"])]
             q, a, s = (batch.column(wide + k).to_pylist() for k in range(3))
             found = [_by_rules(x, y, z, spikes) for x, y, z in zip(q, a, s, strict=True)]
             open_ = [i for i, d in enumerate(found) if d is None and q[i]]
@@ -213,10 +221,10 @@ def _by_rules(question: str | None, answer: str | None, short: bool, spikes: fro
         return "copy"
     if is_refusal(answer):
         return "refusal"
-    end = open_end(answer)
-    if end == "cut" or (end == "item" and (short or len(answer) in spikes)):
+    if short:
         return "truncated"
-    return None
+    end = open_end(answer)
+    return "truncated" if end == "cut" or (end != "end" and len(answer) in spikes) else None
 
 
 def _languages(scores: language.Scores, texts: list[str]) -> list[set[str]]:

@@ -47,6 +47,10 @@ def p5_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.plan(table(spark, sf_dir, "toolset"), "tool_id", PAIR, table(spark, sf_dir, "mix_targets"), "target_share", "min_rows", 0.2)
 
 
+def p5_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.margins(p5_plan(spark, sf_dir), PAIR)
+
+
 def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.draw(table(spark, sf_dir, "toolset"), "tool_id", PAIR, p5_plan(spark, sf_dir))
 
@@ -124,7 +128,7 @@ def p10_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p4_found": p4_found, "p5_found": p5_found, "p5_plan": p5_plan, "p5_sample": p5_sample, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_share": p10_share, "p10_classes": p10_classes, "p10_spans": p10_spans, "p10_removals": p10_removals}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p4_found": p4_found, "p5_found": p5_found, "p5_plan": p5_plan, "p5_margins": p5_margins, "p5_sample": p5_sample, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_share": p10_share, "p10_classes": p10_classes, "p10_spans": p10_spans, "p10_removals": p10_removals}
 
 
 def oracle_sql() -> dict[str, str]:
