@@ -12,11 +12,12 @@ NON_ENGLISH = r"[一-鿿㐀-䶿豈-﫿぀-ゟ゠-ヿ가-힯　-〿]"
 CJK_GUARD = r"[㐀-䶿一-鿿　-〿]"
 
 # Words of time that make a tool time-bound.
-TIME_WORDS = (
-    "date dates time times datetime timestamp start_time end_time start_date end_date pick_up_time drop_off_time pickup_time dropoff_time "
-    "pick_up_date drop_off_date pickup_date dropoff_date duration when schedule scheduled day days hour hours minute minutes second seconds "
-    "period periods year years month months week weeks"
-).split()
+TIME_WORDS = [
+    "date", "dates", "time", "times", "datetime", "timestamp", "start_time", "end_time", "start_date", "end_date", "pick_up_time", "drop_off_time",
+    "pickup_time", "dropoff_time", "pick_up_date", "drop_off_date", "pickup_date", "dropoff_date", "duration", "when", "schedule", "scheduled",
+    "day", "days", "hour", "hours", "minute", "minutes", "second", "seconds", "period", "periods", "year", "years", "month", "months", "week",
+    "weeks",
+]
 _WORDS = "|".join(TIME_WORDS)
 _TITLES = "|".join(w.capitalize() for w in TIME_WORDS)
 #: In lower case: a word by itself, or between separators or ends. As written: inside a camelCase name, which

@@ -93,18 +93,22 @@ def empty_arguments(msg: DataFrame) -> DataFrame:
 
 def flow_issues(msg: DataFrame, tools: DataFrame | None = None) -> DataFrame:
     """F8: (conv_id, issue), each once: a call not followed by an observation or at the end, an observation
-    followed by something else than an answer or a call, a call that is no JSON or no named object, and,
-    where ``tools`` (conv_id, name) is given, a call of a tool its conversation does not list. An
-    observation at the end passes."""
+    followed by something else than a message of role gpt or a call, a call that is no JSON, a call that is no object, has no
+    member name or whose arguments are a text that is no JSON, and, where ``tools`` (conv_id, name) is given, a
+    call of a tool its conversation does not list. An observation at the end passes, and so does a blank name. Null calls are no JSON."""
     nxt = F.col("_nxt")
     call, observed = _is("function_call"), _is("observation")
-    readable = F.try_parse_json("value").isNotNull()
+    parsed = F.try_parse_json("value")
+    member = lambda name, kind: F.try_variant_get(parsed, f"$.{name}", kind)
+    odd = (F.col("value").rlike(r"^\s*\{") & member("name", "variant").isNotNull()).eqNullSafe(False)
+    text = F.when(F.schema_of_variant(member("arguments", "variant")) == "STRING", member("arguments", "string"))
+    unreadable = text.isNotNull() & F.try_parse_json(text).isNull()
     flags = F.array_compact(F.array(
-        F.when(call & nxt.isNull() & F.col("value").isNotNull(), F.lit("incomplete_flow")),
+        F.when(call & nxt.isNull(), F.lit("incomplete_flow")),
         F.when(call & (nxt != "observation"), F.lit("invalid_flow")),
-        F.when(observed & ~nxt.isin("gpt", "assistant", "function_call"), F.lit("invalid_flow")),
-        F.when(call & ~F.coalesce(readable, F.lit(False)), F.lit("invalid_json")),
-        F.when(call & F.coalesce(readable, F.lit(False)) & call_name(F.col("value")).isNull(), F.lit("invalid_function_call_json")),
+        F.when(observed & ~nxt.isin("gpt", "function_call"), F.lit("invalid_flow")),
+        F.when(call & parsed.isNull(), F.lit("invalid_json")),
+        F.when(call & parsed.isNotNull() & (odd | F.coalesce(unreadable, F.lit(False))), F.lit("invalid_function_call_json")),
     ))
     found = msg.withColumn("_nxt", F.lead("role").over(by_pos())).select("conv_id", F.explode(flags).alias("issue")).distinct()
     if tools is None:

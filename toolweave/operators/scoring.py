@@ -101,6 +101,11 @@ def ungrounded(values: Column, text: Column) -> Column:
     return F.filter(values, lambda v: ~F.coalesce(stands(v), F.lit(False)))
 
 
+def user_sourced(calls: Column) -> Column:
+    """every planned call of an array (structs with args_source.field) takes its arguments from the user; no calls pass."""
+    return F.forall(F.coalesce(calls, F.array().cast("array<struct<args_source:struct<field:string>>>")), lambda c: F.coalesce(c["args_source"]["field"] == "user", F.lit(False)))
+
+
 def missing_required(required: Column, given: Column) -> Column:
     """the required names that are not given."""
     return F.array_except(F.coalesce(required, F.array().cast("array<string>")), F.coalesce(given, F.array().cast("array<string>")))
@@ -217,6 +222,28 @@ def dimension_metrics(metrics: DataFrame, by: list[str] = ()) -> DataFrame:
     return out.select(*by, "dimension", F.coalesce("n", F.lit(0)).alias("n"), *[F.round(F.coalesce(v, F.lit(0.0)), 6).alias(v) for v in values])
 
 
+def positional_pairs(pred: DataFrame, truth: DataFrame, by: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(pairs, counts). pairs: by, ordinal and the rows of both sides as structs p and t, the k-th of one with the k-th of
+    the other inside each group of ``by``, in ``order``; what one side has more is cut off. counts: (by, n_pred, n_true, n_evaluated)."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    side = lambda df, name: df.select(*by, place.alias("ordinal"), F.struct(*[F.col(c) for c in df.columns if c not in by]).alias(name))
+    p, t = side(pred, "p"), side(truth, "t")
+    both = p.join(t, [*by, "ordinal"], "full")
+    counts = both.groupBy(*by).agg(F.count("p").alias("n_pred"), F.count("t").alias("n_true"), F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("n_evaluated"))
+    return both.where("p IS NOT NULL AND t IS NOT NULL"), counts
+
+
+def file_metrics(pred: DataFrame, truth: DataFrame, file: str, conv: str) -> tuple[DataFrame, DataFrame]:
+    """M3, M4: (metrics by file and dimension, counts by file) of files of predictions and truth, both (file, conv, turn,
+    pos, name, arguments): the k-th conversation of a predicted file against the k-th of the true one, as far as the shorter goes."""
+    convs = lambda df: df.select(file, conv).distinct()
+    pairs, counts = positional_pairs(convs(pred), convs(truth), [file], [conv])
+    ids = pairs.select(file, "ordinal", F.col(f"p.{conv}").alias("_p"), F.col(f"t.{conv}").alias("_t"))
+    side = lambda df, own: df.withColumnRenamed(conv, own).join(ids.select(file, own, "ordinal"), [file, own]).select(file, F.struct(file, "ordinal").alias("conv_id"), "turn", "pos", "name", "arguments")
+    metrics = turn_metrics(match_calls(side(pred, "_p"), side(truth, "_t")))
+    return dimension_metrics(metrics.withColumn(file, F.col(f"conv_id.{file}")), [file]), counts
+
+
 def weighted_dimensions(per_file: DataFrame) -> DataFrame:
     """(dimension, n, metrics): means over files weighted by their turns or conversations."""
     values = ["strict_precision", "flexible_precision", "strict_accuracy"]
@@ -224,33 +251,78 @@ def weighted_dimensions(per_file: DataFrame) -> DataFrame:
     return per_file.groupBy("dimension").agg(F.sum("n").cast("bigint").alias("n"), *[mean(v) for v in values])
 
 
-# Argument values too common to tie a call to an earlier result.
-GENERIC = ["true", "false", "null", "none", "yes", "no", "all", "any", "name", "type", "value", "default", "asc", "desc", "json", "text", "list", "query", "search"]
+# Words too common to tie a call to an earlier result.
+GENERIC = [
+    "query", "search", "data", "info", "result", "value", "item", "list", "table",
+    "user", "users", "name", "type", "status", "active", "total", "count", "number",
+    "title", "description", "content", "text", "message", "error", "success",
+    "true", "false", "null", "none", "yes", "no",
+    "educational", "education", "learning", "student", "students", "teacher", "course",
+    "book", "books", "design", "layout", "theme", "app", "application", "product",
+    "technology", "tech", "digital", "online", "interactive", "modern", "new",
+    "post", "comment", "comments", "feedback", "engagement", "market", "analysis",
+    "bundle", "bundles", "nft", "asset", "assets", "sale", "price", "available",
+]
+# How values are mined from a result, each with the group it takes.
+MINED = [
+    (r"\b(?:[a-zA-Z]*_)?(?:0x)?[a-zA-Z0-9]*\d+[a-zA-Z0-9]*\b", 0),
+    (r'"([^"]+)"', 1),
+    (r":\s*([a-zA-Z0-9_\-\.\s]+?)(?:[,<]|\n|$)", 1),
+    (r"<item>([^<]+)</item>", 1),
+    (r"<cell>([^<]+)</cell>", 1),
+    (r"(?i)(?:Author|Title|Name|ID|Code|Key|Value|Item)\s*:\s*([a-zA-Z0-9_\-\.\s]+?)(?:[,;]|\n|$)", 1),
+]
+
+
+def mined_values(result: Column) -> Column:
+    """The values a result offers to later calls, in lower case: identifiers, quoted texts, values after a colon
+    and the contents of items and cells, cut at commas; only those of at least 3 characters that are not
+    generic and have a digit, one of _ - . or more than 8 characters."""
+    text = F.coalesce(result, F.lit(""))
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in MINED])
+    after_colon = F.transform(found, lambda v: F.when(v.contains(":"), F.regexp_replace(F.lower(v), r"^[^:]*:", "")).otherwise(F.lower(v)))
+    parts = F.transform(F.flatten(F.transform(after_colon, lambda v: F.split(v, ","))), lambda v: tx.strip(v))
+    return F.array_distinct(F.filter(parts, lambda v: (F.length(v) >= 3) & ~v.isin(GENERIC) & (v.rlike(r"[0-9_.\-]") | (F.length(v) > 8))))
 
 
 def call_links(calls: DataFrame) -> DataFrame:
-    """(conv_id, turn, pos, token): tokens of a call's arguments that stand in the result of an earlier
-    call of the turn and not in the query. ``calls`` has conv_id, turn, pos, arguments, result and query.
+    """(conv_id, turn, pos, value): values of a call's arguments that come from the result of an earlier call
+    of the turn. ``calls`` has conv_id, turn, pos, arguments (array<string>), result and query.
 
-    Tokens have at least 3 characters, are specific and not generic. Calls meet results on equal tokens, so
-    no pair of calls is compared as texts.
+    A value counts if it has at least 3 characters, is not generic, is specific, is not part of the query and is
+    equal to, part of or holds a value mined from an earlier result. The earlier results of a turn are a window over it,
+    so a turn is shuffled once and no calls are joined.
     """
-    token = r"([A-Za-z0-9][A-Za-z0-9_.-]{2,})"
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(token), F.lit(1)))
-    wanted = calls.select("conv_id", "turn", "pos", F.explode(F.array_except(words("arguments"), words("query"))).alias("token")).where(tx.specific(F.col("token")) & ~F.col("token").isin(GENERIC))
-    mined = calls.select("conv_id", "turn", F.col("pos").alias("_at"), F.explode(words("result")).alias("token")).groupBy("conv_id", "turn", "token").agg(F.min("_at").alias("_at"))
-    return wanted.join(mined, ["conv_id", "turn", "token"]).where("_at < pos").select("conv_id", "turn", "pos", "token")
+    earlier = Window.partitionBy("conv_id", "turn").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = calls.select("conv_id", "turn", "pos", "query", "arguments", mined_values(F.col("result")).alias("_m"))
+    rows = rows.select("conv_id", "turn", "pos", "query", "arguments", F.array_distinct(F.flatten(F.collect_list("_m").over(earlier))).alias("_m")).where(F.size("_m") > 0)
+    values = rows.select("conv_id", "turn", "pos", "query", "_m", F.explode("arguments").alias("_v")).withColumn("value", F.lower(tx.strip(F.col("_v"))))
+    fit = (F.length("value") >= 3) & ~F.col("value").isin(GENERIC) & tx.specific(F.col("value")) & ~F.contains(F.lower(F.coalesce("query", F.lit(""))), F.col("value"))
+    said = F.exists("_m", lambda m: F.contains(m, F.col("value")) | F.contains(F.col("value"), m))
+    return values.where(fit).where(said).select("conv_id", "turn", "pos", "value").distinct()
+
+
+def output_links(calls: DataFrame) -> DataFrame:
+    """(conv_id, turn, pos, value): values of a call's arguments, of 3 characters or more, that are not part of
+    the query and are part of the output of an earlier call of the turn, or hold all of it. Null outputs count as {}."""
+    earlier = Window.partitionBy("conv_id", "turn").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = calls.select("conv_id", "turn", "pos", "query", "arguments", F.collect_list(F.lower(F.coalesce("result", F.lit("{}")))).over(earlier).alias("_o"))
+    values = rows.where(F.size("_o") > 0).select("conv_id", "turn", "pos", "query", "_o", F.explode("arguments").alias("_v")).withColumn("value", tx.strip(F.lower("_v")))
+    fit = (F.length("value") >= 3) & ~F.contains(F.lower(F.coalesce("query", F.lit(""))), F.col("value"))
+    said = F.exists("_o", lambda o: F.contains(o, F.col("value")) | F.contains(F.col("value"), o))
+    return values.where(fit).where(said).select("conv_id", "turn", "pos", "value").distinct()
 
 
 def strategies(calls: DataFrame, declared: str | None = None) -> DataFrame:
-    """(conv_id, turn, strategy): serial where a call uses an earlier result, else parallel; turns of
-    one call are single. A declared label goes first, mixed counting as serial."""
-    linked = call_links(calls).select("conv_id", "turn").distinct().withColumn("_s", F.lit(True))
-    label = F.first(declared, ignorenulls=True) if declared else F.lit(None).cast("string")
-    by = calls.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("_n"), label.alias("_d")).join(linked, ["conv_id", "turn"], "left")
-    said = F.when(F.lower("_d") == "mixed", "serial").when(F.lower("_d").isin("serial", "parallel"), F.lower("_d"))
-    found = F.when(F.col("_n") < 2, "single").when(F.coalesce("_s", F.lit(False)), "serial").otherwise("parallel")
-    return by.select("conv_id", "turn", F.coalesce(said, found).alias("strategy"))
+    """(conv_id, turn, strategy, n_calls): serial where a call uses an earlier result, else parallel, also for
+    turns of one call. Without ``declared`` by ``call_links``; with it that label of the turn goes first, mixed counting
+    as serial, and turns without one are judged by ``output_links``."""
+    linked = (output_links(calls) if declared else call_links(calls)).select("conv_id", "turn").distinct().withColumn("_s", F.lit(True))
+    label = F.first(F.nullif(F.lower(tx.strip(F.col(declared))), F.lit("")), ignorenulls=True) if declared else F.lit(None).cast("string")
+    by = calls.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_calls"), label.alias("_d")).join(linked, ["conv_id", "turn"], "left")
+    said = F.when(F.col("_d") == "mixed", "serial").when(F.col("_d").isin("serial", "parallel"), F.col("_d"))
+    found = F.when(F.coalesce("_s", F.lit(False)), "serial").otherwise("parallel")
+    return by.select("conv_id", "turn", F.coalesce(said, found).alias("strategy"), "n_calls")
 
 
 def file_status(files: DataFrame) -> DataFrame:
@@ -265,7 +337,7 @@ def subset_metrics(metrics: DataFrame, strategy: DataFrame, most: int = 10, seed
 
     A turn's number of subsets is bounded by ``most``, so the membership is one explode, not a pass for each.
     """
-    turns = metrics.join(strategy, ["conv_id", "turn"]).where("strategy <> 'single'")
+    turns = metrics.join(strategy.where("n_calls > 1"), ["conv_id", "turn"])
     order = F.md5(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.lit(seed)))
     serial, parallel = turns.agg(F.count_if(F.col("strategy") == "serial"), F.count_if(F.col("strategy") == "parallel")).first()
     ranked = hash_rank(turns, ["strategy"], order, ["conv_id", "turn"])

@@ -151,6 +151,8 @@ def _cjk_sql(pattern):
 SELECT source_file, count(*) AS n, count(*) FILTER (hit) AS n_cjk, round(100.0 * count(*) FILTER (hit) / count(*), 2) AS pct, min(key) FILTER (hit) AS example FROM h GROUP BY source_file"""
 
 
+_BAD_CALL = """(json_type(value) <> 'OBJECT' OR json_type(value, '$.name') IS NULL OR json_type(value, '$.arguments') = 'VARCHAR' AND NOT json_valid(json_extract_string(value, '$.arguments')))"""
+
 QUERIES = {
     "hop_turn_stats": (_hop_turn_stats, f"""WITH {TURN_SQL},
 conv AS (SELECT conv_id, count(*) FILTER (role = 'human') AS n FROM msg GROUP BY 1),
@@ -164,13 +166,13 @@ SELECT kind, label, n, round(n / sum(n) OVER (PARTITION BY kind), 6)::DOUBLE AS
     "direct_answer_filter": (_direct_filter, f"WITH {TURN_SQL} SELECT conv_id, count(*) AS n FROM msg WHERE conv_id NOT IN (SELECT conv_id FROM turned WHERE role = 'human' AND nxt IN ('gpt', 'assistant')) GROUP BY 1"),
     "direct_answer_by_file": (_direct_by_file, f"""WITH {TURN_SQL}, c AS (SELECT conv_id, min(source_file) AS source_file, coalesce(bool_or(role = 'human' AND nxt IN ('gpt', 'assistant')), false) AS x FROM turned GROUP BY 1)
 SELECT source_file, count(*) AS n, count(*) FILTER (x) AS n_direct, round(100.0 * count(*) FILTER (x) / count(*), 2) AS pct, min(conv_id) FILTER (x) AS example FROM c GROUP BY 1"""),
-    "flow_issues": (_flow, f"""WITH {TURN_SQL}, f AS (SELECT conv_id, CASE WHEN role = 'function_call' AND nxt IS NULL AND value IS NOT NULL THEN 'incomplete_flow' END AS a,
-CASE WHEN role = 'function_call' AND nxt <> 'observation' OR role = 'observation' AND nxt NOT IN ('gpt', 'assistant', 'function_call') THEN 'invalid_flow' END AS b,
-CASE WHEN role = 'function_call' AND NOT coalesce(json_valid(value), false) THEN 'invalid_json' WHEN role = 'function_call' AND ({_CALL}) IS NULL THEN 'invalid_function_call_json' END AS c FROM turned)
+    "flow_issues": (_flow, f"""WITH {TURN_SQL}, f AS (SELECT conv_id, CASE WHEN role = 'function_call' AND nxt IS NULL THEN 'incomplete_flow' END AS a,
+CASE WHEN role = 'function_call' AND nxt <> 'observation' OR role = 'observation' AND nxt NOT IN ('gpt', 'function_call') THEN 'invalid_flow' END AS b,
+CASE WHEN role = 'function_call' AND NOT coalesce(json_valid(value), false) THEN 'invalid_json' WHEN role = 'function_call' AND {_BAD_CALL} THEN 'invalid_function_call_json' END AS c FROM turned)
 SELECT DISTINCT conv_id, issue FROM (SELECT conv_id, unnest([a, b, c]) AS issue FROM f) WHERE issue IS NOT NULL"""),
-    "flow_issue_counts": (_flow_counts, f"""WITH {TURN_SQL}, f AS (SELECT conv_id, CASE WHEN role = 'function_call' AND nxt IS NULL AND value IS NOT NULL THEN 'incomplete_flow' END AS a,
-CASE WHEN role = 'function_call' AND nxt <> 'observation' OR role = 'observation' AND nxt NOT IN ('gpt', 'assistant', 'function_call') THEN 'invalid_flow' END AS b,
-CASE WHEN role = 'function_call' AND NOT coalesce(json_valid(value), false) THEN 'invalid_json' WHEN role = 'function_call' AND ({_CALL}) IS NULL THEN 'invalid_function_call_json' END AS c FROM turned)
+    "flow_issue_counts": (_flow_counts, f"""WITH {TURN_SQL}, f AS (SELECT conv_id, CASE WHEN role = 'function_call' AND nxt IS NULL THEN 'incomplete_flow' END AS a,
+CASE WHEN role = 'function_call' AND nxt <> 'observation' OR role = 'observation' AND nxt NOT IN ('gpt', 'function_call') THEN 'invalid_flow' END AS b,
+CASE WHEN role = 'function_call' AND NOT coalesce(json_valid(value), false) THEN 'invalid_json' WHEN role = 'function_call' AND {_BAD_CALL} THEN 'invalid_function_call_json' END AS c FROM turned)
 SELECT issue, count(DISTINCT conv_id) AS n FROM (SELECT conv_id, unnest([a, b, c]) AS issue FROM f) WHERE issue IS NOT NULL GROUP BY 1"""),
     "empty_call_filter": (_empty_calls, f"WITH {MSG_SQL} SELECT DISTINCT conv_id FROM msg WHERE role = 'function_call' AND ({_CALL}) IS NULL"),
     "empty_args_filter": (_empty_arguments, f"""WITH {MSG_SQL}, c AS (SELECT conv_id, pos, {_CALL} AS name, json_extract_string(CASE WHEN json_valid(value) THEN value END, '$.arguments') AS a FROM msg WHERE role = 'function_call')

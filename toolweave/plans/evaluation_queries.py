@@ -93,16 +93,42 @@ def _metrics(s, d):
 
 
 def _linked(s, d):
-    """Calls with results; where the order is even a later call names the item of the one before."""
+    """Calls with results of several shapes. Where the order is even a call's argument is made from the result of the one
+    before: the same value, a part of it, a text that holds it or two of its words; every ninth is named in the query too."""
     rows = calls(s, d)
-    before = F.lag("l_suppkey").over(Window.partitionBy("conv_id").orderBy("pos"))
-    used = F.when((F.col("conv_id") % 2 == 0) & before.isNotNull(), F.concat(F.lit("item_"), before.cast("string"))).otherwise(F.lit("item_from_query"))
-    return rows.select("conv_id", "turn", "pos", used.alias("arguments"), F.concat(F.lit("id: item_"), F.col("l_suppkey").cast("string")).alias("result"), F.lit("please use item_from_query").alias("query"))
+    before = Window.partitionBy("conv_id").orderBy("pos")
+    last, shape = (F.lag(c).over(before) for c in ("l_suppkey", "l_partkey"))
+    last, shape = F.concat(F.lit("77"), last.cast("string")), shape % 5
+    used = F.when(shape == 0, F.concat(F.lit("item_"), last)).when(shape == 1, last).when(shape == 2, F.concat(F.lit("Ann Lee "), last)).when(shape == 3, F.concat(F.lit("see ref-"), last, F.lit(" now"))).otherwise("active")
+    used = F.when((F.col("conv_id") % 2 == 0) & used.isNotNull(), used).otherwise(F.lit("from_query"))
+    own = F.concat(F.lit("77"), F.col("l_suppkey").cast("string"))
+    kind = F.col("l_partkey") % 5
+    result = F.when(kind == 0, F.concat(F.lit("id: item_"), own)).when(kind == 1, F.concat(F.lit('found "post_id_'), own, F.lit('"'))).when(kind == 2, F.concat(F.lit("<item>Author: Ann Lee "), own, F.lit(", Title: none</item>"))).when(kind == 3, F.concat(F.lit("<cell>ref-"), own, F.lit("</cell>"))).otherwise("status: active")
+    asked = F.when(F.col("conv_id") % 9 == 0, F.concat(F.lit("please use from_query and "), used)).otherwise("please use from_query")
+    return rows.select("conv_id", "turn", "pos", F.array(used, F.lit("true")).alias("arguments"), result.alias("result"), asked.alias("query"), F.when(F.col("conv_id") % 7 == 0, "mixed").when(F.col("conv_id") % 7 == 1, "parallel").alias("label"))
 
 
-_LINKED = _CALLS + """, li AS (SELECT *, CASE WHEN pos <= 3 THEN 1 ELSE 2 END AS turn, lag(l_suppkey) OVER (PARTITION BY conv_id ORDER BY pos) AS b FROM cl),
-us AS (SELECT DISTINCT x.conv_id, x.turn FROM li x JOIN li y ON x.conv_id = y.conv_id AND x.turn = y.turn AND y.pos < x.pos AND x.b = y.l_suppkey WHERE x.conv_id % 2 = 0),
-st AS (SELECT conv_id, turn, CASE WHEN count(*) < 2 THEN 'single' WHEN bool_or(u) THEN 'serial' ELSE 'parallel' END AS strategy FROM (SELECT l.conv_id, l.turn, us.conv_id IS NOT NULL AS u FROM li l LEFT JOIN us ON us.conv_id = l.conv_id AND us.turn = l.turn) GROUP BY ALL)"""
+_GENERIC = "[" + ", ".join(f"'{w}'" for w in sc.GENERIC) + "]"
+_FOUND = " || ".join("regexp_extract_all(result, '{}', {})".format(p, g) for p, g in sc.MINED)
+_LINKED = _CALLS + f""", li0 AS (SELECT *, CASE WHEN pos <= 3 THEN 1 ELSE 2 END AS turn, '77' || lag(l_suppkey) OVER w AS b, lag(l_partkey) OVER w % 5 AS g FROM cl WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+li1 AS (SELECT *, CASE WHEN conv_id % 2 = 0 AND b IS NOT NULL THEN CASE g WHEN 0 THEN 'item_' || b WHEN 1 THEN b WHEN 2 THEN 'Ann Lee ' || b WHEN 3 THEN 'see ref-' || b || ' now' ELSE 'active' END ELSE 'from_query' END AS used,
+CASE l_partkey % 5 WHEN 0 THEN 'id: item_77' || l_suppkey WHEN 1 THEN 'found "post_id_77' || l_suppkey || '"' WHEN 2 THEN '<item>Author: Ann Lee 77' || l_suppkey || ', Title: none</item>' WHEN 3 THEN '<cell>ref-77' || l_suppkey || '</cell>' ELSE 'status: active' END AS result FROM li0),
+li AS (SELECT *, CASE WHEN conv_id % 9 = 0 THEN 'please use from_query and ' || used ELSE 'please use from_query' END AS query FROM li1),
+mv AS (SELECT conv_id, turn, pos, unnest(list_transform(flatten(list_transform({_FOUND}, lambda v: string_split(regexp_replace(lower(v), '^[^:]*:', ''), ','))), lambda v: trim(v))) AS m FROM li),
+mi AS (SELECT * FROM mv WHERE length(m) >= 3 AND NOT list_contains({_GENERIC}, m) AND (regexp_matches(m, '[0-9_.-]') OR length(m) > 8)),
+us AS (SELECT DISTINCT x.conv_id, x.turn FROM (SELECT conv_id, turn, pos, lower(query) AS q, lower(used) AS v FROM li) x JOIN mi USING (conv_id, turn) WHERE mi.pos < x.pos AND NOT list_contains({_GENERIC}, v) AND (regexp_matches(v, '[0-9_.-]') OR length(v) > 12) AND NOT contains(q, v) AND (contains(m, v) OR contains(v, m))),
+st AS (SELECT conv_id, turn, CASE WHEN bool_or(u) THEN 'serial' ELSE 'parallel' END AS strategy, count(*) AS n_calls FROM (SELECT l.conv_id, l.turn, us.conv_id IS NOT NULL AS u FROM li l LEFT JOIN us ON us.conv_id = l.conv_id AND us.turn = l.turn) GROUP BY ALL)"""
+_DECLARED = _LINKED + """, uo AS (SELECT DISTINCT x.conv_id, x.turn FROM (SELECT conv_id, turn, pos, query, unnest([used, 'true']) AS v FROM li) x JOIN li y ON x.conv_id = y.conv_id AND x.turn = y.turn AND y.pos < x.pos WHERE length(v) >= 3 AND NOT contains(lower(x.query), lower(v)) AND (contains(lower(y.result), lower(v)) OR contains(lower(v), lower(y.result)))),
+sd AS (SELECT l.conv_id, l.turn, CASE WHEN l.conv_id % 7 = 0 THEN 'serial' WHEN l.conv_id % 7 = 1 THEN 'parallel' WHEN bool_or(uo.conv_id IS NOT NULL) THEN 'serial' ELSE 'parallel' END AS strategy, count(*) AS n_calls FROM li l LEFT JOIN uo ON uo.conv_id = l.conv_id AND uo.turn = l.turn GROUP BY l.conv_id, l.turn)"""
+
+
+def _files(s, d):
+    """Five files; a predicted file lacks the conversations that have no predicted call, so its tail is cut."""
+    by = lambda df: df.withColumn("file", F.col("conv_id") % 5)
+    return sc.file_metrics(by(predicted(s, d)), by(truth(s, d)), "file", "conv_id")
+
+
+_PAIRED = "np AS (SELECT conv_id, conv_id % 5 AS file, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id) - 1 AS k FROM (SELECT DISTINCT conv_id FROM pre)), nt AS (SELECT conv_id, conv_id % 5 AS file, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id) - 1 AS k FROM (SELECT DISTINCT conv_id FROM tru))"
 
 
 def _top(s, d, k, every):
@@ -165,13 +191,19 @@ SELECT conv_id, turn, round(coalesce(count(*) FILTER (ok AND p_pos IS NOT NULL)
     "dimension_metrics": (lambda s, d: sc.dimension_metrics(_metrics(s, d)), f"WITH {_CALLS}, {_dims('')} SELECT * FROM dim"),
     "weighted_dimension_metrics": (lambda s, d: sc.weighted_dimensions(sc.dimension_metrics(_metrics(s, d).withColumn("file", F.col("conv_id") % 3), ["file"])),
         f"WITH {_CALLS}, {_dims('file')} SELECT dimension, sum(n)::BIGINT AS n, round(coalesce(sum(strict_precision * n) / sum(n), 0), 5) AS strict_precision, round(coalesce(sum(flexible_precision * n) / sum(n), 0), 5) AS flexible_precision, round(coalesce(sum(strict_accuracy * n) / sum(n), 0), 5) AS strict_accuracy FROM dim GROUP BY 1"),
-    "subset_metrics": (lambda s, d: sc.subset_metrics(_metrics(s, d), sc.strategies(_linked(s, d))).where("subset IN ('all', 'serial', 'parallel') AND dimension = 'multi-hop'"),
-        f"""WITH {_LINKED}, x AS (SELECT me.*, strategy FROM me JOIN st USING (conv_id, turn) WHERE strategy <> 'single'), y AS (SELECT 'all' AS subset, * FROM x UNION ALL SELECT strategy, * FROM x)
+    "subset_metrics": (lambda s, d: sc.subset_metrics(_metrics(s, d), sc.strategies(_linked(s, d))).where("dimension = 'multi-hop'"),
+        f"""WITH {_LINKED}, x AS (SELECT me.*, strategy, row_number() OVER (PARTITION BY strategy ORDER BY md5(conv_id || '/' || turn || '/42'), conv_id, turn) AS r FROM me JOIN st USING (conv_id, turn) WHERE n_calls > 1),
+z AS (SELECT count(*) FILTER (strategy = 'serial') AS a, count(*) FILTER (strategy = 'parallel') AS b FROM x), n AS (SELECT unnest(generate_series(1, 10)) AS n),
+y AS (SELECT 'all' AS subset, x.* FROM x UNION ALL SELECT strategy, x.* FROM x UNION ALL SELECT '1:' || n, x.* FROM x, z, n WHERE r <= CASE WHEN strategy = 'serial' THEN least(a, b // n) ELSE n * least(a, b // n) END)
 SELECT subset, 'multi-hop' AS dimension, count(*) FILTER (n_true >= 2) AS n, round(coalesce(avg(strict_precision) FILTER (n_true >= 2), 0), 6) AS strict_precision, round(coalesce(avg(flexible_precision) FILTER (n_true >= 2), 0), 6) AS flexible_precision, round(coalesce(avg(strict_accuracy) FILTER (n_true >= 2), 0), 6) AS strict_accuracy FROM y GROUP BY 1"""),
     "subset_ratios": (lambda s, d: sc.subset_metrics(_metrics(s, d), sc.strategies(_linked(s, d))), None),
-    "strategy_detect": (lambda s, d: sc.strategies(_linked(s, d)), f"WITH {_LINKED} SELECT conv_id, turn, strategy FROM st"),
-    "ratio_subset": (lambda s, d: sa.ratio_subset(sc.strategies(_linked(s, d)).withColumn("key", F.col("conv_id") * 10 + F.col("turn")), "strategy", "serial", "parallel", "key", 2).select("key", "strategy"),
-        f"""WITH {_LINKED}, k AS (SELECT conv_id * 10 + turn AS key, strategy FROM st WHERE strategy <> 'single'), z AS (SELECT least(count(*) FILTER (strategy = 'serial'), count(*) FILTER (strategy = 'parallel') // 2) AS s FROM k),
+    "strategy_detect": (lambda s, d: sc.strategies(_linked(s, d)), f"WITH {_LINKED} SELECT conv_id, turn, strategy, n_calls FROM st"),
+    "strategy_declared": (lambda s, d: sc.strategies(_linked(s, d), "label"), f"WITH {_DECLARED} SELECT conv_id, turn, strategy, n_calls FROM sd"),
+    "file_pair_counts": (lambda s, d: _files(s, d)[1], f"WITH {_CALLS}, {_PAIRED}, f AS (SELECT coalesce(np.file, nt.file) AS file, np.conv_id AS p, nt.conv_id AS t FROM np FULL JOIN nt ON np.file = nt.file AND np.k = nt.k) SELECT file, count(p) AS n_pred, count(t) AS n_true, count(p) FILTER (t IS NOT NULL) AS n_evaluated FROM f GROUP BY 1"),
+    "file_pair_metrics": (lambda s, d: _files(s, d)[0].select("file", "dimension", "n"),
+        f"WITH {_CALLS}, {_PAIRED}, q AS (SELECT np.file, np.k, np.conv_id AS p, nt.conv_id AS t FROM np JOIN nt ON np.file = nt.file AND np.k = nt.k), u AS (SELECT file, k, turn, count(*) FILTER (x) AS n_true FROM (SELECT file, k, turn, false AS x FROM q JOIN pre ON pre.conv_id = p UNION ALL SELECT file, k, turn, true FROM q JOIN tru ON tru.conv_id = t) GROUP BY ALL), m AS (SELECT file, CASE WHEN n_true >= 2 THEN 'multi-hop' ELSE 'single-hop' END AS dimension, count(*) AS n FROM u GROUP BY ALL UNION ALL SELECT file, dimension, count(*) FROM (SELECT file, k, CASE WHEN count(*) >= 2 THEN 'multi-turn' ELSE 'single-turn' END AS dimension FROM u GROUP BY file, k) GROUP BY ALL), w AS (SELECT DISTINCT q.file, d.dimension FROM q CROSS JOIN (SELECT unnest(['single-hop', 'multi-hop', 'single-turn', 'multi-turn']) AS dimension) d) SELECT w.file, w.dimension, coalesce(n, 0) AS n FROM w LEFT JOIN m USING (file, dimension)"),
+    "ratio_subset": (lambda s, d: sa.ratio_subset(sc.strategies(_linked(s, d)).where("n_calls > 1").withColumn("key", F.col("conv_id") * 10 + F.col("turn")), "strategy", "serial", "parallel", "key", 2).select("key", "strategy"),
+        f"""WITH {_LINKED}, k AS (SELECT conv_id * 10 + turn AS key, strategy FROM st WHERE n_calls > 1), z AS (SELECT least(count(*) FILTER (strategy = 'serial'), count(*) FILTER (strategy = 'parallel') // 2) AS s FROM k),
 r AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY md5(key || '42'), key) AS n FROM k) SELECT key, strategy FROM r, z WHERE n <= CASE WHEN strategy = 'serial' THEN s ELSE 2 * s END"""),
     "resume_antijoin": (lambda s, d: truth(s, d).join(predicted(s, d).select("conv_id", "pos"), ["conv_id", "pos"], "left_anti").select("conv_id", "pos"), f"WITH {_CALLS} SELECT conv_id, pos::INT AS pos FROM tru WHERE (conv_id, pos) NOT IN (SELECT conv_id, pos FROM pre)"),
     "positional_pairing": (lambda s, d: predicted(s, d).withColumnRenamed("name", "p").join(truth(s, d).withColumnRenamed("name", "t"), ["conv_id", "pos"]).select("conv_id", "pos", (F.col("p") == F.col("t")).alias("same")), f"WITH {_CALLS} SELECT p.conv_id, p.pos::INT AS pos, p.name = t.name AS same FROM pre p JOIN tru t ON p.conv_id = t.conv_id AND p.pos = t.pos"),
