@@ -243,7 +243,7 @@ def test_streams_resume_and_match_batch(spark, tmp_path):
     rows.where("id >= 10").coalesce(1).write.parquet(f"{tmp_path}/in/y")
     live.append_to(live.once(stream, ["id"], "ts"), out, check).awaitTermination()
     assert spark.read.parquet(out).count() == 40
-    usage = live.drain(live.running_usage(live.parquet_stream(spark, f"{tmp_path}/in/*", rows.schema, files=1), "name"), "use", "update", f"{tmp_path}/c2")
+    usage = live.drain(live.running_usage(live.parquet_stream(spark, f"{tmp_path}/in/*", rows.schema, files=1), "name"), "update", f"{tmp_path}/c2")
     assert {(r.name, r.n) for r in usage.groupBy("name").agg(F.max("n").alias("n")).collect()} == {("a", 25), ("b", 25)}
 
 
@@ -272,6 +272,58 @@ def test_text_builders(spark):
 
 def test_subsets(spark):
     m = spark.createDataFrame([(i, 1, 2, 2, 1.0, 1.0, 0.5) for i in range(12)], "conv_id long, turn int, n_pred int, n_true int, strict_precision double, flexible_precision double, strict_accuracy double")
-    s = spark.createDataFrame([(i, 1, "serial" if i < 3 else "parallel") for i in range(12)], "conv_id long, turn int, strategy string")
+    s = spark.createDataFrame([(i, 1, "serial" if i < 3 else "parallel", 2) for i in range(12)] + [(99, 1, "parallel", 1)], "conv_id long, turn int, strategy string, n_calls long")
     got = {r.subset: r.n for r in sc.subset_metrics(m, s, 4).where("dimension = 'multi-hop'").collect()}
     assert got == {"all": 12, "serial": 3, "parallel": 9, "1:1": 6, "1:2": 9, "1:3": 12, "1:4": 10}
+
+
+def test_strategy_rules(spark):
+    """Parts of values, values of several words, generic words, values of the query, later results and turns of one call."""
+    def turn(conv, result, value, query="", label=None):
+        return [(conv, 1, 1, ["x"], result, query, label), (conv, 1, 2, [value], "", query, label)]
+
+    rows = turn(1, "id: post_id_789456", "789456") + turn(2, "Author: Kim Young-ha, Title: x", "kim young-ha") + turn(3, "status: active", "active") + turn(4, "id: 7788", "7788", "take 7788 please")
+    rows += turn(5, "<cell>ref-9</cell>", "see ref-9 now") + turn(6, "nothing", "abc-1", label="mixed") + turn(7, "id: 12", "12") + [(8, 1, 1, ["789456"], "789456", "", None), (9, 1, 1, ["a-1234"], "", "", None), (9, 1, 2, ["y"], "a-1234", "", None)]
+    calls = spark.createDataFrame(rows, "conv_id long, turn int, pos int, arguments array<string>, result string, query string, label string")
+    found = {r.conv_id: r.strategy for r in sc.strategies(calls).collect()}
+    assert found == {1: "serial", 2: "serial", 3: "parallel", 4: "parallel", 5: "serial", 6: "parallel", 7: "parallel", 8: "parallel", 9: "parallel"}
+    assert {r.conv_id: r.strategy for r in sc.strategies(calls, "label").collect()} == found | {3: "serial", 5: "parallel", 6: "serial"}
+
+
+def test_flow_rules(spark):
+    rows = [
+        (1, 0, "function_call", '{"name": "", "arguments": "{broken"}'), (1, 1, "observation", ""), (1, 2, "gpt", "x"),
+        (2, 0, "function_call", '{"name": ""}'), (2, 1, "observation", ""), (2, 2, "assistant", "x"),
+        (3, 0, "function_call", "[1]"), (3, 1, "gpt", ""), (4, 0, "function_call", None), (5, 0, "function_call", '{"name": "t", "arguments": "{}"}'), (5, 1, "observation", ""),
+    ]
+    msg = spark.createDataFrame(rows, "conv_id long, pos int, role string, value string")
+    assert {tuple(r) for r in cv.flow_issues(msg).collect()} == {(1, "invalid_function_call_json"), (2, "invalid_flow"), (3, "invalid_flow"), (3, "invalid_function_call_json"), (4, "incomplete_flow"), (4, "invalid_json")}
+
+
+def test_file_pairs_stop_at_the_shorter(spark):
+    rows = lambda n: spark.createDataFrame([("f", i, 1, 1, "t", "a") for i in range(n)] + [("g", 9, 1, 1, "t", "b")], "file string, conv long, turn int, pos int, name string, arguments string")
+    metrics, counts = sc.file_metrics(rows(3), rows(5), "file", "conv")
+    assert {r.file: (r.n_pred, r.n_true, r.n_evaluated) for r in counts.collect()} == {"f": (3, 5, 3), "g": (1, 1, 1)}
+    assert {(r.file, r.n, r.strict_precision) for r in metrics.where("dimension = 'single-hop'").collect()} == {("f", 3, 1.0), ("g", 1, 1.0)}
+
+
+def test_same_name_is_a_near_duplicate(spark):
+    rows = spark.createDataFrame([(1, "a", "one two three"), (2, "a", None), (3, "b", "three two one"), (4, None, "other words"), (5, None, "four")], "id long, name string, text string")
+    found = lambda *more: {tuple(r) for r in sim.token_jaccard(rows, rows, "id", "text", 0.6, *more).collect()}
+    assert found() == {(1, 3, 1.0), (3, 1, 1.0)}
+    assert found("name") == {(1, 3, 1.0), (3, 1, 1.0), (1, 2, 0.0), (2, 1, 0.0)}
+
+
+def test_sequential_ids_over_partitions(spark):
+    rows = spark.createDataFrame([(i * 37 % 101, "x") for i in range(101)] + [(None, "x"), (5, "x")], "k long, t string").repartition(6)
+    got = sa.numbered(rows, ["k"], 0).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(103)) and [r.k for r in got] == [None] + sorted([*range(101), 5])
+    assert sa.numbered(rows.limit(0), ["k"]).count() == 0
+
+
+def test_episode_tools_fill_from_outside(spark):
+    usage = spark.createDataFrame([(f"t{i:02d}", i, "in" if i < 7 else "out") for i in range(30)], "name string, c long, d string")
+    got = {r.name: r.source for r in sa.episode_tools(usage, "name", "c", "d", "in").collect()}
+    assert len(got) == 10 and {n for n, s in got.items() if s == "most"} == {f"t{i:02d}" for i in range(1, 7)} and got["t00"] == "least"
+    assert sum(s == "outside" for s in got.values()) == 3
+    assert sa.episode_tools(usage.limit(0), "name", "c", "d", "in").count() == 0

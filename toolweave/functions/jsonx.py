@@ -186,12 +186,12 @@ def schema_of_lists(required: list, optional: list) -> dict:
 def schema_of_mcp(params: list) -> dict:
     """An MCP parameter list as a schema with default, enum, minimum and maximum."""
     properties, needed = {}, []
-    names = {"default": "default", "enum": "enum", "min_value": "minimum", "max_value": "maximum"}
+    bounds = {"min_value": "minimum", "max_value": "maximum"}
     for p in params or []:
         if not isinstance(p, dict) or not p.get("name"):
             continue
         own = {"type": type_of(p.get("param_type") or p.get("type")), "description": p.get("description") or ""}
-        properties[p["name"]] = own | {new: p[old] for old, new in names.items() if p.get(old) is not None}
+        properties[p["name"]] = own | {k: p[k] for k in ("default", "enum") if k in p} | {new: p[old] for old, new in bounds.items() if p.get(old) is not None}
         if p.get("required"):
             needed.append(p["name"])
     return {"type": "object", "properties": properties, "required": needed}
@@ -216,6 +216,34 @@ def input_schema_of(tool: dict) -> dict:
     return rest | {"inputSchema": schema}
 
 
+def _typed(value: object) -> dict:
+    return value if isinstance(value, dict) else {"type": "str", "description": str(value)}
+
+
+def mended_schema(schema: object) -> object:
+    """A map of parameters without a wrapper gets one, with its own list of required names; a member
+    "type": "object" is no parameter. Whole schemas, and what holds no parameter, stay as they are."""
+    if not isinstance(schema, dict) or (schema.get("type") == "object" and "properties" in schema):
+        return schema
+    needed = schema.get("required") if isinstance(schema.get("required"), list) else None
+    bare = {k: _typed(v) for k, v in schema.items() if not (k == "required" and needed is not None) and not (k == "type" and v == "object")}
+    return {"type": "object", "properties": bare, "required": needed or []} if bare else schema
+
+
+def standard_tool(tool: dict) -> dict:
+    """Parameters as inputSchema where there is none: null as an empty schema, a schema as it is, a flat map
+    wrapped with the tool's own required names, a list by ``schema_of_mcp``; then P13."""
+    made = dict(tool)
+    if "inputSchema" not in made and "parameters" in made:
+        raw = made.pop("parameters")
+        if isinstance(raw, list):
+            raw = schema_of_mcp(raw)
+        elif not (isinstance(raw, dict) and "type" in raw and "properties" in raw):
+            raw = {"type": "object", "properties": {k: _typed(v) for k, v in (raw or {}).items()}, "required": made.get("required") or []} if raw is None or isinstance(raw, dict) else raw
+        made["inputSchema"] = raw
+    return made | {"inputSchema": mended_schema(made["inputSchema"])} if "inputSchema" in made else made
+
+
 def clean_schema(schema: dict) -> dict:
     """Hollow attributes of each parameter removed, one level deep; a missing type is string."""
     properties = schema.get("properties")

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from toolweave.plans.settle import settle
+
 
 def hash_order(key: str, seed: str) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))
 
 
+def unit(key: str, seed: str) -> Column:
+    """A number from 0 to 1 by the first 12 digits of the hash, neither end included."""
+    return (F.conv(F.substring(hash_order(key, seed), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
+
+
 def hash_rank(df: DataFrame, group: list[str], order: Column, key: list[str]) -> DataFrame:
     """df + _r: the rank of each row in its group by a hexadecimal hash, ties by key, from 1.
 
@@ -29,10 +38,9 @@ def uniform(df: DataFrame, key: str, k: int, seed: str = "42") -> DataFrame:
     return df.orderBy(hash_order(key, seed), key).limit(k)
 
 
-def weighted(df: DataFrame, key: str, weight: Column, k: int, seed: int = 42) -> DataFrame:
+def weighted(df: DataFrame, key: str, weight: Column, k: int, seed: str = "42") -> DataFrame:
     """K rows drawn in turn with odds by weight: the k least exponential keys -ln(u) / w; weights of 0 or less are never drawn."""
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    return df.withColumn("_w", weight).where("_w > 0").orderBy(-F.log(u) / F.col("_w"), key).limit(k).drop("_w")
+    return df.withColumn("_w", weight).where("_w > 0").orderBy(-F.log(unit(key, seed)) / F.col("_w"), key).limit(k).drop("_w")
 
 
 def proportional(df: DataFrame, stratum: str, key: str, n: int, seed: str = "42") -> DataFrame:
@@ -79,18 +87,31 @@ def categorical(weights: DataFrame, value: str, weight: str, draws: DataFrame, s
     steps = weights.select(value, cumulative.alias("_c"))
     # The label space is small: one array of steps for all draws.
     table = steps.agg(F.array_sort(F.collect_list(F.struct(F.col("_c"), F.col(value).alias("v")))).alias("_t"))
-    u = F.conv(F.substring(hash_order("draw", seed), 1, 12), 16, 10).cast("double") / float(16**12)
-    return draws.withColumn("_u", u).join(F.broadcast(table)).select("draw", F.get(F.filter("_t", lambda s: s["_c"] > F.col("_u")), F.lit(0))["v"].alias(value))
+    return draws.withColumn("_u", unit("draw", seed)).join(F.broadcast(table)).select("draw", F.get(F.filter("_t", lambda s: s["_c"] > F.col("_u")), F.lit(0))["v"].alias(value))
+
 
+def episode_tools(usage: DataFrame, key: str, count: str, domain: str | None = None, lock: str | None = None, size: int = 10, most: int = 6, least: int = 4, seed: str = "42") -> DataFrame:
+    """(key, source): up to ``most`` of the most used tools, up to ``least`` of the least used of the rest, the rest by hash.
 
-def episode_tools(usage: DataFrame, key: str, count: str, size: int = 10, most: int = 5, least: int = 3, seed: str = "42") -> DataFrame:
-    """(key, source): ``most`` of the most used tools, ``least`` of the least used, the rest by hash."""
-    top = usage.orderBy(F.desc(count), key).limit(most).select(key, F.lit(0).alias("_g"))
-    low = usage.orderBy(count, key).limit(least).select(key, F.lit(1).alias("_g"))
-    rest = usage.orderBy(hash_order(key, seed), key).limit(size).select(key, F.lit(2).alias("_g"))
-    once = top.unionByName(low).unionByName(rest).groupBy(key).agg(F.min("_g").alias("_g"))
-    kept = once.orderBy("_g", hash_order(key, seed), key).limit(size)
-    return kept.select(key, F.when(F.col("_g") == 0, "most").when(F.col("_g") == 1, "least").otherwise("random").alias("source"))
+    With ``lock`` these come from that domain, and tools of other domains fill up by hash what it can't; a lock that no
+    tool carries is none. Ties of use go by key. Only a few rows at each end are ever compared.
+    """
+    locked = usage.where(F.col(domain) == lock) if domain and lock is not None else usage
+    if locked.isEmpty():
+        locked = usage
+    top = locked.orderBy(F.desc(count), key).limit(most).select(key, F.lit("most").alias("source"))
+    # Of the most + least least used rows at most ``most`` are among the top, so enough remain.
+    low = locked.orderBy(count, key).limit(most + least).join(F.broadcast(top.select(key)), key, "left_anti")
+    low = low.orderBy(count, key).limit(least).select(key, F.lit("least").alias("source"))
+    fill = locked.orderBy(hash_order(key, seed), key).limit(size).select(key, F.lit("random").alias("source"))
+    parts = [top, low, fill]
+    if domain and lock is not None:
+        inside = locked.select(F.col(domain).alias("_d")).limit(1).first()
+        others = usage.where(~F.col(domain).eqNullSafe(inside["_d"] if inside else None))
+        parts.append(others.orderBy(hash_order(key, seed), key).limit(size).select(key, F.lit("outside").alias("source")))
+    order = F.array_position(F.array(*[F.lit(x) for x in ("most", "least", "random", "outside")]), F.col("source"))
+    once = reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.min_by("source", order).alias("source"), F.min(order).alias("_g"))
+    return once.orderBy("_g", hash_order(key, seed), key).limit(size).select(key, "source")
 
 
 def with_repeats(ids: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:
@@ -105,3 +126,18 @@ def with_repeats(ids: DataFrame, key: str, n: int, seed: str = "42") -> DataFram
 def seeded(df: DataFrame, index: str, seed: int) -> DataFrame:
     """+ seed: the base seed plus the index, for any number of workers (q31)."""
     return df.withColumn("seed", F.col(index) + F.lit(seed))
+
+
+def numbered(df: DataFrame, order: list[str], first: int = 1) -> DataFrame:
+    """Df + id: consecutive numbers from ``first`` in the order of the columns, ties by the whole row's hash.
+
+    Rows are range-partitioned by the order and counted by partition; a partition numbers its own rows after
+    those of the partitions before it, so nothing is sorted in one task. Equal rows get different numbers.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys, F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]))
+    placed = settle(placed.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()), "placed")
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))
+    own = F.col("_m") - (F.col("_p").cast("bigint") * F.lit(1 << 33))
+    return placed.join(F.broadcast(before), "_p").withColumn("id", F.col("_b") + own + F.lit(first)).drop("_p", "_m", "_b")

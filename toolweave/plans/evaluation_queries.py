@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from toolweave.operators import sampling as sa, scoring as sc, similarity as sim
 from toolweave.plans.base import TOOL_SQL, tools
+from toolweave.plans.settle import settle
 from toolweave.sources.tables import table
 
 _ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
@@ -44,13 +45,13 @@ def calls(s, d):
     )
 
 
-def truth(s, d):
-    return calls(s, d).select("conv_id", "turn", "pos", "name", F.concat_ws(":", "qty", "discount").alias("arguments"))
+def truth(s, d, of=None):
+    return (calls(s, d) if of is None else of).select("conv_id", "turn", "pos", "name", F.concat_ws(":", "qty", "discount").alias("arguments"))
 
 
-def predicted(s, d):
+def predicted(s, d, of=None):
     """The calls without some, some with another quantity, some under another name."""
-    rows = calls(s, d).where((F.col("l_partkey") + F.col("l_linenumber")) % 7 != 0)
+    rows = (calls(s, d) if of is None else of).where((F.col("l_partkey") + F.col("l_linenumber")) % 7 != 0)
     qty = F.when(F.col("l_suppkey") % 5 == 0, F.col("qty") + 1).otherwise(F.col("qty"))
     name = F.when(F.col("l_partkey") % 11 == 0, F.concat(F.lit("other_"), F.col("name"))).otherwise(F.col("name"))
     return rows.select("conv_id", "turn", "pos", name.alias("name"), F.concat_ws(":", qty, "discount").alias("arguments"))
@@ -89,7 +90,9 @@ def _flexible(s, d):
 
 
 def _metrics(s, d):
-    return sc.turn_metrics(sc.match_calls(predicted(s, d), truth(s, d)))
+    """Both sides from one ranking of the calls; the metrics are read several times, so they are written once."""
+    ranked = settle(calls(s, d), "calls")
+    return settle(sc.turn_metrics(sc.match_calls(predicted(s, d, ranked), truth(s, d, ranked))), "metrics")
 
 
 def _linked(s, d):
@@ -166,10 +169,26 @@ def _doc_jaccard(s, d):
     return sim.token_jaccard(t.where("tool_id % 100 = 0"), t, "tool_id", "text", 0.6)
 
 
+def _like_generated(s, d):
+    """Every hundredth tool as a new one against all: the same name or much the same words."""
+    t = tools(s, d).select("tool_id", "name", F.lower("description").alias("text"))
+    return sim.token_jaccard(t.where("tool_id % 100 = 0"), t, "tool_id", "text", 0.6, "name")
+
+
 def _part(s, d):
     return table(s, d, "part")
 
 
+def _usage(s, d):
+    """How often each part name stands, with a brand of it."""
+    return _part(s, d).groupBy("p_name").agg(F.count(F.lit(1)).alias("c"), F.min("p_brand").alias("brand"))
+
+
+_UNIT = "(('0x' || substr(md5({k} || '42'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE"
+_EPISODE = """WITH u AS (SELECT p_name, count(*) AS c, min(p_brand) AS brand FROM part GROUP BY 1), i AS (SELECT *, {lock} AS inside FROM u), a AS (SELECT p_name FROM i WHERE inside ORDER BY c DESC, p_name LIMIT 6),
+b AS (SELECT p_name FROM i WHERE inside AND p_name NOT IN (SELECT p_name FROM a) ORDER BY c, p_name LIMIT 4),
+g AS (SELECT p_name, CASE WHEN p_name IN (SELECT p_name FROM a) THEN 'most' WHEN p_name IN (SELECT p_name FROM b) THEN 'least' WHEN inside THEN 'random' ELSE 'outside' END AS source FROM i)
+SELECT p_name, source FROM g ORDER BY list_position(['most', 'least', 'random', 'outside'], source), md5(p_name || '42'), p_name LIMIT 10"""
 _PART_COUNTS = "c AS (SELECT p_type, count(*) AS c FROM part GROUP BY 1)"
 
 QUERIES = {
@@ -220,15 +239,20 @@ SELECT vec_id, representative, round(s, 6) AS similarity FROM r WHERE n = 1"""),
     "hybrid_toollist": (_lists, None),
     "jaccard_near_dup": (_doc_jaccard, f"""WITH {TOOL_SQL}, w AS (SELECT tool_id, list_distinct(list_filter(regexp_split_to_array(lower(description), '\\s+'), lambda x: x <> '')) AS w FROM tool WHERE description IS NOT NULL), p AS (SELECT a.tool_id AS a, b.tool_id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS m, len(b.w) AS n FROM w a JOIN w b ON a.tool_id <> b.tool_id WHERE a.tool_id % 100 = 0 AND len(a.w) > 0 AND len(b.w) > 0)
 SELECT a, b, round(i / (m + n - i), 6) AS similarity FROM p WHERE i / (m + n - i) > 0.6"""),
+    "near_dup_or_named": (_like_generated, f"""WITH {TOOL_SQL}, w AS (SELECT tool_id, name, list_distinct(list_filter(regexp_split_to_array(lower(description), '\\s+'), lambda x: x <> '')) AS w FROM tool), p AS (SELECT a.tool_id AS a, b.tool_id AS b, a.name = b.name AS same, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS m, len(b.w) AS n FROM w a JOIN w b ON a.tool_id <> b.tool_id WHERE a.tool_id % 100 = 0)
+SELECT a, b, coalesce(round(i / nullif(m + n - i, 0), 6), 0)::DOUBLE AS similarity FROM p WHERE coalesce(i / nullif(m + n - i, 0), 0) > 0.6 OR coalesce(same, false)"""),
     "stratified_sample": (lambda s, d: sa.proportional(_part(s, d), "p_type", "p_partkey", 100).select("p_partkey", "p_type"), f"""WITH {_PART_COUNTS}, q AS (SELECT p_type, least(floor(100 * c / sum(c) OVER ()), c) AS q, p_type = max(p_type) OVER () AS l FROM c), z AS (SELECT p_type, CASE WHEN l THEN 100 - (SELECT sum(q) FROM q WHERE NOT l) ELSE q END AS q FROM q),
 r AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY md5(p_partkey || '42'), p_partkey) AS n FROM part) SELECT p_partkey, p_type FROM r JOIN z USING (p_type) WHERE n <= q"""),
     "uniform_sample": (lambda s, d: sa.uniform(_part(s, d), "p_partkey", 50).select("p_partkey"), "SELECT p_partkey FROM part ORDER BY md5(p_partkey || '42'), p_partkey LIMIT 50"),
-    "weighted_sample": (lambda s, d: sa.weighted(_part(s, d), "p_partkey", 1 / (F.col("p_size") + 1), 50).select("p_partkey"), None),
+    "weighted_sample": (lambda s, d: sa.weighted(_part(s, d), "p_partkey", 1 / (F.col("p_size") + 1), 50).select("p_partkey"), f"SELECT p_partkey FROM part ORDER BY -ln({_UNIT.format(k='p_partkey')}) * (p_size + 1), p_partkey LIMIT 50"),
     "lock_value": (lambda s, d: sa.lock_value(_part(s, d), "p_brand", 10), "WITH c AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY md5(p_brand || '42'), p_brand LIMIT 20) SELECT p_brand FROM c WHERE n >= 10 ORDER BY md5(p_brand || '42'), p_brand LIMIT 1"),
     "least_used": (lambda s, d: sa.least_used(_part(s, d).groupBy("p_type").agg(F.count(F.lit(1)).alias("c")), "p_type", "c"), f"WITH {_PART_COUNTS} SELECT p_type FROM c ORDER BY c, md5(p_type || '42'), p_type LIMIT 1"),
     "under_represented": (lambda s, d: sa.under_represented(_part(s, d).groupBy("p_type").agg(F.count(F.lit(1)).alias("c")), "p_type", "c"), f"WITH {_PART_COUNTS} SELECT CASE WHEN min(c) < max(c) THEN arg_min(p_type, (c, p_type)) END AS p_type FROM c"),
-    "categorical_draws": (lambda s, d: sa.categorical(_part(s, d).groupBy("p_type").agg((1.0 / F.count(F.lit(1))).alias("w")), "p_type", "w", s.range(500).withColumnRenamed("id", "draw")), None),
-    "episode_tools": (lambda s, d: sa.episode_tools(_part(s, d).groupBy("p_name").agg(F.count(F.lit(1)).alias("c")), "p_name", "c"), None),
-    "ids_with_repeats": (lambda s, d: sa.with_repeats(_part(s, d), "p_partkey", 3000), None),
+    "categorical_draws": (lambda s, d: sa.categorical(_part(s, d).groupBy("p_type").agg((1.0 / F.count(F.lit(1))).alias("w")), "p_type", "w", s.range(500).withColumnRenamed("id", "draw")),
+        f"WITH {_PART_COUNTS}, w AS (SELECT p_type, sum(1.0::DOUBLE / c) OVER (ORDER BY p_type ROWS UNBOUNDED PRECEDING) / sum(1.0::DOUBLE / c) OVER () AS u FROM c), d AS (SELECT i AS draw, {_UNIT.format(k='i')} AS u FROM range(500) t(i)) SELECT draw, arg_min(p_type, w.u) AS p_type FROM d JOIN w ON w.u > d.u GROUP BY 1"),
+    "episode_tools": (lambda s, d: sa.episode_tools(_usage(s, d), "p_name", "c"), _EPISODE.format(lock="true")),
+    "episode_tools_locked": (lambda s, d: sa.episode_tools(_usage(s, d), "p_name", "c", "brand", "Brand#13"), _EPISODE.format(lock="brand = 'Brand#13'")),
+    "ids_with_repeats": (lambda s, d: sa.with_repeats(_part(s, d), "p_partkey", 3000), "WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY md5(p_partkey || '42'), p_partkey) - 1 AS r, count(*) OVER () AS n FROM part) SELECT k * n + r AS ordinal, p_partkey FROM r, range(3000) t(k) WHERE k * n + r < 3000"),
+    "sequential_ids": (lambda s, d: sa.numbered(_part(s, d).select("p_type", "p_partkey"), ["p_type", "p_partkey"]), "SELECT p_type, p_partkey, row_number() OVER (ORDER BY p_type, p_partkey) AS id FROM part"),
     "report_top": (lambda s, d: table(s, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(5).limit(20).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5"),
 }

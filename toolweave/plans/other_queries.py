@@ -37,7 +37,7 @@ def _null_count(s, d):
 
 
 def _canonical(s, d):
-    made = jx.on_json(lambda t: jx.input_schema_of(t) if isinstance(t, dict) else None, F.col("raw"))
+    made = jx.on_json(lambda t: jx.standard_tool(t) if isinstance(t, dict) else None, F.col("raw"))
     return _raw_tools(s, d).select("conv_id", "tool_pos", made.alias("tool")).where("tool IS NOT NULL")
 
 
@@ -219,19 +219,19 @@ def _place(s):
 def _stream(s, d):
     events = live.parquet_stream(s, d, table(s, d, "events").schema, "events.parquet")
     counts = live.windowed_counts(events, "ts", ["event_type"], "1 hour")
-    out = live.drain(counts, f"w{uuid.uuid4().hex}", "complete", _place(s))
+    out = live.drain(counts, "complete", _place(s))
     return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")], "event_type", "n")
 
 
 def _stream_usage(s, d):
     events = live.parquet_stream(s, d, table(s, d, "events").schema, "events.parquet")
-    out = live.drain(live.running_usage(events, "event_type"), f"u{uuid.uuid4().hex}", "update", _place(s))
+    out = live.drain(live.running_usage(events, "event_type"), "update", _place(s))
     return out.groupBy("name").agg(F.max("n").alias("n"))
 
 
 def _sessions(s, d):
     events = live.parquet_stream(s, d, table(s, d, "events").schema, "events.parquet")
-    out = live.drain(live.sessions(events, "ts", "user_id", "30 minutes"), f"s{uuid.uuid4().hex}", "complete", _place(s))
+    out = live.drain(live.sessions(events, "ts", "user_id", "30 minutes"), "complete", _place(s))
     return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
 
 

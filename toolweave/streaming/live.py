@@ -53,11 +53,26 @@ def running_usage(stream: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("name").applyInPandasWithState(add, "name string, n bigint, batches bigint", "n bigint, batches bigint", "update", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, query: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there now into a table in memory, for tests and small reports."""
-    started = stream.writeStream.format("memory").queryName(query).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, mode: str, place: str) -> DataFrame:
+    """Run a stream over what is there now into Parquet below ``place``, a folder that all machines share.
+
+    Each batch replaces its own folder, so one that is run again after a failure is written once. With mode complete
+    the last batch holds the result; with update each row is the state after its batch, numbered by ``batch``.
+    """
+    kept = f"{place}/batches"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{kept}/batch={number}")
+
+    started = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
     started.awaitTermination()
-    return stream.sparkSession.table(query)
+    spark = stream.sparkSession
+    number = (started.lastProgress or {}).get("batchId", -1)
+    if number < 0:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{kept}/batch={number}")
+    return spark.read.schema(stream.schema).option("basePath", kept).parquet(kept)
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str):
