@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from toolweave import training
-from toolweave.plans import conversation_queries, evaluation_queries, fixture_queries, other_queries, tool_queries
+from toolweave.plans import conversation_queries, evaluation_queries, fixture_queries, other_queries, source_queries, tool_queries
 
-MODULES = [conversation_queries, tool_queries, evaluation_queries, other_queries, fixture_queries]
+MODULES = [conversation_queries, tool_queries, evaluation_queries, other_queries, fixture_queries, source_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -97,17 +97,16 @@ def episode_tools(usage: DataFrame, key: str, count: str, domain: str | None = N
     tool carries is none. Ties of use go by key. Only a few rows at each end are ever compared.
     """
     locked = usage.where(F.col(domain) == lock) if domain and lock is not None else usage
-    if locked.isEmpty():
-        locked = usage
+    held = locked is not usage and not locked.isEmpty()
+    locked = locked if held else usage
     top = locked.orderBy(F.desc(count), key).limit(most).select(key, F.lit("most").alias("source"))
     # Of the most + least least used rows at most ``most`` are among the top, so enough remain.
     low = locked.orderBy(count, key).limit(most + least).join(F.broadcast(top.select(key)), key, "left_anti")
     low = low.orderBy(count, key).limit(least).select(key, F.lit("least").alias("source"))
     fill = locked.orderBy(hash_order(key, seed), key).limit(size).select(key, F.lit("random").alias("source"))
     parts = [top, low, fill]
-    if domain and lock is not None:
-        inside = locked.select(F.col(domain).alias("_d")).limit(1).first()
-        others = usage.where(~F.col(domain).eqNullSafe(inside["_d"] if inside else None))
+    if held:
+        others = usage.where(~F.col(domain).eqNullSafe(lock))
         parts.append(others.orderBy(hash_order(key, seed), key).limit(size).select(key, F.lit("outside").alias("source")))
     order = F.array_position(F.array(*[F.lit(x) for x in ("most", "least", "random", "outside")]), F.col("source"))
     once = reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.min_by("source", order).alias("source"), F.min(order).alias("_g"))

@@ -251,7 +251,8 @@ r AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY
     "categorical_draws": (lambda s, d: sa.categorical(_part(s, d).groupBy("p_type").agg((1.0 / F.count(F.lit(1))).alias("w")), "p_type", "w", s.range(500).withColumnRenamed("id", "draw")),
         f"WITH {_PART_COUNTS}, w AS (SELECT p_type, sum(1.0::DOUBLE / c) OVER (ORDER BY p_type ROWS UNBOUNDED PRECEDING) / sum(1.0::DOUBLE / c) OVER () AS u FROM c), d AS (SELECT i AS draw, {_UNIT.format(k='i')} AS u FROM range(500) t(i)) SELECT draw, arg_min(p_type, w.u) AS p_type FROM d JOIN w ON w.u > d.u GROUP BY 1"),
     "episode_tools": (lambda s, d: sa.episode_tools(_usage(s, d), "p_name", "c"), _EPISODE.format(lock="true")),
-    "episode_tools_locked": (lambda s, d: sa.episode_tools(_usage(s, d), "p_name", "c", "brand", "Brand#13"), _EPISODE.format(lock="brand = 'Brand#13'")),
+    "episode_tools_locked": (lambda s, d: sa.episode_tools(_usage(s, d), "p_name", "c", "brand", "Brand#13"), _EPISODE.format(lock="brand = 'Brand#13' OR NOT EXISTS (SELECT 1 FROM u WHERE brand = 'Brand#13')")),
+    "episode_tools_domain": (lambda s, d: sa.episode_tools(_usage(s, d).where("c > 3"), "p_name", "c", "brand", "Brand#12"), _EPISODE.replace("GROUP BY 1)", "GROUP BY 1 HAVING count(*) > 3)", 1).format(lock="brand = 'Brand#12' OR NOT EXISTS (SELECT 1 FROM u WHERE brand = 'Brand#12')")),
     "ids_with_repeats": (lambda s, d: sa.with_repeats(_part(s, d), "p_partkey", 3000), "WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY md5(p_partkey || '42'), p_partkey) - 1 AS r, count(*) OVER () AS n FROM part) SELECT k * n + r AS ordinal, p_partkey FROM r, range(3000) t(k) WHERE k * n + r < 3000"),
     "sequential_ids": (lambda s, d: sa.numbered(_part(s, d).select("p_type", "p_partkey"), ["p_type", "p_partkey"]), "SELECT p_type, p_partkey, row_number() OVER (ORDER BY p_type, p_partkey) AS id FROM part"),
     "report_top": (lambda s, d: table(s, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(5).limit(20).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5"),
