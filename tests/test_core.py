@@ -327,3 +327,30 @@ def test_episode_tools_fill_from_outside(spark):
     assert len(got) == 10 and {n for n, s in got.items() if s == "most"} == {f"t{i:02d}" for i in range(1, 7)} and got["t00"] == "least"
     assert sum(s == "outside" for s in got.values()) == 3
     assert sa.episode_tools(usage.limit(0), "name", "c", "d", "in").count() == 0
+
+
+def _brute_jaccard(rows, threshold):
+    """(a, b, similarity) by comparing every tool of an even id with every other: (above the threshold, of one name)."""
+    sets = [(k, n, set((t or "").lower().split())) for k, n, t in rows]
+    value = lambda x, y: round(len(x & y) / len(x | y), 6) if x | y else 0.0
+    both = [(a, b, value(x, y), n is not None and n == m) for a, n, x in sets if a % 2 == 0 for b, m, y in sets if a != b]
+    return {p[:3] for p in both if p[2] > threshold}, {p[:3] for p in both if p[3]}
+
+
+@pytest.mark.parametrize("held", [2_000_000, 400])
+def test_word_sets_meet_without_a_shuffle(spark, monkeypatch, held):
+    import random
+
+    draw, rows = random.Random(3), []
+    for i in range(160):
+        words = [f"w{min(draw.randrange(60), draw.randrange(60))}" for _ in range(draw.randrange(3, 30))]
+        text = " ".join(words) if i % 5 else rows[draw.randrange(i)][2] if i else "one two"
+        rows.append((i, draw.choice(["a", "b", None]), [text, None, "", (text or "").upper() + "  x y"][draw.choice([0, 0, 0, 0, 1, 2, 3])]))
+    monkeypatch.setattr(sim, "WORDS_A_PASS", held)
+    df = spark.createDataFrame(rows, "id long, name string, text string").coalesce(3)
+    near, named = _brute_jaccard(rows, 0.6)
+    assert near and named - near
+    got = sim.token_jaccard(df.where("id % 2 = 0"), df, "id", "text", 0.6)
+    assert sorted(map(tuple, got.collect())) == sorted(near)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
