@@ -354,3 +354,20 @@ def test_word_sets_meet_without_a_shuffle(spark, monkeypatch, held):
     assert sorted(map(tuple, got.collect())) == sorted(near)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_rows_of_one_name_meet_without_a_shuffle(spark, monkeypatch):
+    import random
+
+    draw = random.Random(5)
+    word = lambda: f"w{draw.randrange(12)}"
+    rows = [(i, draw.choice(["a", "b", "c", None]), draw.choice([None, "", *[" ".join(word() for _ in range(draw.randrange(1, 9))) for _ in range(6)]])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, name string, text string").coalesce(2)
+    near, named = _brute_jaccard(rows, 0.6)
+    assert near - named and named - near
+    got = sim.token_jaccard(df.where("id % 2 = 0"), df, "id", "text", 0.6, "name")
+    assert sorted(map(tuple, got.collect())) == sorted(near | named)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    monkeypatch.setattr(sim, "WORDS_A_PASS", 100)
+    assert sorted(map(tuple, sim.token_jaccard(df.where("id % 2 = 0"), df, "id", "text", 0.6, "name").collect())) == sorted(near | named)
