@@ -371,3 +371,33 @@ def test_rows_of_one_name_meet_without_a_shuffle(spark, monkeypatch):
     assert "Exchange" not in plan and "Join" not in plan
     monkeypatch.setattr(sim, "WORDS_A_PASS", 100)
     assert sorted(map(tuple, sim.token_jaccard(df.where("id % 2 = 0"), df, "id", "text", 0.6, "name").collect())) == sorted(near | named)
+
+
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_hybrid_lists_shuffle_only_the_needed_tools(spark, monkeypatch, sent):
+    import hashlib
+    import random
+
+    draw = random.Random(11)
+    pool = [(i * 3, [float(draw.randrange(-3, 4)) for _ in range(4)] if i % 9 else None) for i in range(40)]
+    pool = [(k, v if v is None or any(v) else [1.0, 0.0, 0.0, 0.0]) for k, v in pool]
+    ids = [k for k, _ in pool]
+    needs = {c: draw.sample([*ids, 500], n) for c, n in enumerate([1, 2, 3, 5, 6, 7, 8, 9, 12, 1, 2, 4])}
+    unit = {k: [x / sum(y * y for y in v) ** 0.5 for x in v] for k, v in pool if v}
+    value = lambda a, b: round(sum(x * y for x, y in zip(unit[a], unit[b], strict=True)), 9)
+    hashed = sorted(ids, key=lambda k: (hashlib.md5(f"{k}7".encode()).hexdigest(), k))
+    want = set()
+    for c, own in needs.items():
+        best = {k: max((value(q, k) for q in own if q in unit), default=None) for k in unit if k not in own}
+        best = sorted((k for k, s in best.items() if s is not None), key=lambda k: (-best[k], k))[: max(0, 6 - len(own))]
+        rest = [k for k in hashed if k not in own and k not in best]
+        made = [*((k, "truth") for k in own), *((k, "similar") for k in best), *((k, "random") for k in rest)][:8]
+        want |= {(c, k, source, i + 1) for i, (k, source) in enumerate(made)}
+    monkeypatch.setattr(sim, "SENT_TOOLS", sent)
+    monkeypatch.setattr(sim, "QUERIES_A_PASS", 7)
+    truth = spark.createDataFrame([(c, k, i) for c, own in needs.items() for i, k in enumerate(own)], "conv_id long, tool long, first int")
+    got = sim.hybrid_lists(truth, spark.createDataFrame(pool, "tool long, v array<double>"), "tool", "v", similar=6, total=8)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    if sent:
+        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("Exchange") == 1 and "Window" not in plan and "Join" not in plan
