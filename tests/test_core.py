@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from toolweave.catalogue import queries
 from toolweave.functions import jsonx as jx
 from toolweave.functions import text as tx
 from toolweave.operators import conversations as cv, converters as co, generation as ge, sampling as sa, scoring as sc, similarity as sim, tool_lists, tools as to
@@ -373,6 +374,51 @@ def test_rows_of_one_name_meet_without_a_shuffle(spark, monkeypatch):
     assert sorted(map(tuple, sim.token_jaccard(df.where("id % 2 = 0"), df, "id", "text", 0.6, "name").collect())) == sorted(near | named)
 
 
+def _shuffled(spark):
+    """Bytes that this session's tasks have shuffled so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    return context.statusStore().executorList(False).head().totalShuffleWrite()
+
+
+def test_near_dup_or_named_shuffles_only_what_was_delivered_again(spark, tmp_path):
+    import datetime
+    import random
+
+    draw, day = random.Random(17), lambda n: datetime.datetime(2024, 1, 1 + n)
+    word = lambda: f"{draw.getrandbits(64):x}"
+    once = [(i, "s", "f", draw.choice(["a", "b", None]), "b", " ".join(word() for _ in range(40)), day(3)) for i in range(600)]
+    once[100] = (*once[100][:5], once[7][5], day(3))
+    again = [(i, "s", "f", None, "late", "other words", day(4)) for i in range(0, 600, 50)] + [(9, "s", "f", "a", None, once[100][5], day(1)), (9, "s", "f", "a", None, once[200][5], day(1))]
+    again += [(None, "s", "f", "a", None, "", day(1))] * 2
+    rows = spark.createDataFrame(once + again, "tool_id long, server string, source_file string, name string, tool_name string, description string, loaded_at timestamp")
+    rows.withColumns({c: F.lit(None).cast("string") for c in ("category", "domain", "input_schema")}).coalesce(2).write.parquet(str(tmp_path / "toolset.parquet"))
+    first = {i: (n or m, text) for i, _, _, n, m, text, _ in once}
+    first[9] = ("a", min(once[100][5], once[200][5]))
+    brute = [(a, b, 1.0 if set(x.split()) == set(y.split()) else 0.0, n == m) for a, (n, x) in first.items() if a % 100 == 0 for b, (m, y) in first.items() if a != b]
+    before = _shuffled(spark)
+    got = queries()["near_dup_or_named"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(p[:3] for p in brute if p[2] or p[3]) and {p[2] for p in brute if not p[3]} == {0.0, 1.0}
+    assert _shuffled(spark) - before < 100_000 < sum(len(t[5]) for t in once) / 3
+
+
+@pytest.mark.parametrize("marked", [4_000_000, 3])
+def test_first_deliveries_are_those_of_the_grouping(spark, monkeypatch, marked):
+    import random
+
+    from toolweave.sources import tables as tb
+
+    draw = random.Random(23)
+    rows = [(draw.choice([None, *range(300)]), draw.choice("xy"), draw.randrange(3), draw.choice([None, "p", "q"]), draw.randrange(9)) for _ in range(400)]
+    rows += [(i, "x", 1, "p", 2) for i in range(1000, 3000)]
+    df = spark.createDataFrame(rows, "k long, j string, loaded_at int, v string, w int")
+    told = lambda x: sorted(map(repr, x.collect()))
+    monkeypatch.setattr(tb, "MARKED_KEYS", marked)
+    assert told(tb.first_deliveries(df, ["k", "j"], ["v", "w"])) == told(tb.delivered_once(df, ["k", "j"], ["v", "w"]))
+    for part in (df.where("k >= 1000"), df.limit(0)):
+        assert told(tb.first_deliveries(part, ["k", "j"], ["v", "w"])) == told(tb.delivered_once(part, ["k", "j"], ["v", "w"]))
+
+
 @pytest.mark.parametrize("sent", [200_000, 0])
 def test_hybrid_lists_shuffle_only_the_needed_tools(spark, monkeypatch, sent):
     import hashlib
