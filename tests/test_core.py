@@ -419,6 +419,22 @@ def test_first_deliveries_are_those_of_the_grouping(spark, monkeypatch, marked):
         assert told(tb.first_deliveries(part, ["k", "j"], ["v", "w"])) == told(tb.delivered_once(part, ["k", "j"], ["v", "w"]))
 
 
+def test_words_of_a_batch_are_those_of_the_split(spark):
+    import pyarrow as pa
+
+    from toolweave.operators import word_sets as ws
+
+    texts = ["", "   ", "a b a", " a\tb\x0bc\x1cd  e\n", "x\u00a0y \u2003 \x85z", "\u0130 i\u0307 q\r\fq", "a b a", "zz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    split = {r.i: sorted(r.w) for r in df.select("i", F.array_distinct(F.filter(F.split("t", r"\s+"), lambda w: w != "")).alias("w")).collect()}
+    found = ws.distinct_words(pa.array(texts)).to_pylist()
+    assert {i: sorted(w) for i, w in enumerate(found)} == split and ws.distinct_words(pa.array([], pa.string())).to_pylist() == []
+    coded = pa.array(texts).dictionary_encode()
+    sets = ws.Sets(ws.distinct_words(coded.dictionary), pa.array(["a", "b", "zz"]), coded.indices.to_numpy())
+    assert len(coded.dictionary) == 7 and len(sets.set_of) == 8 and sets.set_of[2] == sets.set_of[6] and sets.set_of[0] == sets.set_of[1]
+    assert sorted(sets.rows.of(sets.set_of[2:3])[1]) == [2, 6]
+
+
 @pytest.mark.parametrize("sent", [200_000, 0])
 def test_hybrid_lists_shuffle_only_the_needed_tools(spark, monkeypatch, sent):
     import hashlib
